@@ -7,23 +7,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from anchorline.llm.fingerprint import fingerprint_edits
 from anchorline.llm.packing import pack_documents
 from anchorline.llm.shared import table
 from anchorline.llm.token_files import token_id_files
+from anchorline.llm.url_filter import judge_urls
+from anchorline.llm.warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op10_token_files": op10_token_files}
+    found = (op1_warc, op2_packing, op7_fingerprints, op8_url_filter, op10_token_files)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
