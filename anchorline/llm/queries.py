@@ -11,6 +11,7 @@ from anchorline.llm.fingerprint import fingerprint_edits
 from anchorline.llm.packing import pack_documents
 from anchorline.llm.shared import table
 from anchorline.llm.token_files import token_id_files
+from anchorline.llm.toxicity import toxicity
 from anchorline.llm.url_filter import judge_urls
 from anchorline.llm.warc import warc_round_trip
 
@@ -25,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_packing, op7_fingerprints, op8_url_filter, op10_token_files)
+    found = (op1_warc, op2_packing, op3_toxicity, op7_fingerprints, op8_url_filter, op10_token_files)
     return {f.__name__: f for f in found}
 
 
