@@ -8,6 +8,8 @@ occurrence of a window. Windows of shorter items are looked up directly, by the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,10 @@ def windows_of(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice(words, i, F.lit(n))).alias("words")))
 
 
+def tagged(n: int) -> Callable[[Column], Column]:
+    return lambda h: F.struct(h.alias("hash"), F.lit(n).alias("n"))
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Broadcast if small enough, else to be shuffled."""
     return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
@@ -85,11 +91,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     # At most window - 1 numbers: the lengths of items that are shorter than a window.
     short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < window).distinct().collect())
 
-    wanted = with_fingerprints(items.filter(F.size("words") >= window), "words", window, k, "f").select(F.explode("f").alias("hash"), F.lit(window).alias("n"))
+    wanted = with_fingerprints(items.filter(F.size("words") >= window), "words", window, k, "f").select(F.explode_outer("f").alias("hash"), F.lit(window).alias("n"))
     windows = items.filter(F.size("words") >= window).select("item", F.explode(windows_of(F.col("words"), window)).alias("w"))
     for n in short:
         mine = items.filter(F.size("words") == n)
-        wanted = wanted.unionByName(with_gram_hashes(mine, "words", n, "f").select(F.explode("f").alias("hash"), F.lit(n).alias("n")))
+        wanted = wanted.unionByName(with_gram_hashes(mine, "words", n, "f").select(F.explode_outer("f").alias("hash"), F.lit(n).alias("n")))
         windows = windows.unionByName(mine.select("item", F.explode(windows_of(F.col("words"), n)).alias("w")))
     wanted = written(wanted.distinct(), f"{base}/hashes")
     windows = written(windows.select("item", F.col("w.words").alias("window")).distinct(), f"{base}/windows")
@@ -100,14 +106,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     hashed = with_fingerprints(rows.select("mark", words_of(F.col("text")).alias("words")), "words", window, k, "f")
     for n in short:
         hashed = with_gram_hashes(hashed, "words", n, f"s{n}")
-    parts = [F.transform("f", lambda h: F.struct(h.alias("hash"), F.lit(window).alias("n")))]
-    parts += [F.transform(F.array_distinct(f"s{n}"), lambda h, n=n: F.struct(h.alias("hash"), F.lit(n).alias("n"))) for n in short]
-    marked = hashed.select("mark", F.explode(F.concat(*parts) if short else parts[0]).alias("of")).select("mark", "of.hash", "of.n")
+    parts = [F.transform("f", tagged(window))]
+    parts += [F.transform(F.array_distinct(f"s{n}"), tagged(n)) for n in short]
+    # explode() would ask for non-empty lists below all the steps that make them, and so compute these again.
+    marked = hashed.select("mark", F.explode_outer(F.concat(*parts) if short else parts[0]).alias("of")).filter("of is not null").select("mark", "of.hash", "of.n")
     candidates = written(marked.join(sized(wanted), ["hash", "n"], "left_semi").select("mark").distinct(), f"{base}/candidates")
 
     told = rows.join(sized(candidates), "mark", "left_semi").select("mark", words_of(F.col("text")).alias("words"))
     runs = [windows_of(F.col("words"), n) for n in [window, *short]]
-    placed = told.dropDuplicates(["mark"]).select("mark", F.explode(F.concat(*runs) if short else runs[0]).alias("w")).select("mark", "w.place", "w.n", F.col("w.words").alias("window"))
+    placed = told.dropDuplicates(["mark"]).select("mark", F.explode_outer(F.concat(*runs) if short else runs[0]).alias("w")).filter("w is not null").select("mark", "w.place", "w.n", F.col("w.words").alias("window"))
     found = placed.join(sized(windows), "window").groupBy("mark").agg(F.collect_set(F.struct("place", "n")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["place"], s["place"] + s["n"] - 1)))))
     hits = found.select("mark", hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from anchorline.llm.decontaminate import contamination
 from anchorline.llm.fingerprint import fingerprint_edits
 from anchorline.llm.packing import pack_documents
+from anchorline.llm.pii import personal_data
 from anchorline.llm.shared import table
 from anchorline.llm.token_files import token_id_files
 from anchorline.llm.toxicity import toxicity
@@ -31,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_packing, op3_toxicity, op6_decontamination, op7_fingerprints, op8_url_filter, op10_token_files)
+    found = (op1_warc, op2_packing, op3_toxicity, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op10_token_files)
     return {f.__name__: f for f in found}
 
 
