@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from anchorline.llm.decontaminate import contamination
 from anchorline.llm.fingerprint import fingerprint_edits
+from anchorline.llm.jaccard_join import jaccard_classes
 from anchorline.llm.packing import pack_documents
 from anchorline.llm.pii import personal_data
 from anchorline.llm.shared import table
@@ -32,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_packing, op3_toxicity, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op10_token_files)
+    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op10_token_files)
     return {f.__name__: f for f in found}
 
 
