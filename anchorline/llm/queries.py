@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from anchorline.llm.decontaminate import contamination
 from anchorline.llm.fingerprint import fingerprint_edits
 from anchorline.llm.jaccard_join import jaccard_classes
+from anchorline.llm.kneser_ney import quality
 from anchorline.llm.packing import pack_documents
 from anchorline.llm.pii import personal_data
 from anchorline.llm.shared import table
@@ -53,12 +54,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op10_token_files)
+    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op9_quality, op10_token_files)
     return {f.__name__: f for f in found}
 
 
