@@ -5,12 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from anchorline.llm import queries as llm
+from anchorline.llm.decontaminate import contamination
+from anchorline.llm.jaccard_join import jaccard_classes
 from anchorline.llm.packing import pack_documents
-from anchorline.llm.shared import table, workspace, written
+from anchorline.llm.pii import redact
+from anchorline.llm.shared import small_enough, table, workspace, written
+from anchorline.llm.toxicity import fit, score_texts
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Ids to drop up to which they are broadcast; more are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def without(spark: SparkSession, docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``docs`` whose doc_id is not among ``ids``; rows without a doc_id stay."""
+    dropped = written(ids.select("doc_id").distinct(), workspace(spark, label))
+    return docs.join(F.broadcast(dropped) if small_enough(dropped, BROADCAST_ROWS) else dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a toxicity below 0.5, by a model of the labels of this stage's documents."""
+    scored = score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.filter("toxicity < 0.5").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id; of rows that repeat it one."""
+    classes = jaccard_classes(docs).filter("doc_id <> class_id")
+    kept = without(spark, docs, classes, "near-duplicates")
+    # Only a doc_id that repeats is grouped: its rows are few, and each row alone in its group otherwise.
+    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), workspace(spark, "repeated"))
+    if twice.isEmpty():
+        return kept
+    hint = F.broadcast(twice) if small_enough(twice, BROADCAST_ROWS) else twice
+    first = kept.join(hint, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(hint, "doc_id", "left_anti").select(docs.columns).unionByName(first)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return without(spark, docs, hit, "contaminated")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their personal data replaced by the kind's name, and n_chars as it then is."""
+    return redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +61,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, llm.TOKENIZER)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
+#: The classifier, the similarity join's recall and the tokenizer can't be told in SQL; tests hold the stages to plain versions.
 ORACLE_SQL: str | None = None
 
 
