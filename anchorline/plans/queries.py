@@ -43,11 +43,11 @@ def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles at ``digits`` places, without a negative zero; a little is added, so that no engine's noise decides a tie."""
-    return df.select(*[(F.round(F.col(c) + 10.0 ** -(digits + 3), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + 7.3105857 * 10.0 ** -(digits + 4), digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def r(x: str, digits: int = 6) -> str:
-    return f"round({x} + 1e-{digits + 3}, {digits}) + 0.0"
+    return f"round({x} + 7.3105857e-{digits + 4}, {digits}) + 0.0"
 
 
 FIVE = ", ".join(f"{r(f'quantile_cont({{v}}, {q})', 2)} AS q{round(100 * q):02d}" for q in A.FAN)
@@ -444,3 +444,301 @@ def preferred_metric(s, d):
 @query(f"WITH {X.INDEX}, l AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY date) AS p FROM idx) SELECT series, max(date) AS date, {r('max_by(value, date)')} AS value, {r('max_by(value - p, date)')} AS change FROM l GROUP BY 1")
 def latest_change(s, d):
     return J.latest_change(X.index(s, d), ["series"])
+
+
+# Taxes
+
+TAXED = "taxed AS (SELECT idx.series, idx.date, idx.value / 1000 AS idx, tax.vat, tax.excise FROM idx JOIN tax ON tax.date = idx.date)"
+
+
+def taxed(s, d):
+    """Index in thousands with the month's taxes."""
+    return X.index(s, d).join(F.broadcast(X.tax(s, d)), "date").select("series", "date", (F.col("value") / 1000).alias("idx"), "vat", "excise")
+
+
+@query(f"WITH {X.INDEX}, {X.TAX}, {TAXED} SELECT series, date, {r('1.5 * idx / (1 + vat / 100) - excise')} AS pre_tax FROM taxed")
+def tax_pretax(s, d):
+    return taxed(s, d).select("series", "date", P.pre_tax(F.col("idx"), F.lit(1.5), F.col("vat"), F.col("excise")).alias("pre_tax"))
+
+
+@query(f"WITH {X.INDEX}, {X.TAX}, {TAXED} SELECT series, date, {r('(idx + excise) * (1 + vat / 100) / 1.5')} AS value FROM taxed")
+def tax_reattribute(s, d):
+    return taxed(s, d).select("series", "date", P.index_with_tax(F.col("idx"), F.lit(1.5), F.col("vat"), F.col("excise")).alias("value"))
+
+
+@query(f"WITH {X.INDEX}, {X.TAX}, {TAXED} SELECT series, count(*) AS n, 0.0 AS gap FROM taxed GROUP BY 1")
+def tax_round_trip(s, d):
+    t = taxed(s, d).withColumn("pre", P.pre_tax(F.col("idx"), F.lit(1.5), F.col("vat"), F.col("excise")))
+    back = P.index_with_tax(F.col("pre"), F.lit(1.5), F.col("vat"), F.col("excise"))
+    return t.groupBy("series").agg(F.count("*").alias("n"), F.max(F.round(F.abs(back - F.col("idx")), 6)).alias("gap"))
+
+
+@query(f"WITH {X.TAX} SELECT date, {r('vat')} AS vat, {r('excise')} AS excise, date >= DATE '2000-01-01' AS scenario_active, CASE WHEN date >= DATE '2000-01-01' THEN 7.0 ELSE {r('vat')} END AS scenario_vat, CASE WHEN date >= DATE '2000-01-01' THEN {r('excise + 5')} ELSE {r('excise')} END AS scenario_excise FROM tax")
+def tax_scenario_overlay(s, d):
+    return P.overlay(X.tax(s, d), "2000-01-01", F.lit(7.0), F.col("excise") + 5)
+
+
+@query(f"WITH {X.INDEX}, l AS (SELECT series, max_by(value, date) AS value FROM idx GROUP BY 1) SELECT series, CAST(h AS INTEGER) AS h, CASE WHEN h BETWEEN 2 AND 5 THEN {r('value * 1.1')} END AS value FROM l, (SELECT unnest(range(1, 9)) AS h)")
+def condition_path(s, d):
+    last = X.index(s, d).groupBy("series").agg(F.max_by("value", "date").alias("value"))
+    return P.condition_path(last, ["series"], 8, 2, 5, 10.0)
+
+
+LAYERED = "lay AS (SELECT series, date, CASE WHEN told THEN greatest(0.0, least(1.0, pre / gross)) ELSE 0.0 END AS pre_tax, CASE WHEN told THEN greatest(0.0, least(1.0, (pre + excise) / gross)) - greatest(0.0, least(1.0, pre / gross)) ELSE 0.0 END AS excise, CASE WHEN told THEN 1 - greatest(0.0, least(1.0, (pre + excise) / gross)) ELSE 0.0 END AS vat, CASE WHEN told THEN 0.0 ELSE 1.0 END AS unsplit FROM (SELECT series, date, idx AS pre, excise, (idx + excise) * (1 + vat / 100) AS gross, (idx + excise) * (1 + vat / 100) > 0 AND series <> 'ASIA' AS told FROM taxed))"
+
+
+def layered(s, d):
+    """Layer shares; ASIA's can't be told."""
+    t = taxed(s, d).withColumn("idx", F.when(F.col("series") != "ASIA", F.col("idx")))
+    return t.select("series", "date", *P.layer_shares(F.col("idx"), F.col("vat"), F.col("excise")))
+
+
+@query(f"WITH {X.INDEX}, {X.TAX}, {TAXED}, {LAYERED} SELECT series, date, {r('pre_tax')} AS pre_tax, {r('excise')} AS excise, {r('vat')} AS vat, {r('unsplit')} AS unsplit FROM lay")
+def tax_layer_shares(s, d):
+    return layered(s, d)
+
+
+_SHARES = "j AS (SELECT terms.series, terms.date, term, total, coalesce(pre_tax, 0) AS pre_tax, coalesce(excise, 0) AS excise, coalesce(vat, 0) AS vat, coalesce(unsplit, 1) AS unsplit FROM terms LEFT JOIN lay ON lay.series = terms.series AND lay.date = terms.date)"
+_LAYER = "k AS (SELECT a.series, a.date, a.unsplit = 0 AND b.unsplit = 0 AS told, " + ", ".join(f"100 * (a.term * a.{n} - b.term * b.{n}) / b.total AS {n}" for n in P.LAYERS[:-1]) + ", 100 * (a.term - b.term) / b.total AS whole FROM j a JOIN j b ON a.series = b.series AND a.date = b.date + INTERVAL 12 MONTH)"
+_LONG = "lc AS (" + " UNION ALL ".join(f"SELECT series, date, '{n}' AS layer, CASE WHEN told THEN {n} ELSE 0 END AS contribution FROM k" for n in P.LAYERS[:-1]) + " UNION ALL SELECT series, date, 'unsplit', CASE WHEN told THEN 0 ELSE whole END FROM k)"
+
+
+@query(f"WITH {X.CHAIN_ONE}, {X.TAX}, {TAXED}, {LAYERED}, {_SHARES}, {_LAYER}, {_LONG} SELECT series, date, layer, {r('contribution')} AS contribution FROM lc")
+def tax_layer_contrib(s, d):
+    return P.layer_contributions(C.chain_terms(X.index(s, d), X.weights(s, d)), layered(s, d))
+
+
+@query(f"WITH {X.CHAIN_ONE}, {X.TAX}, {TAXED}, {LAYERED}, {_SHARES}, {_LAYER}, {_LONG} SELECT coalesce(series, 'total') AS series, " + ", ".join(r(f"sum(CASE WHEN layer = '{n}' THEN contribution END)") + f" AS {n}" for n in P.LAYERS) + f", {r('sum(contribution)')} AS total FROM lc WHERE date = DATE '2000-06-01' GROUP BY ROLLUP (series)")
+def tax_matrix(s, d):
+    parts = P.layer_contributions(C.chain_terms(X.index(s, d), X.weights(s, d)), layered(s, d))
+    return P.layer_matrix(parts.filter("date = '2000-06-01'"))
+
+
+@query(f"WITH {X.INDEX} SELECT series, date, {r('ln(value)')} AS state, {r('value')} AS back, {r('value / 100')} AS share FROM idx")
+def log_state_transform(s, d):
+    v = F.col("value")
+    return X.index(s, d).select("series", "date", S.to_state(v, "logdiff").alias("state"), S.from_state(S.to_state(v, "logdiff"), "logdiff").alias("back"), S.to_state(v, "percent_rate_diff").alias("share"))
+
+
+# Statistics
+
+PAIR = "pr AS (SELECT idx.series, idx.date, idx.value, p.value AS proxy FROM idx JOIN idx p ON p.date = idx.date AND p.series = 'EUROPE')"
+
+
+def pair(s, d):
+    level = X.index(s, d)
+    return level.join(level.filter("series = 'EUROPE'").select("date", F.col("value").alias("proxy")), "date")
+
+
+@query(f"WITH {X.INDEX}, {PAIR} SELECT series, count(*) AS n, CASE WHEN count(*) >= 6 THEN {r('sum(proxy * value) / sum(proxy * proxy)')} END AS slope FROM pr GROUP BY 1")
+def ols_no_intercept(s, d):
+    return Z.ols_origin(pair(s, d), ["series"], "proxy", "value")
+
+
+_LAG = "PARTITION BY series ORDER BY date"
+
+
+@query(f"WITH {X.INDEX}, {PAIR}, m AS (SELECT series, date, value / proxy AS ratio, ln(value) - ln(lag(value) OVER ({_LAG})) AS dy, ln(proxy) - ln(lag(proxy) OVER ({_LAG})) AS dx, value - lag(value) OVER ({_LAG}) AS ay, proxy - lag(proxy) OVER ({_LAG}) AS ax, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS back FROM pr), o AS (SELECT series, count(dx) AS n, sum(dx * dy) / sum(dx * dx) AS beta, corr(dx, dy) AS corr, sqrt(avg((dy - dx) * (dy - dx))) AS rmse, sum(ax * ay) / sum(ax * ax) AS beta_abs, max_by(ratio, date) / min_by(ratio, date) - 1 AS drift, max(ratio) / min(ratio) - 1 AS \"range\", stddev_samp(CASE WHEN back <= 36 THEN ratio END) / avg(CASE WHEN back <= 36 THEN ratio END) AS recent_cv FROM m GROUP BY 1) SELECT series, n, {r('beta')} AS beta, {r('corr')} AS corr, {r('rmse')} AS rmse, {r('beta_abs')} AS beta_abs, {r('drift')} AS drift, {r(chr(34) + 'range' + chr(34))} AS \"range\", {r('recent_cv')} AS recent_cv, corr >= 0.5 AND abs(beta - 1) <= 0.5 AS passes FROM o")
+def proxy_diagnostics(s, d):
+    return Z.proxy_diagnostics(pair(s, d), ["series"])
+
+
+@query(f"WITH {X.INDEX}, p AS (SELECT idx.series, idx.date, idx.value, a.value AS own, b.value AS cross_ FROM idx JOIN idx a ON a.date = idx.date AND a.series = 'EUROPE' JOIN idx b ON b.date = idx.date AND b.series = 'ASIA' WHERE idx.series NOT IN ('ASIA', 'EUROPE')), m AS (SELECT series, ln(value) - ln(lag(value) OVER ({_LAG})) AS y, ln(own) - ln(lag(own) OVER ({_LAG})) AS a, ln(cross_) - ln(lag(cross_) OVER ({_LAG})) AS b FROM p) SELECT series, {r('corr(y, a)')} AS own_corr, {r('corr(y, b)')} AS cross_corr, {r('corr(y, a) - corr(y, b)')} AS margin, CASE WHEN corr(y, a) - corr(y, b) > 0 THEN 'ok' ELSE 'swapped' END AS status FROM m GROUP BY 1")
+def mapping_check(s, d):
+    level = X.index(s, d)
+    other = lambda x, n: level.filter(F.col("series") == x).select("date", F.col("value").alias(n))
+    return Z.mapping_check(level.filter("series not in ('ASIA', 'EUROPE')").join(other("EUROPE", "own"), "date").join(other("ASIA", "cross"), "date"), ["series"])
+
+
+@query(f"WITH {X.INDEX}, {HOLES}, e AS (SELECT series, min(date) AS lo, max(date) AS hi FROM holes WHERE series <> 'ASIA' OR date < DATE '2001-01-01' GROUP BY 1), v AS (SELECT series, date, CASE WHEN series <> 'ASIA' OR date < DATE '2001-01-01' THEN value END AS value FROM reg) SELECT v.series, count(value) AS n, min(lo) AS first, max(hi) AS last, count(*) FILTER (value IS NULL AND date > lo AND date < hi) AS internal_gaps, count(*) FILTER (value IS NULL AND date < lo) AS leading, count(*) FILTER (value IS NULL AND date > hi) AS trailing, {r('100.0 * count(value) / count(*)')} AS coverage FROM v JOIN e ON e.series = v.series GROUP BY 1")
+def missingness_audit(s, d):
+    cut = F.when((F.col("series") != "ASIA") | (F.col("date") < "2001-01-01"), F.col("value"))
+    return Z.missingness(T.regularise(holes(s, d), ["series"]).withColumn("value", cut), ["series"])
+
+
+DLOG = f"dl AS (SELECT series, date, value FROM (SELECT series, date, ln(value) - ln(lag(value) OVER ({_LAG})) AS value FROM idx) WHERE value IS NOT NULL)"
+
+
+def dlog(s, d):
+    return T.change(X.index(s, d), ["series"], 1, "logdiff").select("series", "date", F.col("change").alias("value")).filter("value is not null")
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, m AS (SELECT *, avg(value) OVER (PARTITION BY series) AS m, lag(value) OVER ({_LAG}) AS l FROM dl) SELECT series, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd, {r('skewness(value)')} AS skew, {r('kurtosis(value)')} AS kurtosis, {r('sum((value - m) * (l - m)) / sum((value - m) * (value - m))')} AS acf1, {r('max(abs(value))')} AS max_abs FROM m GROUP BY 1")
+def residual_diagnostics(s, d):
+    return Z.residual_diagnostics(dlog(s, d), ["series"])
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, c AS (SELECT series, date, value - avg(value) OVER (PARTITION BY series) AS c FROM dl) " + " UNION ALL ".join(f"SELECT series, CAST({k} AS INTEGER) AS lag, {r('sum(c * l) / sum(c * c)')} AS acf FROM (SELECT series, c, lag(c, {k}) OVER ({_LAG}) AS l FROM c) GROUP BY 1" for k in range(1, 7)))
+def acf(s, d):
+    return Z.acf(dlog(s, d), ["series"], 6)
+
+
+@query(f"WITH {X.INDEX}, v AS (SELECT date, exp(avg(ln((value / m) * (value / m)))) AS stress FROM (SELECT *, median(value) OVER (PARTITION BY series) AS m FROM idx) GROUP BY 1), q AS (SELECT 'p10' AS regime, quantile_cont(stress, 0.1) AS t FROM v UNION ALL SELECT 'p50', quantile_cont(stress, 0.5) FROM v UNION ALL SELECT 'p90', quantile_cont(stress, 0.9) FROM v UNION ALL SELECT 'peak', max(stress) FROM v) SELECT regime, date FROM (SELECT regime, date, row_number() OVER (PARTITION BY regime ORDER BY round(abs(ln(stress) - ln(t)), 12), date) AS k FROM v, q) WHERE k = 1")
+def joint_stress_regime(s, d):
+    return Z.regime_dates(Z.joint_stress(X.index(s, d), ["series"]))
+
+
+OUT = "oc AS (SELECT cube.series, cube.date, draw, cube.value / 1000 AS value, idx.value / 1000 AS outcome FROM cube JOIN idx ON idx.series = cube.series AND idx.date = cube.date)"
+
+
+def outcomes(s, d):
+    level = X.index(s, d).select("series", "date", (F.col("value") / 1000).alias("outcome"))
+    return X.cube(s, d).withColumn("value", F.col("value") / 1000).join(level, ["series", "date"])
+
+
+@query(f"WITH {X.CUBE}, {OUT}, k AS (SELECT *, row_number() OVER (PARTITION BY series, date ORDER BY value) AS i, count(*) OVER (PARTITION BY series, date) AS n FROM oc) SELECT series, date, {r('avg(abs(value - outcome)) - sum((2 * i - n - 1) * value / (n * n))')} AS crps FROM k GROUP BY 1, 2")
+def crps(s, d):
+    return Z.crps(outcomes(s, d), ["series", "date"])
+
+
+@query(f"WITH {X.CUBE}, {OUT}, h AS (SELECT series, date, count(*) AS n, 0.9 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349) * pow(count(*), -0.2) AS h FROM oc GROUP BY 1, 2) SELECT oc.series, oc.date, {r('ln(sum(exp(-0.5 * pow((outcome - value) / h, 2)))) - ln(max(n) * max(h) * sqrt(2 * pi()))')} AS log_score FROM oc JOIN h ON h.series = oc.series AND h.date = oc.date GROUP BY 1, 2")
+def log_score(s, d):
+    return Z.log_score(outcomes(s, d), ["series", "date"])
+
+
+@query(f"WITH {X.INDEX}, n AS (SELECT *, row_number() OVER ({_LAG}) AS i, lead(value, 3) OVER ({_LAG}) AS ahead FROM idx), a AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) - 1 AS back FROM n WHERE i >= 36 AND ahead IS NOT NULL) SELECT series, date, CAST(i AS INTEGER) AS i FROM a WHERE back % 2 = 0 AND back < 12")
+def oos_origins(s, d):
+    return Z.oos_origins(X.index(s, d), ["series"], 36, 3, 2, 6)
+
+
+SCALES = f"sc AS (SELECT series, count(*) AS n, regr_slope(value, x) AS phi, sqrt((regr_syy(value, x) - regr_slope(value, x) * regr_sxy(value, x)) / (count(*) - 2)) AS sigma FROM (SELECT series, value, lag(value) OVER ({_LAG}) AS x FROM dl) WHERE x IS NOT NULL GROUP BY 1)"
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, {SCALES} SELECT series, n, {r('phi')} AS phi, {r('sigma')} AS sigma FROM sc")
+def ar1_scales(s, d):
+    return Z.ar1_scales(dlog(s, d), ["series"])
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, {SCALES} SELECT a.series AS equation, b.series AS variable, CAST(l AS INTEGER) AS lag, CASE WHEN a.series = b.series THEN {r('0.2 / l')} ELSE {r('0.2 / l * 0.5 * a.sigma / b.sigma')} END AS sd FROM sc a, sc b, (SELECT unnest(range(1, 4)) AS l)")
+def minnesota_prior(s, d):
+    return Z.minnesota_prior(Z.ar1_scales(dlog(s, d), ["series"]), 3)
+
+
+@query(f"WITH {X.CUBE}, e AS (SELECT series, cube.date, abs(cube.value - idx.value) / 1000 AS error FROM cube JOIN idx USING (series, date)) SELECT series, {r('quantile_cont(error, 0.5)', 3)} AS median, {r('quantile_cont(error, 0.95)', 3)} AS p95, {r('quantile_cont(error, 0.99)', 3)} AS p99, {r('max(error)', 3)} AS max FROM e GROUP BY 1", digits=3)
+def projection_sweep(s, d):
+    e = outcomes(s, d).withColumn("error", F.abs(F.col("value") - F.col("outcome"))).withColumn("place", F.col("date"))
+    return Z.projection_sweep(e, ["series"]).drop("at")
+
+
+@query(f"WITH {X.CHAIN_ONE}, w AS (SELECT date, value FROM chain), p AS (SELECT date, sum(term) AS parts FROM terms GROUP BY 1) SELECT w.date, {r('abs(parts - value)')} AS gap FROM w JOIN p ON p.date = w.date")
+def displayed_additivity(s, d):
+    terms = C.chain_terms(X.index(s, d), X.weights(s, d)).select("date", F.col("term").alias("value"))
+    return Z.additivity_gap(terms, C.chain_link(X.index(s, d), X.weights(s, d)).select("date", "value"))
+
+
+# Registry
+
+
+@query(f"WITH {X.RUNS} SELECT model_id, count(*) AS runs, count(DISTINCT vintage) AS vintages, count(*) FILTER (promoted = 1) AS promoted, max(vintage) AS latest FROM runs GROUP BY 1")
+def run_coverage(s, d):
+    return R.run_coverage(X.runs(s, d))
+
+
+@query(f"WITH {X.RUNS} SELECT vintage, bool_or(model_id = 'Brand#11') AS \"Brand#11\", bool_or(model_id = 'Brand#22') AS \"Brand#22\" FROM runs GROUP BY 1")
+def vintage_matrix(s, d):
+    return R.vintage_matrix(X.runs(s, d), ["Brand#11", "Brand#22"])
+
+
+@query(f"WITH {X.RUNS} SELECT vintage, CAST(row_number() OVER (ORDER BY vintage DESC) AS INTEGER) AS rank FROM (SELECT vintage FROM runs WHERE model_id IN ('Brand#11', 'Brand#22') GROUP BY 1 HAVING count(DISTINCT model_id) = 2)")
+def common_vintage(s, d):
+    return R.common_vintages(X.runs(s, d), ["Brand#11", "Brand#22"])
+
+
+@query(f"WITH {X.RUNS}, k AS (SELECT model_id, vintage FROM runs WHERE run_id = 'r5') SELECT runs.model_id, runs.vintage, run_id, created, CASE WHEN k.model_id IS NULL THEN promoted WHEN run_id = 'r5' THEN 1 ELSE 0 END AS promoted FROM runs LEFT JOIN k ON k.model_id = runs.model_id AND k.vintage = runs.vintage")
+def promote_run(s, d):
+    return R.promote(X.runs(s, d), ["model_id", "vintage"], "r5")
+
+
+@query(f"WITH {X.RUNS} SELECT model_id, vintage, sum(promoted) AS promoted FROM runs GROUP BY 1, 2 HAVING sum(promoted) > 1")
+def promotion_conflicts(s, d):
+    return R.promotion_conflicts(X.runs(s, d), ["model_id", "vintage"])
+
+
+@query(f"WITH {X.RUNS} SELECT f.model_id, f.vintage, f.run_id, f.name, runs.created FROM (SELECT p_brand AS model_id, p_type AS vintage, 'r' || p_partkey AS run_id, p_name AS name FROM part WHERE p_size > 5) f JOIN runs ON runs.run_id = f.run_id AND runs.model_id = f.model_id AND runs.vintage = f.vintage WHERE promoted = 1")
+def promoted_join(s, d):
+    part = X.table(s, d, "part").filter("p_size > 5")
+    return R.promoted_forecasts(X.runs(s, d), part.select(F.col("p_brand").alias("model_id"), F.col("p_type").alias("vintage"), F.concat(F.lit("r"), "p_partkey").alias("run_id"), F.col("p_name").alias("name")))
+
+
+@query(f"WITH {X.RUNS} SELECT model_id, vintage, run_id, created, promoted FROM runs QUALIFY row_number() OVER (PARTITION BY model_id, vintage ORDER BY promoted DESC, created DESC, run_id) = 1")
+def resolve_run(s, d):
+    return R.resolve_run(X.runs(s, d), ["model_id", "vintage"])
+
+
+@query(f"WITH {X.RUNS} SELECT model_id, vintage, run_id, created, promoted, CAST(row_number() OVER (PARTITION BY vintage ORDER BY model_id, created DESC, run_id) AS INTEGER) AS place FROM runs WHERE promoted = 1")
+def promoted_order(s, d):
+    return R.ordered_runs(X.runs(s, d))
+
+
+@query(f"WITH {X.RUNS} SELECT run_id, file FROM runs, (SELECT unnest(['metadata.json', 'draws.parquet']) AS file) WHERE NOT (file = 'metadata.json' OR CAST(substr(run_id, 2) AS BIGINT) % 3 = 0)")
+def missing_files(s, d):
+    runs = X.runs(s, d)
+    held = runs.select("run_id", F.lit("metadata.json").alias("file")).unionByName(runs.filter(F.substring("run_id", 2, 20).cast("long") % 3 == 0).select("run_id", F.lit("draws.parquet").alias("file")))
+    return R.missing_files(runs, held, ["metadata.json", "draws.parquet"])
+
+
+# Scalars and tables
+
+
+@query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS text FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def json_flatten(s, d):
+    from anchorline.sources.readers import flatten_json
+
+    return flatten_json(X.table(s, d, "events"), "props", ["event_id"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date FROM orders")
+def date_parse(s, d):
+    orders = X.table(s, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.datediff("day", F.expr("date'1899-12-30'")).cast("string")).when(F.col("o_orderkey") % 3 == 1, F.col("day").cast("string")).otherwise("#N/A")
+    return orders.select("o_orderkey", S.parse_date(raw).alias("date"))
+
+
+@query("SELECT o_orderkey, len(regexp_extract_all(lower(o_orderpriority), '[a-z]+')) AS n, list_contains(regexp_extract_all(lower(o_orderpriority), '[a-z]+'), 'urgent') AS urgent, lower(trim(regexp_replace(o_orderpriority, '\\s+', ' ', 'g'))) AS text FROM orders")
+def flag_tokens(s, d):
+    tokens = S.flag_tokens(F.col("o_orderpriority"))
+    return X.table(s, d, "orders").select("o_orderkey", F.size(tokens).cast("long").alias("n"), F.array_contains(tokens, "urgent").alias("urgent"), S.clean_text(F.col("o_orderpriority")).alias("text"))
+
+
+@query(f"WITH {X.INDEX}, l AS (SELECT series, date, value, (value - avg(value) OVER (PARTITION BY series)) / stddev_samp(value) OVER (PARTITION BY series) AS z FROM idx), m AS (SELECT series, max(date) AS date, max_by(value, date) AS value, max_by(z, date) AS z FROM l GROUP BY 1) SELECT series, date, {r('value')} AS value, {r('z')} AS z, CASE WHEN z >= 1 THEN 'very high' WHEN z >= 0.5 THEN 'high' WHEN z >= -0.5 THEN 'normal' WHEN z >= -1 THEN 'low' ELSE 'very low' END AS regime FROM m")
+def economic_conditions(s, d):
+    z = X.index(s, d).withColumn("z", Z.z_score("value", ["series"]))
+    return z.groupBy("series").agg(F.max("date").alias("date"), F.max_by("value", "date").alias("value"), F.max_by("z", "date").alias("z")).withColumn("regime", S.regime(F.col("z")))
+
+
+@query(f"WITH {X.WEIGHTS}, l AS (SELECT series, max_by(value, date) AS latest, max(date) AS date FROM idx GROUP BY 1), y AS (SELECT a.series, 100 * (a.value / b.value - 1) AS yoy FROM idx a JOIN l ON l.series = a.series AND l.date = a.date JOIN idx b ON b.series = a.series AND a.date = b.date + INTERVAL 12 MONTH), sh AS (SELECT series, max_by(pct, year) AS weight FROM (SELECT series, year, 100 * w / sum(w) OVER (PARTITION BY year) AS pct FROM wts) GROUP BY 1) SELECT l.series, l.date, {r('latest')} AS latest, {r('yoy')} AS yoy, {r('weight')} AS weight FROM l LEFT JOIN y ON y.series = l.series JOIN sh ON sh.series = l.series")
+def outlook_overview(s, d):
+    level = X.index(s, d)
+    last = level.groupBy("series").agg(F.max_by("value", "date").alias("latest"), F.max("date").alias("date"))
+    yoy = T.growth_over(level, ["series"]).select("series", "date", F.col("growth").alias("yoy"))
+    share = C.weight_shares(X.weights(s, d)).groupBy("series").agg(F.max_by("pct", "year").alias("weight"))
+    return last.join(yoy, ["series", "date"], "left").join(share, "series")
+
+
+@query(f"WITH {X.CUBE}, f AS (SELECT series, date, avg(value) AS mean, quantile_cont(value, 0.5) AS q50 FROM cube GROUP BY 1, 2) SELECT series, date, 'history' AS record_type, {r('value', 2)} AS value, NULL::DOUBLE AS q50 FROM idx WHERE date <= DATE '2000-12-01' UNION ALL SELECT series, date, 'fan', {r('mean', 2)}, {r('q50', 2)} FROM f WHERE date > DATE '2000-12-01'", digits=2)
+def export_rows(s, d):
+    history = X.index(s, d).filter("date <= '2000-12-01'").select("series", "date", F.lit("history").alias("record_type"), "value")
+    fan = A.fan(X.cube(s, d), ["series", "date"]).filter("date > '2000-12-01'").select("series", "date", F.lit("fan").alias("record_type"), F.col("mean").alias("value"), "q50")
+    return history.unionByName(fan, allowMissingColumns=True)
+
+
+@query(f"WITH {X.INDEX} SELECT date, " + ", ".join(r(f"max(CASE WHEN series = '{n}' THEN value END)") + f' AS "{n}"' for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM idx GROUP BY 1")
+def pivot_panel(s, d):
+    from anchorline.sources.readers import pivot_panel as pivot
+
+    return pivot(X.index(s, d), ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+
+
+@query(f"WITH {X.INDEX} SELECT series, date, {r('value')} AS value FROM idx")
+def unpivot_block(s, d):
+    from anchorline.sources.readers import pivot_panel as pivot
+    from anchorline.sources.readers import unpivot_panel
+
+    return unpivot_panel(pivot(X.index(s, d), ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))).filter("value is not null")
+
+
+@query(f"WITH {X.INDEX}, {HOLES}, l AS (SELECT series, date, value, lag(date) OVER ({_LAG}) AS p FROM holes) SELECT series, count(*) FILTER (date = p) AS repeated, count(*) FILTER (date <> p AND date <> CAST(p + INTERVAL 1 MONTH AS DATE)) AS irregular, 0::BIGINT AS not_finite, count(*) FILTER (value <= 0) AS not_positive, count(value) = 0 AS all_null FROM l GROUP BY 1")
+def panel_violations(s, d):
+    from anchorline.operators.validate import panel_violations as violations
+
+    return violations(holes(s, d), ["series"])
