@@ -12,6 +12,7 @@ from anchorline.operators import align as J
 from anchorline.operators import calendar as T
 from anchorline.operators import fans as A
 from anchorline.operators import index as C
+from anchorline.operators import models as M
 from anchorline.operators import registry as R
 from anchorline.operators import stats as Z
 from anchorline.operators import tax as P
@@ -742,3 +743,109 @@ def panel_violations(s, d):
     from anchorline.operators.validate import panel_violations as violations
 
     return violations(holes(s, d), ["series"])
+
+
+# Models
+
+
+def model_panel(s, d):
+    """Monthly log changes in per cent of three regions."""
+    return dlog(s, d).filter("series in ('AFRICA', 'AMERICA', 'ASIA')").select(F.lit("m").alias("model_id"), "series", "date", (100 * F.col("value")).alias("value"))
+
+
+MP = "mp AS (SELECT series, date, 100 * value AS value FROM dl WHERE series IN ('AFRICA', 'AMERICA', 'ASIA')), ds AS (" + " UNION ALL ".join(f"SELECT date, series AS variable, {k} AS lag, x FROM (SELECT date, series, lag(value, {k}) OVER (PARTITION BY series ORDER BY date) AS x, lag(value, 2) OVER (PARTITION BY series ORDER BY date) AS whole FROM mp) WHERE whole IS NOT NULL" for k in (1, 2)) + "), dx AS (SELECT * FROM ds UNION ALL SELECT DISTINCT date, 'const', 0, 1.0 FROM ds)"
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, {MP} SELECT 'm' AS model_id, date, variable, CAST(lag AS INTEGER) AS lag, {r('x')} AS x FROM dx")
+def var_design(s, d):
+    return M.design(model_panel(s, d), ["model_id"], 2)
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, {MP}, co AS (SELECT e.series AS equation, v.variable, v.lag, (length(e.series) * 3 + length(v.variable) * 5 + v.lag * 7) % 11 / 100.0 - 0.05 AS b FROM (SELECT DISTINCT series FROM mp) e, (SELECT DISTINCT variable, lag FROM dx) v) SELECT 'm' AS model_id, date, equation, {r('sum(x * b)')} AS value FROM dx JOIN co ON co.variable = dx.variable AND co.lag = dx.lag GROUP BY ALL")
+def one_step_fitted(s, d):
+    panel = model_panel(s, d)
+    names = panel.select("model_id", "variable" if "variable" in panel.columns else F.col("series").alias("variable")).distinct()
+    terms = names.withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2)))).unionByName(names.select("model_id").distinct().select("model_id", F.lit("const").alias("variable"), F.lit(0).alias("lag")))
+    b = (F.length("equation") * 3 + F.length("variable") * 5 + F.col("lag") * 7) % 11 / 100.0 - 0.05
+    coefficients = names.withColumnRenamed("variable", "equation").join(terms, "model_id").withColumn("b", b)
+    return M.fitted(panel, coefficients, ["model_id"], 2)
+
+
+@query()
+def var_fit(s, d):
+    return M.fit(model_panel(s, d), ["model_id"], 2)
+
+
+@query()
+def companion_roots(s, d):
+    return M.companion_roots(M.fit(model_panel(s, d), ["model_id"], 2), ["model_id"])
+
+
+@query()
+def irf_paths(s, d):
+    panel = model_panel(s, d)
+    impacts = panel.select("model_id", F.col("series").alias("response"), F.col("series").alias("shock")).distinct().withColumn("value", F.lit(1.0))
+    return M.cumulative(M.impulse_responses(M.fit(panel, ["model_id"], 2), impacts, ["model_id"], 12), ["model_id"])
+
+
+IRF = "irf AS (SELECT CAST(draw AS INTEGER) AS draw, a.r_name AS response, b.r_name AS shock, CAST(h AS INTEGER) AS h, ((draw * 31 + a.r_regionkey * 17 + b.r_regionkey * 13 + h * 7) % 101 - 50) / 100.0 AS value FROM region a, region b, (SELECT unnest(range(0, 20)) AS draw), (SELECT unnest(range(0, 13)) AS h))"
+
+
+def responses(s, d):
+    """Responses made by arithmetic of draw, regions and horizon; both tables have a row for each region."""
+    region = X.table(s, d, "region")
+    left, right = region.select(F.col("r_name").alias("response"), F.col("r_regionkey").alias("i")), region.select(F.col("r_name").alias("shock"), F.col("r_regionkey").alias("j"))
+    grid = left.join(F.broadcast(right), F.lit(True)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(12))))
+    return grid.select("draw", "response", "shock", "h", (((F.col("draw") * 31 + F.col("i") * 17 + F.col("j") * 13 + F.col("h") * 7) % 101 - 50) / 100.0).alias("value"))
+
+
+@query(f"WITH {IRF} SELECT draw, response, shock, h, {r('value')} AS value, {r('sum(value) OVER (PARTITION BY draw, response, shock ORDER BY h)')} AS cumulative FROM irf")
+def irf_cumulative(s, d):
+    return M.cumulative(responses(s, d), ["draw"])
+
+
+@query(f"WITH {IRF}, o AS (SELECT *, sum(value * value) OVER (PARTITION BY draw, response, shock ORDER BY h) AS own FROM irf) SELECT draw, response, shock, h, {r('own / sum(own) OVER (PARTITION BY draw, response, h)')} AS share FROM o")
+def fevd_shares(s, d):
+    return M.variance_shares(responses(s, d), ["draw"])
+
+
+@query(f"WITH {X.WEIGHTS}, {IRF}, b AS (SELECT series, date, value, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS h FROM idx WHERE date >= DATE '2000-01-01'), c AS (SELECT draw, response AS series, h, sum(value) OVER (PARTITION BY draw, response ORDER BY h) / 100 AS cumulative FROM irf WHERE shock = 'ASIA'), w AS (SELECT series, w FROM wts WHERE year = 2000) SELECT draw, date, {r('100 * (sum(w * value * exp(cumulative)) / sum(w * value) - 1)')} AS effect FROM b JOIN c ON c.series = b.series AND c.h = b.h JOIN w ON w.series = b.series GROUP BY 1, 2")
+def nonlinear_response(s, d):
+    from pyspark.sql import Window
+
+    base = X.index(s, d).filter("date >= '2000-01-01'").withColumn("h", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
+    irf = M.cumulative(responses(s, d), ["draw"]).filter("shock = 'ASIA'").select("draw", F.col("response").alias("series"), "h", (F.col("cumulative") / 100).alias("cumulative"))
+    return M.nonlinear_response(base, irf, ["draw"], X.weights(s, d).filter("year = 2000").select("series", "w"))
+
+
+@query(f"WITH {X.INDEX}, {DLOG}, {IRF}, e AS (SELECT series AS shock, date, value, (year(date) - 1995) * 12 + month(date) AS t FROM dl), p AS (SELECT draw, response, e.shock, e.t + h AS t, e.value * irf.value AS c FROM e JOIN irf ON irf.shock = e.shock WHERE draw < 2), s AS (SELECT draw, response, shock, t, sum(c) AS contribution FROM p GROUP BY ALL) SELECT s.draw, response, s.shock, s.t, d.date, {r('contribution')} AS contribution, 0.0 AS amplified FROM s JOIN (SELECT DISTINCT t, date FROM e) d ON d.t = s.t")
+def historical_decomposition(s, d):
+    e = dlog(s, d).select(F.col("series").alias("shock"), "date", "value", ((F.year("date") - 1995) * 12 + F.month("date")).cast("long").alias("t"))
+    shocks = e.withColumn("draw", F.explode(F.array(F.lit(0), F.lit(1))))
+    return M.historical_decomposition(shocks, responses(s, d).filter("draw < 2"), ["draw"])
+
+
+def posterior(s, d):
+    chains = model_panel(s, d).withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
+    return M.gibbs(chains, ["model_id", "chain"], 2, 60, 30, 42)
+
+
+@query()
+def gibbs_summary(s, d):
+    return Z.parameter_summary(posterior(s, d).withColumnRenamed("b", "value"), ["kind", "equation", "variable", "lag"])
+
+
+@query()
+def effective_sizes(s, d):
+    one = posterior(s, d).filter("kind = 'phi'").withColumnRenamed("b", "value")
+    return M.effective_size(one, ["model_id", "chain", "equation"])
+
+
+@query()
+def predictive_fan(s, d):
+    from pyspark.sql import Window
+
+    panel = model_panel(s, d)
+    tail = panel.withColumn("back", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("date"))) - 1).filter("back < 2").withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
+    paths = M.simulate(posterior(s, d), tail.select("model_id", "chain", "series", "back", "value"), ["model_id", "chain"], 6, 7)
+    return A.fan(paths, ["series", "h"])
