@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +76,8 @@ def embed(s: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
 
 
 def lists(column: pa.Array) -> Iterator[np.ndarray]:
-    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
     for i in range(len(column)):
         yield values[offsets[i] : offsets[i + 1]]
 
@@ -161,40 +161,75 @@ def blocks(members: DataFrame) -> DataFrame:
     return members.withColumn("block", mine).withColumn("pair", F.explode(others)).select("*", "pair.row", "pair.column").drop("pair")
 
 
-def alike(values: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Pairs whose embeddings and sizes leave the threshold possible."""
-    least = THRESHOLD - SLACK * np.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
-    same = np.zeros((len(values), len(values)), np.int16)
-    for i in range(COORDINATES):
-        same += values[:, i, None] == values[None, :, i]
-    ratio = np.minimum(size[:, None], size[None, :]) >= THRESHOLD * np.maximum(size[:, None], size[None, :])
-    return (same >= least * COORDINATES) & ratio & (size[:, None] > 0)
+#: Embeddings that share fewer values rule a pair out.
+LEAST_SHARED = (THRESHOLD - SLACK * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5) * COORDINATES
 
 
-def compared_here(frame: pd.DataFrame) -> np.ndarray:
-    """Pairs to be compared in this pair of blocks: across its blocks, or within the one; and in no node before this.
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches, sorted by their first three columns, cut where these change; with the bounds of their groups."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        keys = [rows.column(i).to_numpy() for i in range(3)]
+        starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if rows.num_rows else np.zeros(1, int)
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts
+        held = rows.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def padded(column: pa.Array, fill: int) -> np.ndarray:
+    """Lists as the rows of a matrix."""
+    size = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), max(1, int(size.max(initial=1)))), fill, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+class Members:
+    """The rows of some pairs of blocks: which of their pairs are to be compared there.
 
-    A pair that shares several nodes is compared at the least of them alone.
+    Those across the two blocks, or within the one, that share no node before this: a pair that meets in several nodes
+    is compared in the least of them alone.
     """
-    row, column = frame["row"].iat[0], frame["column"].iat[0]
-    block = frame["block"].to_numpy()
-    across = block[:, None] != block[None, :] if row != column else np.ones((len(frame), len(frame)), bool)
-    path = frame["path"].iat[0]
-    earlier = [np.asarray(x, np.int64) for x in frame["paths"]]
-    flat = np.concatenate([x[x < path] for x in earlier]) if earlier else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(frame)), [int((x < path).sum()) for x in earlier])
-    _, number = np.unique(flat, return_inverse=True)
-    for at in np.split(owner[np.argsort(number, kind="stable")], np.cumsum(np.bincount(number))[:-1]) if len(flat) else []:
-        if len(at) > 1:
-            across[np.ix_(at, at)] = False
-    np.fill_diagonal(across, False)
-    return across
-
-
-def possible(frame: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a pair of blocks that have a possible partner here."""
-    pairs = compared_here(frame) & alike(np.stack(frame["values"].to_numpy()), frame["size"].to_numpy())
-    return frame.loc[pairs.any(1), ["path", "row", "column", "block", "rep", "paths"]]
+
+    def __init__(self, rows: pa.RecordBatch) -> None:
+        self.path, row, column, self.block, self.rep = (rows.column(i).to_numpy() for i in range(5))
+        self.inner = row == column
+        self.left, self.right = (padded(rows.column(5), np.iinfo(np.int64).min + k) for k in (0, 1))
+
+    def here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = (self.inner[i] | (self.block[i] != self.block[j])) & (self.rep[i] != self.rep[j])
+        step = max(1, (1 << 22) // self.left.shape[1] ** 2)
+        for k in range(0, len(i), step):
+            part = np.flatnonzero(ok[k : k + step]) + k
+            a, b = self.left[i[part]], self.right[j[part]]
+            met = (a[:, :, None] == b[:, None, :]) & (a < self.path[i[part]][:, None])[:, :, None]
+            ok[part[met.any((1, 2))]] = False
+        return ok
+
+
+MEMBERS = "path long, row int, column int, block int, rep long, paths array<long>"
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MEMBERS, size, values -> MEMBERS of the documents that have a possible partner where they are compared."""
+    for rows, bounds in whole_groups(batches):
+        members, n = Members(rows), rows.num_rows
+        size = rows.column(6).to_numpy()
+        values = rows.column(7).flatten().to_numpy(zero_copy_only=False).reshape(n, COORDINATES)
+        last = np.repeat(bounds[1:], np.diff(bounds))
+        found = np.zeros(n, bool)
+        i = np.arange(n)
+        for d in range(1, int(np.diff(bounds).max(initial=1))):
+            i = i[i + d < last[i]]
+            j = i + d
+            near = i[np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j])]
+            near = near[(values[near] == values[near + d]).sum(1) >= LEAST_SHARED]
+            near = near[members.here(near, near + d)]
+            found[near] = found[near + d] = True
+        yield rows.filter(pa.array(found)).select(list(range(6)))
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -217,26 +252,36 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of each document here: its linked partners' members, and one partner that leads to its group."""
-    sets = [np.asarray(x, np.int64) for x in frame["shingles"]]
-    size = np.array([len(s) for s in sets])
-    shared = shared_counts(sets)
-    # shared / union >= 4 / 5, in whole numbers.
-    near = compared_here(frame) & (100 * shared >= round(100 * THRESHOLD) * (size[:, None] + size[None, :] - shared))
-    rep, members = frame["rep"].to_numpy(), frame["members"].to_numpy()
-    # Spanning links: every document leads to the least one that it reaches here.
-    least = np.arange(len(rep))[np.argsort(np.argsort(rep))]
-    lead = rep.copy()
-    while True:
-        reach = np.where(near, lead[None, :], np.iinfo(np.int64).max).min(1)
-        now = np.minimum(lead, reach)
-        if (now == lead).all():
-            break
-        lead = now
-    del least
-    found = near.any(1)
-    return pd.DataFrame({"rep": rep[found], "lead": lead[found], "linked": (near * members[None, :]).sum(1)[found]})
+def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MEMBERS, shingles, copies -> rep, lead, linked: of each document the copies of its partners here, and the least
+    document that they lead to."""
+    for rows, bounds in whole_groups(batches):
+        members, copies = Members(rows), rows.column(7).to_numpy()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            sets = list(lists(rows.column(6).slice(lo, hi - lo)))
+            size = np.array([len(x) for x in sets])
+            shared = shared_counts(sets)
+            # shared / union >= THRESHOLD, in whole numbers.
+            near = 100 * shared >= round(100 * THRESHOLD) * (size[:, None] + size[None, :] - shared)
+            np.fill_diagonal(near, False)
+            i, j = np.nonzero(near)
+            ok = members.here(i + lo, j + lo)
+            near[i[~ok], j[~ok]] = False
+            rep = members.rep[lo:hi]
+            lead = rep
+            while True:
+                now = np.minimum(lead, np.where(near, lead[None, :], np.iinfo(np.int64).max).min(1))
+                if (now == lead).all():
+                    break
+                lead = now
+            found = near.any(1)
+            for x, y in zip(out, (rep[found], lead[found], (near * copies[None, lo:hi]).sum(1)[found]), strict=True):
+                x.append(y)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["rep", "lead", "linked"])
 
 
 def components(edges: DataFrame, base: str) -> DataFrame:
@@ -257,6 +302,11 @@ def components(edges: DataFrame, base: str) -> DataFrame:
         edges = after
 
 
+def grouped(df: DataFrame) -> DataFrame:
+    """The rows of each pair of blocks, 2 * BRUTE at most, one after another."""
+    return df.repartition("path", "row", "column").sortWithinPartitions("path", "row", "column", "rep")
+
+
 def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id and n_links of every document.
 
@@ -286,8 +336,7 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         members = members.unionByName(part)
     paths = members.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     placed = blocks(members.join(paths.join(reps.select("rep", "size", "values"), "rep"), "rep"))
-    near = "path long, row int, column int, block int, rep long, paths array<long>"
-    active = written(placed.groupBy("path", "row", "column").applyInPandas(possible, near), f"{base}/active")
+    active = written(grouped(placed.select("path", "row", "column", "block", "rep", "paths", "size", "values")).mapInArrow(possible, MEMBERS), f"{base}/active")
 
     chosen = written(active.select("rep").distinct(), f"{base}/chosen")
     texts = rows.filter("doc_id is not null").withColumnRenamed("doc_id", "rep")
@@ -299,8 +348,8 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     known = texts.select("rep", word_hashes(F.col("text")).alias("words")).mapInArrow(sets, "rep long, shingles array<long>").dropDuplicates(["rep"])
-    exact = active.join(known, "rep").join(reps.select("rep", "members"), "rep")
-    linked = written(exact.groupBy("path", "row", "column").applyInPandas(links, "rep long, lead long, linked long"), f"{base}/links")
+    exact = active.join(known, "rep").join(reps.select("rep", "members"), "rep").select("path", "row", "column", "block", "rep", "paths", "shingles", "members")
+    linked = written(grouped(exact).mapInArrow(links, "rep long, lead long, linked long"), f"{base}/links")
 
     groups = components(linked, base)
     totals = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))

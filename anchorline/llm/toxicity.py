@@ -24,7 +24,7 @@ FIT_ROWS = 3000
 KEPT = 2048
 PIECE = 1 << 20
 SMOOTHING = 1.0
-L2, STEPS, RATE = 1e-5, 600, 0.1
+L2, STEPS, RATE = 1e-5, 400, 0.1
 #: Least z of the difference of a bucket's shares in the two labels.
 LEAST_Z = 6.0
 
@@ -83,11 +83,11 @@ def significant(found: DataFrame, rows: tuple[float, float], most: int = KEPT) -
 
 def logistic(x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted log loss."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    total = importance.sum()
+    x, y, importance = x.astype(np.float32), y.astype(np.float32), (importance / importance.sum()).astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
+    m, v = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     for step in range(1, STEPS + 1):
-        error = importance * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / total
+        error = importance * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
         g = np.append(x.T @ error + L2 * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     importance = np.where(y == 1, totals[1] / rows[1], totals[0] / rows[0])
     # Scale so that a text's features do not outgrow the steps.
     scale = 1 / max(1.0, float(np.abs(x).sum(1).mean()))
-    w, b = logistic(x * scale, y, importance)
+    w, b = logistic(x * np.float32(scale), y, importance)
     weights[kept] = w * scale * ratio
     return Model(weights, b)
 
