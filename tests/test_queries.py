@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 
 def cell(v):
-    if v is None or v is pd.NaT or v != v:
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
         return None
     if isinstance(v, float):
         return round(v, 4) + 0.0
