@@ -4,8 +4,12 @@ A document is the set of its 5-word shingles. Documents with equal sets form a c
 is embedded as COORDINATES MinHash values, of which two documents share about as large a part as their sets' Jaccard
 similarity. A run splits all documents again and again: a node of the path chooses one coordinate, and now and then a
 second, and its documents part by their values there. Nodes of few documents are compared by brute force; nodes that
-are still large after DEPTH splits are compared in blocks. Runs are repeated until the chance of finding a pair at
-the threshold reaches the target recall. Of pairs that the embeddings leave possible the exact sets decide.
+are still large after DEPTH splits, or that a split leaves nearly whole, are compared in blocks. Runs are repeated until
+the chance of finding a pair at the threshold reaches the target recall. Of pairs that the embeddings leave possible the
+exact sets decide.
+
+Many runs find a large group of near copies again and again. Each document is therefore at home in the largest of its
+large nodes; documents of one home are compared there alone, so other nodes only compare documents of different homes.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ COORDINATES = 64
 DEPTH = 4
 #: Documents of a node, and of a block of a larger node, that are compared by brute force.
 BRUTE = 128
+#: Strays of a large node that go to each of its blocks; with more, all are compared in pairs of blocks.
+STRAYS = 4 * BRUTE
 #: Share of nodes that choose a second coordinate, so that a pair at the threshold has one child on average.
 SECOND = 1 / THRESHOLD - 1
 RUNS_AT_ONCE = 4
@@ -131,18 +137,21 @@ def nodes(reps: DataFrame, first_run: int, runs: int, base: str) -> tuple[DataFr
     """path, rep, count of the nodes of two documents or more at which some runs end, and the deepest split."""
     spread = reps.select("rep", "values", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
     level = spread.select("rep", F.explode(children(F.col("run"), F.lit(0), F.col("values"))).alias("path"))
-    level = written(level, f"{base}/level-{first_run}-1")
+    level = written(level.withColumn("above", F.lit(None).cast("long")), f"{base}/level-{first_run}-1")
     done, depth = [], 1
     while True:
         counts = level.groupBy("path").agg(F.count("*").alias("count")).filter(F.col("count") > 1)
         counted = written(spread_join(level, counts, "path"), f"{base}/counted-{first_run}-{depth}")
-        large = counted.filter(F.col("count") > BRUTE)
+        # As many of its parent's documents as pairs at the threshold leave together: more splits would not part them.
+        whole = F.coalesce(F.col("count") >= THRESHOLD * F.col("above"), F.lit(False))
+        ends = (F.col("count") <= BRUTE) | whole
+        large = counted.filter(~ends)
         if depth == DEPTH or large.isEmpty():
-            done.append(counted)
+            done.append(counted.select("path", "rep", "count"))
             break
-        done.append(counted.filter(F.col("count") <= BRUTE))
-        again = large.select("rep", "path").join(reps.select("rep", "values"), "rep")
-        level = written(again.select("rep", F.explode(children(F.lit(depth), F.col("path"), F.col("values"))).alias("path")), f"{base}/level-{first_run}-{depth + 1}")
+        done.append(counted.filter(ends).select("path", "rep", "count"))
+        again = large.select("rep", "path", "count").join(reps.select("rep", "values"), "rep")
+        level = written(again.select("rep", F.explode(children(F.lit(depth), F.col("path"), F.col("values"))).alias("path"), F.col("count").alias("above")), f"{base}/level-{first_run}-{depth + 1}")
         depth += 1
     out = done[0]
     for part in done[1:]:
@@ -150,15 +159,40 @@ def nodes(reps: DataFrame, first_run: int, runs: int, base: str) -> tuple[DataFr
     return out, depth
 
 
+def homes(members: DataFrame) -> DataFrame:
+    """rep, paths, home: of each document its nodes in ascending order and the largest of the large ones, 0 if none is."""
+    largest = F.max(F.when(F.col("count") > BRUTE, F.struct("count", "path")))["path"]
+    return members.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("paths"), F.coalesce(largest, F.lit(0)).alias("home"))
+
+
+def tallies(members: DataFrame, at: DataFrame) -> DataFrame:
+    """path, host, strays of each large node: the home of most of its documents, and the number of the others."""
+    large = members.filter(F.col("count") > BRUTE).join(at.select("rep", "home"), "rep")
+    each = large.groupBy("path", "home").agg(F.count("*").alias("n"))
+    return each.groupBy("path").agg(F.max_by("home", F.struct("n", "home")).alias("host"), (F.sum("n") - F.max("n")).alias("strays"))
+
+
+#: What a document is in its node: compared with all there, one of many that are at home in another node, or a stray there.
+ALL, HOSTED, STRAY = 0, 1, 2
+
+
 def blocks(members: DataFrame) -> DataFrame:
-    """``members`` (path, rep, count, ...) with the pairs of blocks in which each is compared: row, column, side.
+    """``members`` (path, rep, count, home, host, strays, ...) with the pairs of blocks in which each is compared: row,
+    column, its own block, and what it is.
 
-    A node of up to BRUTE documents is one block; of a larger one, each document goes to its block's pairs with all blocks.
+    A node of up to BRUTE documents is one block. Of a larger one, each document goes to its block's pairs with all blocks.
+    Where most are at home in another node and few are not, only these strays go to all blocks, the others to their own.
     """
     n = F.ceil(F.col("count") / BRUTE).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(7)), n).cast("int")
     others = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(mine, k).alias("row"), F.greatest(mine, k).alias("column")))
-    return members.withColumn("block", mine).withColumn("pair", F.explode(others)).select("*", "pair.row", "pair.column").drop("pair")
+    alone = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("row"), k.alias("column")))
+    own = F.array(F.struct(mine.alias("row"), mine.alias("column")))
+    light = F.coalesce((F.col("host") != F.col("path")) & (F.col("strays") <= STRAYS), F.lit(False))
+    what = F.when(~light, ALL).when(F.col("home") == F.col("host"), HOSTED).otherwise(STRAY)
+    # Where nobody strays from a home elsewhere, nothing is left to compare.
+    here = members.filter(~(light & (F.col("strays") == 0))).withColumn("what", what).withColumn("block", mine)
+    return here.withColumn("pair", F.explode(F.when(what == ALL, others).when(what == HOSTED, own).otherwise(alone))).select("*", "pair.row", "pair.column").drop("pair")
 
 
 #: Embeddings that share fewer values rule a pair out.
@@ -191,34 +225,38 @@ class Members:
     """The rows of some pairs of blocks: which of their pairs are to be compared there.
 
     Those across the two blocks, or within the one, that share no node before this: a pair that meets in several nodes
-    is compared in the least of them alone.
+    is compared in the least of them alone, or in its home if it has one home. Two strays are compared in one of the blocks.
     """
 
     def __init__(self, rows: pa.RecordBatch) -> None:
         self.path, row, column, self.block, self.rep = (rows.column(i).to_numpy() for i in range(5))
-        self.inner = row == column
+        self.row, self.inner = row, row == column
+        self.home, self.stray = rows.column(6).to_numpy(), rows.column(7).to_numpy() == STRAY
         self.left, self.right = (padded(rows.column(5), np.iinfo(np.int64).min + k) for k in (0, 1))
 
     def here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = (self.inner[i] | (self.block[i] != self.block[j])) & (self.rep[i] != self.rep[j])
+        ok &= ~(self.stray[i] & self.stray[j]) | (self.row[i] == np.minimum(self.block[i], self.block[j]))
+        housed = (self.home[i] == self.home[j]) & (self.home[i] != 0)
+        ok &= ~housed | (self.home[i] == self.path[i])
         step = max(1, (1 << 22) // self.left.shape[1] ** 2)
         for k in range(0, len(i), step):
-            part = np.flatnonzero(ok[k : k + step]) + k
+            part = np.flatnonzero((ok & ~housed)[k : k + step]) + k
             a, b = self.left[i[part]], self.right[j[part]]
             met = (a[:, :, None] == b[:, None, :]) & (a < self.path[i[part]][:, None])[:, :, None]
             ok[part[met.any((1, 2))]] = False
         return ok
 
 
-MEMBERS = "path long, row int, column int, block int, rep long, paths array<long>"
+MEMBERS = "path long, row int, column int, block int, rep long, paths array<long>, home long, what int, copies long"
 
 
 def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """MEMBERS, size, values -> MEMBERS of the documents that have a possible partner where they are compared."""
     for rows, bounds in whole_groups(batches):
         members, n = Members(rows), rows.num_rows
-        size = rows.column(6).to_numpy()
-        values = rows.column(7).flatten().to_numpy(zero_copy_only=False).reshape(n, COORDINATES)
+        size = rows.column(9).to_numpy()
+        values = rows.column(10).flatten().to_numpy(zero_copy_only=False).reshape(n, COORDINATES)
         last = np.repeat(bounds[1:], np.diff(bounds))
         found = np.zeros(n, bool)
         i = np.arange(n)
@@ -229,7 +267,7 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = near[(values[near] == values[near + d]).sum(1) >= LEAST_SHARED]
             near = near[members.here(near, near + d)]
             found[near] = found[near + d] = True
-        yield rows.filter(pa.array(found)).select(list(range(6)))
+        yield rows.filter(pa.array(found)).select(list(range(9)))
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -253,15 +291,15 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MEMBERS, shingles, copies -> rep, lead, linked: of each document the copies of its partners here, and the least
+    """MEMBERS, shingles -> rep, lead, linked: of each document the copies of its partners here, and the least
     document that they lead to."""
     for rows, bounds in whole_groups(batches):
-        members, copies = Members(rows), rows.column(7).to_numpy()
+        members, copies = Members(rows), rows.column(8).to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo < 2:
                 continue
-            sets = list(lists(rows.column(6).slice(lo, hi - lo)))
+            sets = list(lists(rows.column(9).slice(lo, hi - lo)))
             size = np.array([len(x) for x in sets])
             shared = shared_counts(sets)
             # shared / union >= THRESHOLD, in whole numbers.
@@ -303,7 +341,7 @@ def components(edges: DataFrame, base: str) -> DataFrame:
 
 
 def grouped(df: DataFrame) -> DataFrame:
-    """The rows of each pair of blocks, 2 * BRUTE at most, one after another."""
+    """The rows of each pair of blocks, about BRUTE + STRAYS at most, one after another."""
     return df.repartition("path", "row", "column").sortWithinPartitions("path", "row", "column", "rep")
 
 
@@ -334,9 +372,10 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     members = parts[0]
     for part in parts[1:]:
         members = members.unionByName(part)
-    paths = members.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    placed = blocks(members.join(paths.join(reps.select("rep", "size", "values"), "rep"), "rep"))
-    active = written(grouped(placed.select("path", "row", "column", "block", "rep", "paths", "size", "values")).mapInArrow(possible, MEMBERS), f"{base}/active")
+    at = written(homes(members), f"{base}/homes")
+    tallied = written(tallies(members, at), f"{base}/tallies")
+    placed = blocks(spread_join(members.join(at.join(reps.select("rep", F.col("members").alias("copies"), "size", "values"), "rep"), "rep"), tallied, "path", "left"))
+    active = written(grouped(placed.select("path", "row", "column", "block", "rep", "paths", "home", "what", "copies", "size", "values")).mapInArrow(possible, MEMBERS), f"{base}/active")
 
     chosen = written(active.select("rep").distinct(), f"{base}/chosen")
     texts = rows.filter("doc_id is not null").withColumnRenamed("doc_id", "rep")
@@ -348,14 +387,16 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     known = texts.select("rep", word_hashes(F.col("text")).alias("words")).mapInArrow(sets, "rep long, shingles array<long>").dropDuplicates(["rep"])
-    exact = active.join(known, "rep").join(reps.select("rep", "members"), "rep").select("path", "row", "column", "block", "rep", "paths", "shingles", "members")
+    exact = active.join(known, "rep").select("path", "row", "column", "block", "rep", "paths", "home", "what", "copies", "shingles")
     linked = written(grouped(exact).mapInArrow(links, "rep long, lead long, linked long"), f"{base}/links")
 
     groups = components(linked, base)
     totals = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    classes = same.join(totals, "rep", "left").join(groups, "rep", "left").select("hash_a", "hash_b", F.coalesce("group", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    classes = same.join(totals, "rep", "left").join(groups, "rep", "left").select("rep", "members", "hash_a", "hash_b", F.coalesce("group", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).cast("long").alias("n_links"))
     classes = written(classes, f"{base}/named")
+    # A class of one is its document; only members of larger ones are looked up, dealt over SALTS parts.
+    single = classes.filter("members = 1").select(F.col("rep").alias("doc_id"), "class_id", "n_links")
+    many = classes.filter("members > 1").select("hash_a", "hash_b", "class_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = sketches.select("doc_id", "hash_a", "hash_b").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    many = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) 
-    out = salted.join(many, ["hash_a", "hash_b", "salt"]).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    out = single.unionByName(salted.join(many, ["hash_a", "hash_b", "salt"]).select("doc_id", "class_id", "n_links"))
     return out.unionByName(rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
