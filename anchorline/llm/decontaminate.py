@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import ascii_lower, small_enough, workspace, written
+from anchorline.llm.shared import ascii_lower, row_mark, small_enough, workspace, written
 
 WINDOW = 10
 K = 5
@@ -86,6 +86,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     the empty text. An item without an item_id makes hits but is not counted. Rows that repeat have the same figures each;
     rows of one doc_id, null among them, with other texts have their own. Empty tables give no rows, or no hits.
     """
+    return marked_contamination(docs, benchmark, window, k).drop("mark")
+
+
+def marked_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The columns of contamination() and the row's ``mark``."""
     base = workspace(docs.sparkSession, "decontaminate")
     items = written(benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).filter("size(words) > 0"), f"{base}/items")
     # At most window - 1 numbers: the lengths of items that are shorter than a window.
@@ -100,9 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     wanted = written(wanted.distinct(), f"{base}/hashes")
     windows = written(windows.select("item", F.col("w.words").alias("window")).distinct(), f"{base}/windows")
 
-    # A row is known by its doc_id and text; rows with the same of both have the same hits.
-    mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.select("doc_id", "text").withColumn("mark", mark)
+    rows = docs.select("doc_id", "text").withColumn("mark", row_mark())
     hashed = with_fingerprints(rows.select("mark", words_of(F.col("text")).alias("words")), "words", window, k, "f")
     for n in short:
         hashed = with_gram_hashes(hashed, "words", n, f"s{n}")
@@ -127,4 +130,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "mark",
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import small_enough, workspace, written
+from anchorline.llm.shared import row_mark, small_enough, workspace, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -89,7 +89,7 @@ def lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, words, text_hash -> doc_id, set_hash (two numbers), size, values."""
+    """doc_id, words, text_hash, mark -> doc_id, mark, set_hash (two numbers), size, values."""
     for batch in batches:
         size, a, b, values = [], [], [], []
         for words, text in zip(lists(batch.column(1)), batch.column(2).to_pylist(), strict=True):
@@ -104,7 +104,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values.append(embed(s))
         flat = np.concatenate(values).view(np.int32) if values else np.zeros(0, np.int32)
         column = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * COORDINATES), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), column], ["doc_id", "hash_a", "hash_b", "size", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), column], ["doc_id", "mark", "hash_a", "hash_b", "size", "values"])
 
 
 def survival(depth: int, similarity: float = THRESHOLD, second: float = SECOND) -> float:
@@ -353,15 +353,28 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     texts (null counts as empty). Rows without a doc_id have none to be linked by: they return with a null class and no
     links. Rows that repeat a doc_id count as documents each, and return each. Empty tables give no rows.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    out = marked_classes(rows.filter("doc_id is not null"), recall).select("doc_id", "class_id", "n_links")
+    return out.unionByName(rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def marked_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, mark, class_id, class_mark, n_links of every row, rows without a doc_id as documents like the others.
+
+    The first document of a class, by class_id and class_mark, is that of the least doc_id and of these the least mark; one
+    without a doc_id comes first only where none has one.
+    """
     spark = docs.sparkSession
     base = workspace(spark, "jaccard")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    prepared = rows.select("doc_id", word_hashes(F.col("text")).alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).filter("doc_id is not null")
-    sketches = written(prepared.mapInArrow(sketch, "doc_id long, hash_a long, hash_b long, size int, values array<int>"), f"{base}/sketches")
-    same = written(sketches.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), f"{base}/classes")
-    # The least doc_id of a class stands for it; rows that repeat it are one.
-    reps = sketches.join(same, (sketches["doc_id"] == same["rep"]) & (sketches["hash_a"] == same["hash_a"]) & (sketches["hash_b"] == same["hash_b"])).filter("size > 0")
-    reps = written(reps.select("rep", "members", "size", "values").dropDuplicates(["rep"]), f"{base}/reps")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("mark", row_mark())
+    prepared = rows.select("doc_id", word_hashes(F.col("text")).alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "mark")
+    sketches = written(prepared.mapInArrow(sketch, "doc_id long, mark string, hash_a long, hash_b long, size int, values array<int>"), f"{base}/sketches")
+    # Classes are numbered, as two of them may have one least doc_id; written, the numbers stay as they are.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    same = written(sketches.groupBy("hash_a", "hash_b").agg(first, F.count("*").alias("members")).withColumn("rep", F.monotonically_increasing_id()), f"{base}/classes")
+    # The first document of a class stands for it; rows that repeat it are one.
+    reps = sketches.filter("size > 0").join(same.select(F.col("first.mark").alias("mark"), "rep", "members"), "mark")
+    reps = written(reps.select("rep", "mark", "members", "size", "values").dropDuplicates(["rep"]), f"{base}/reps")
 
     parts, missed, run = [], 1.0, 0
     while 1 - missed < recall and run < MOST_RUNS:
@@ -377,9 +390,8 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     placed = blocks(spread_join(members.join(at.join(reps.select("rep", F.col("members").alias("copies"), "size", "values"), "rep"), "rep"), tallied, "path", "left"))
     active = written(grouped(placed.select("path", "row", "column", "block", "rep", "paths", "home", "what", "copies", "size", "values")).mapInArrow(possible, MEMBERS), f"{base}/active")
 
-    chosen = written(active.select("rep").distinct(), f"{base}/chosen")
-    texts = rows.filter("doc_id is not null").withColumnRenamed("doc_id", "rep")
-    texts = texts.join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "rep", "left_semi")
+    chosen = written(active.select("rep").distinct().join(reps.select("rep", "mark"), "rep"), f"{base}/chosen")
+    texts = rows.select("mark", "text").join(F.broadcast(chosen) if small_enough(chosen, BROADCAST_ROWS) else chosen, "mark")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,11 +404,14 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
     groups = components(linked, base)
     totals = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    classes = same.join(totals, "rep", "left").join(groups, "rep", "left").select("rep", "members", "hash_a", "hash_b", F.coalesce("group", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).cast("long").alias("n_links"))
+    # Only linked classes are looked at for the first document of all that they lead to.
+    led = written(groups.unionByName(groups.select(F.col("group").alias("rep"), "group").distinct()).join(same.select("rep", "first"), "rep"), f"{base}/led")
+    heads = spread_join(led.select("rep", "group"), led.groupBy("group").agg(F.min("first").alias("head")), "group").select("rep", "head")
+    classes = same.join(totals, "rep", "left").join(heads, "rep", "left").select("first", "members", "hash_a", "hash_b", F.coalesce("head", "first").alias("head"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).cast("long").alias("n_links"))
     classes = written(classes, f"{base}/named")
+    classes = classes.select("first", "members", "hash_a", "hash_b", F.col("head.doc_id").alias("class_id"), F.col("head.mark").alias("class_mark"), "n_links")
     # A class of one is its document; only members of larger ones are looked up, dealt over SALTS parts.
-    single = classes.filter("members = 1").select(F.col("rep").alias("doc_id"), "class_id", "n_links")
-    many = classes.filter("members > 1").select("hash_a", "hash_b", "class_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = sketches.select("doc_id", "hash_a", "hash_b").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = single.unionByName(salted.join(many, ["hash_a", "hash_b", "salt"]).select("doc_id", "class_id", "n_links"))
-    return out.unionByName(rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    single = classes.filter("members = 1").select("first.doc_id", "first.mark", "class_id", "class_mark", "n_links")
+    many = classes.filter("members > 1").select("hash_a", "hash_b", "class_id", "class_mark", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = sketches.select("doc_id", "mark", "hash_a", "hash_b").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int"))
+    return single.unionByName(salted.join(many, ["hash_a", "hash_b", "salt"]).select("doc_id", "mark", "class_id", "class_mark", "n_links"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import small_enough, workspace, written
+from anchorline.llm.shared import row_mark, small_enough, workspace, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -112,14 +112,9 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df
 
 
-def row_mark(df: DataFrame) -> Column:
-    """What tells a document's text from others: rows with one doc_id and one text have the same spans."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """mark, start, end, instance, kind (null unless a base kind) and patterns of every possible instance."""
-    found = with_matches(docs.withColumn("mark", row_mark(docs)).select("mark", "text").filter("text is not null"), "text", INSTANCE, "found")
+    found = with_matches(docs.withColumn("mark", row_mark()).select("mark", "text").filter("text is not null"), "text", INSTANCE, "found")
     # explode() would ask for non-empty lists below all the steps that make them, and so compute these again.
     each = found.select("mark", F.explode_outer("found").alias("f")).filter("f is not null").select("mark", "f.*")
     instance = F.regexp_replace(F.regexp_replace("match", r"[^A-Za-z0-9]+$", ""), r"^[^A-Za-z0-9+]+", "")
@@ -170,7 +165,7 @@ def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     found = discover(seen, base, rounds).select("instance", F.col("kind").alias("as"))
     added = spread_join(seen.filter("kind is null").select("instance", "mark", "start", "end"), found, "instance")
     added = written(added.groupBy("mark").agg(F.collect_set(F.struct(F.col("as").alias("kind"), "start", "end")).alias("added")), f"{base}/added")
-    rows = with_base_spans(docs.withColumn("mark", row_mark(docs)))
+    rows = with_base_spans(docs.withColumn("mark", row_mark()))
     for kind in KINDS:
         rows = rows.withColumn(kind, F.transform(kind, as_span(kind, True)))
     rows = rows.join(F.broadcast(added) if small_enough(added, BROADCAST_ROWS) else added, "mark", "left")

@@ -61,6 +61,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def row_mark() -> Column:
+    """What tells a document's doc_id and text from others, null-safe; rows with the same of both have the same results."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most so many rows; reads no more than are needed to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.llm import queries as llm
-from anchorline.llm.decontaminate import contamination
-from anchorline.llm.jaccard_join import jaccard_classes
+from anchorline.llm.decontaminate import marked_contamination
+from anchorline.llm.jaccard_join import marked_classes
 from anchorline.llm.packing import pack_documents
 from anchorline.llm.pii import redact
-from anchorline.llm.shared import small_enough, table, workspace, written
+from anchorline.llm.shared import row_mark, small_enough, table, workspace, written
 from anchorline.llm.toxicity import fit, score_texts
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Ids to drop up to which they are broadcast; more are shuffled.
+#: Marks to drop up to which they are broadcast; more are shuffled.
 BROADCAST_ROWS = 2_000_000
 
 
-def without(spark: SparkSession, docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """``docs`` whose doc_id is not among ``ids``; rows without a doc_id stay."""
-    dropped = written(ids.select("doc_id").distinct(), workspace(spark, label))
-    return docs.join(F.broadcast(dropped) if small_enough(dropped, BROADCAST_ROWS) else dropped, "doc_id", "left_anti").select(docs.columns)
+def marked(docs: DataFrame) -> DataFrame:
+    """mark, and all columns of ``docs`` as one, so that no name of theirs clashes."""
+    return docs.select(row_mark().alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def hinted(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small_enough(small, BROADCAST_ROWS) else small
+
+
+def without(spark: SparkSession, docs: DataFrame, marks: DataFrame, label: str) -> DataFrame:
+    """``docs`` whose row_mark() is not among ``marks``."""
+    dropped = written(marks.select("mark").distinct(), workspace(spark, label))
+    return marked(docs).join(hinted(dropped), "mark", "left_anti").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +42,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id; of rows that repeat it one."""
-    classes = jaccard_classes(docs).filter("doc_id <> class_id")
-    kept = without(spark, docs, classes, "near-duplicates")
-    # Only a doc_id that repeats is grouped: its rows are few, and each row alone in its group otherwise.
-    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), workspace(spark, "repeated"))
+    """Of each group of near duplicates the document with the least doc_id; of rows that repeat its doc_id and text one."""
+    classes = written(marked_classes(docs).select("mark", "class_mark"), workspace(spark, "classes"))
+    kept = without(spark, docs, classes.filter("mark <> class_mark"), "near-duplicates")
+    # Only a mark that repeats is grouped: its rows are few, and each row alone in its group otherwise.
+    twice = written(classes.filter("mark = class_mark").groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), workspace(spark, "repeated"))
     if twice.isEmpty():
         return kept
-    hint = F.broadcast(twice) if small_enough(twice, BROADCAST_ROWS) else twice
-    first = kept.join(hint, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(hint, "doc_id", "left_anti").select(docs.columns).unionByName(first)
+    first = marked(kept).join(hinted(twice), "mark", "left_semi").groupBy("mark").agg(F.first("row").alias("row"))
+    return marked(kept).join(hinted(twice), "mark", "left_anti").select("row.*").unionByName(first.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    hit = marked_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
     return without(spark, docs, hit, "contaminated")
 
 
