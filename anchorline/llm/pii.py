@@ -36,9 +36,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-#: What may be an instance: a base match, or a token with five digits or more.
-TOKEN = r"(?<!\S)(?:[^\s0-9]*+[0-9]){5}\S*+"
-INSTANCE = f"{PHONE}|(?<![0-9])[0-9]++(?:[\\x20-][0-9]++){{2,}}+|{EMAIL}|{TOKEN}"
+# An address whose at or dots are spelt out or in brackets, with blanks or without; with a bare "at", only if a dot is spelt.
+_DOTS = r"(?:\x20?[(\[{<]\x20?(?i:dot|punkt|\.)\x20?[)\]}>]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+_HOST = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+_IN_BRACKETS = r"\x20?[(\[{<]\x20?(?i:at|@)\x20?[)\]}>]\x20?"
+SPELT = rf"(?<!\S)[A-Za-z0-9._%+-]++(?:{_IN_BRACKETS}{_HOST}(?:{_DOTS})*+|(?:\x20(?i:at)\x20|@){_HOST}(?:{_DOTS})++)"
+#: What may be an instance besides: a token with a digit, an @, an at or dot in brackets, or letters joined by . _ or -. One
+#: that holds a base match is left to that.
+_NO_BASE = r"(?!\S*?(?:[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]))"
+TOKEN = rf"(?<!\S)(?=\S*?(?:[0-9@]|\p{{L}}[._-]\p{{L}}|[(\[{{<](?i:at|dot)[)\]}}>])){_NO_BASE}\S++"
+INSTANCE = f"{PHONE}|(?<![0-9])[0-9]++(?:[\\x20-][0-9]++){{2,}}+|{EMAIL}|{IP}|{SPELT}|{TOKEN}"
+#: Instances that end the context of those after them; others, such as joined words, are words of it.
+ENDS_CONTEXT = r"@|(?:[0-9][^0-9]*+){5}"
 
 
 def luhn(digits: Column) -> Column:
@@ -83,9 +92,15 @@ def running(lengths: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: within(i) + F.element_at(earlier, (F.floor(i / BLOCK) + 1).cast("int")))
 
 
-def with_matches(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
+def with_matches(df: DataFrame, text: str, pattern: str, name: str, ends: str | None = None) -> DataFrame:
     """``df`` with all matches of a pattern in turn: (start, end, match, before), in characters; ``before`` lies between
-    the match and the one before it. What stands between matches gives their places."""
+    the match and the one before it. What stands between matches gives their places.
+
+    With ``ends``, ``before`` goes on over up to two matches that it does not find, which hold two words at least.
+    """
+    gap = lambda i: F.element_at("_gaps", i)
+    words = lambda i, rest: F.when((i >= 1) & ~F.get("_found", i - 1).rlike(ends), F.concat(rest(i), F.get("_found", i - 1))).otherwise("")
+    before = gap if ends is None else lambda i: F.concat(words(i - 1, lambda j: F.concat(words(j - 1, lambda k: F.get("_gaps", k - 1)), F.get("_gaps", j - 1))), gap(i))
     empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
     df = df.withColumn("_found", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(F.col(text), pattern, -1)))
@@ -97,7 +112,7 @@ def with_matches(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame
             (F.element_at("_before", i) + F.length(F.element_at("_gaps", i))).alias("start"),
             (F.element_at("_before", i) + F.element_at("_lengths", i)).alias("end"),
             F.element_at("_found", i).alias("match"),
-            F.substring(F.element_at("_gaps", i), F.lit(-CONTEXT), F.lit(CONTEXT)).alias("before"),
+            F.substring(before(i), F.lit(-CONTEXT), F.lit(CONTEXT)).alias("before"),
         ),
     )
     return df.withColumn(name, F.when(F.size("_found") > 0, each).otherwise(empty)).drop("_found", "_gaps", "_lengths", "_before")
@@ -114,7 +129,7 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """mark, start, end, instance, kind (null unless a base kind) and patterns of every possible instance."""
-    found = with_matches(docs.withColumn("mark", row_mark()).select("mark", "text").filter("text is not null"), "text", INSTANCE, "found")
+    found = with_matches(docs.withColumn("mark", row_mark()).select("mark", "text").filter("text is not null"), "text", INSTANCE, "found", ENDS_CONTEXT)
     # explode() would ask for non-empty lists below all the steps that make them, and so compute these again.
     each = found.select("mark", F.explode_outer("found").alias("f")).filter("f is not null").select("mark", "f.*")
     instance = F.regexp_replace(F.regexp_replace("match", r"[^A-Za-z0-9]+$", ""), r"^[^A-Za-z0-9+]+", "")
