@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the hash buckets of its lower-cased 3- to 5-grams, each present or not. Fitted are, on a bounded
-sample of the labelled rows: the buckets' log-count ratios, which buckets to keep, and a logistic regression on the kept
-buckets' ratios.
+sample of the labelled rows: the buckets' log-count ratios, drawn towards 0 as far as chance may have made them, and a
+logistic regression on these. All buckets of LEAST_TEXTS sampled texts or more have a weight.
 """
 
 from __future__ import annotations
@@ -16,23 +16,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.llm.shared import small_enough, workspace, written
+
 BITS = 22
 SIZES = (3, 4, 5)
 #: Labelled rows of each label to fit on, at most: those with the least hash of their keys.
 FIT_ROWS = 3000
-#: Buckets kept, at most, and characters of a text that are looked at together.
-KEPT = 2048
+#: Sampled texts without which a bucket has no weight.
+LEAST_TEXTS = 2
+#: Characters of a text that are looked at together.
 PIECE = 1 << 20
 SMOOTHING = 1.0
-L2, STEPS, RATE = 1e-5, 400, 0.1
-#: Least z of the difference of a bucket's shares in the two labels.
-LEAST_Z = 6.0
+EPOCHS, RATE = 10, 0.5
+#: One of so many sampled texts is left out of the fit that the scores' level and spread are taken from.
+FOLDS = 5
+#: The square of the z at which half of a bucket's ratio is taken; below it less, and far below hardly any.
+HALF_Z2 = 16.0
+BROADCAST_ROWS = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # of each bucket; 0 where it is not kept
+    weights: np.ndarray  # of each bucket; 0 where it has too few texts
     bias: float
 
 
@@ -73,32 +79,73 @@ def log_ratios(n0: np.ndarray, n1: np.ndarray, rows: tuple[float, float]) -> np.
     return np.log((n1 + SMOOTHING) / (rows[1] + 2 * SMOOTHING)) - np.log((n0 + SMOOTHING) / (rows[0] + 2 * SMOOTHING))
 
 
-def significant(found: DataFrame, rows: tuple[float, float], most: int = KEPT) -> pd.DataFrame:
-    """Of bucket, n0, n1: the ``most`` buckets whose shares of the two labels' texts differ most beyond chance."""
-    share = (F.col("n0") + F.col("n1")) / sum(rows)
-    spread = F.sqrt(share * (1 - share) * (1 / rows[0] + 1 / rows[1]))
-    z = F.abs(F.col("n1") / rows[1] - F.col("n0") / rows[0]) / F.greatest(spread, F.lit(1e-12))
-    return found.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(most).toPandas().sort_values("bucket")
+def features(n0: np.ndarray, n1: np.ndarray, rows: tuple[float, float]) -> np.ndarray:
+    """Of each bucket its log-count ratio, less the more the difference of its shares may be chance."""
+    share = (n0 + n1 + SMOOTHING) / (sum(rows) + 2 * SMOOTHING)
+    z2 = (n1 / rows[1] - n0 / rows[0]) ** 2 / (share * (1 - share) * (1 / rows[0] + 1 / rows[1]))
+    return log_ratios(n0, n1, rows) * z2**2 / (z2**2 + HALF_Z2**2)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the weighted log loss."""
-    x, y, importance = x.astype(np.float32), y.astype(np.float32), (importance / importance.sum()).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
-    m, v = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
-    for step in range(1, STEPS + 1):
-        error = importance * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        g = np.append(x.T @ error + L2 * w, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+def logistic(texts: list[np.ndarray], x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the features ``x`` and a bias, by AdaGrad on the weighted log loss, a text after another.
+
+    ``texts`` are the numbers of each text's features; the order of an epoch only depends on the number of texts.
+    """
+    x, importance = x.astype(np.float32), importance / importance.mean()
+    # Scale so that a text's features do not outgrow the steps.
+    scale = np.float32(1 / max(1e-6, sum(float(np.abs(x[t]).sum()) for t in texts) / len(y)))
+    x = x * scale
+    w, g2 = np.zeros(len(x), np.float32), np.full(len(x), 1e-8, np.float32)
+    b, b2 = float(np.log((importance * y).sum() / (importance * (1 - y)).sum())), 1.0
+    rng = np.random.default_rng(0)
+    for _ in range(EPOCHS):
+        for i in rng.permutation(len(y)):
+            mine = texts[i]
+            xi, wi = x[mine], w[mine]
+            error = importance[i] * (1 / (1 + np.exp(-np.clip(b + float(wi @ xi), -30, 30))) - y[i])
+            g = np.float32(error) * xi
+            h = g2[mine] + g * g
+            g2[mine], w[mine] = h, wi - np.float32(RATE) * g / np.sqrt(h)
+            b2 += error * error
+            b -= RATE * error / np.sqrt(b2)
+    return w * x, float(b)
+
+
+def level(z: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logits of texts that were not fitted on, by Newton's steps on smoothed labels (Platt)."""
+    n0, n1 = float((y == 0).sum()), float((y == 1).sum())
+    if not n0 or not n1:
+        return 1.0, 0.0
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight, x, v = importance / importance.mean(), np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(v @ x, -30, 30)))
+        # A pull to slope 1 and shift 0, of the weight of one text.
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + np.eye(2), x @ (weight * (p - target)) + v - [1.0, 0.0])
+        v = v - step * min(1.0, 2 / max(1e-9, float(np.abs(step).max())))
+    return max(float(v[0]), 0.05), float(v[1])
+
+
+def fitted(texts: list[np.ndarray], n0: np.ndarray, n1: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of all sampled texts, with the level and spread that scores of unseen texts have."""
+    out = np.arange(len(y)) % FOLDS == 0
+    a0, a1 = n0.copy(), n1.copy()
+    for i in np.flatnonzero(out):
+        (a1 if y[i] else a0)[texts[i]] -= 1
+    slope, shift = 1.0, 0.0
+    rows = (float((y[~out] == 0).sum()), float((y[~out] == 1).sum()))
+    if all(rows):
+        x = features(a0, a1, rows) * (a0 + a1 >= LEAST_TEXTS)
+        w, b = logistic([texts[i] for i in np.flatnonzero(~out)], x, y[~out], importance[~out])
+        slope, shift = level(np.array([b + float(w[texts[i]].sum()) for i in np.flatnonzero(out)]), y[out], importance[out])
+    w, b = logistic(texts, features(n0, n1, (float((y == 0).sum()), float((y == 1).sum()))), y, importance)
+    return w * np.float32(slope), b * slope + shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The model from labelled rows whose crc32 of the doc_id as text is not divisible by 5.
 
-    Of each label at most ``fit_rows`` are taken, by the hash of the doc_id; importance weights give the labels back their
+    Of each label at most ``fit_rows`` whose doc_id is in ``docs`` are taken, by the hash of the doc_id; importance weights give the labels back their
     shares. Rows of ``labels`` without doc_id or with another toxic value than 0 and 1 are left out; a doc_id with several
     rows counts as toxic if any is. With no row of either label the model gives every text the share of label 1.
     """
@@ -107,6 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("label"))
     )
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    held_in = ids.join(F.broadcast(held_in) if small_enough(held_in, BROADCAST_ROWS) else held_in, "doc_id").select("doc_id", "label").distinct()
+    held_in = written(held_in, workspace(docs.sparkSession, "labelled"))
     totals = {r["label"]: r["n"] for r in held_in.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     chosen = None
@@ -115,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # At most 2 * fit_rows rows of ids, so they may be broadcast.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).persist()
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("place")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).persist()
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rows = (float(n.get(0, 0)), float(n.get(1, 0)))
     share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
@@ -124,32 +174,31 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         sample.unpersist()
         return Model(weights, float(np.log(share / (1 - share))))
     counts = sample.mapInArrow(bucket_counts, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = significant(counts, rows)
-    kept = found["bucket"].to_numpy(int)
-    ratio = log_ratios(found["n0"].to_numpy(float), found["n1"].to_numpy(float), rows)
-    number = np.full(1 << BITS, -1, np.int16)
+    found = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).toArrow()
+    kept = found["bucket"].to_numpy()
+    order = np.argsort(kept)
+    kept = kept[order]
+    n0, n1 = (found[c].to_numpy()[order].astype(float) for c in ("n0", "n1"))
+    number = np.full(1 << BITS, -1, np.int32)
     number[kept] = np.arange(len(kept))
     numbers = docs.sparkSession.sparkContext.broadcast(number)
 
     def kept_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = numbers.value >= 0
         for batch in batches:
-            lists = [numbers.value[buckets(t, wanted)].astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["label", "kept"])
+            lists = [numbers.value[buckets(t, wanted)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["label", "place", "kept"])
 
-    lists = sample.mapInArrow(kept_lists, "label int, kept array<int>").toPandas()
+    lists = sample.mapInArrow(kept_lists, "label int, place long, kept array<int>").toArrow()
     sample.unpersist()
-    x = np.zeros((len(lists), len(kept)), np.float32)
-    for i, at in enumerate(lists["kept"]):
-        at = np.asarray(at, int)
-        x[i, at] = ratio[at]
-    y = lists["label"].to_numpy(float)
+    # One order, however the rows were dealt; the texts are views of what has been collected.
+    turn = np.argsort(lists["place"].to_numpy(), kind="stable")
+    y = lists["label"].to_numpy()[turn].astype(float)
+    texts = [c.values.to_numpy()[lo:hi] for c in lists["kept"].chunks for lo, hi in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
+    texts = [texts[i] for i in turn]
     importance = np.where(y == 1, totals[1] / rows[1], totals[0] / rows[0])
-    # Scale so that a text's features do not outgrow the steps.
-    scale = 1 / max(1.0, float(np.abs(x).sum(1).mean()))
-    w, b = logistic(x * np.float32(scale), y, importance)
-    weights[kept] = w * scale * ratio
-    return Model(weights, b)
+    weights[kept], bias = fitted(texts, n0, n1, y, importance)
+    return Model(weights, bias)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
