@@ -173,6 +173,8 @@ MIXTURE = np.array(
     ]
 )
 OUTLIER_SCALES = np.arange(2, 21)
+#: Draws of an equation's coefficients among which one has to be stable.
+REDRAWS = 1000
 
 
 def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi: float) -> np.ndarray:
@@ -202,7 +204,8 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
 
     A chain is one sequence of draws, so each model and chain (``keys``) is a task of its own, seeded by the seed and the
     key's text. Kinds: ``b`` coefficients (lag 0 the intercept), ``a`` impact rows, ``h`` last log variances, ``phi``,
-    ``outlier`` probabilities. Draws whose roots lie outside the unit circle are drawn again.
+    ``outlier`` probabilities. Draws whose roots lie outside the unit circle are drawn again, up to REDRAWS times an equation;
+    RuntimeError is raised if none is stable.
     """
     kinds = dict(panel.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, kind string, equation string, variable string, lag int, b double"])
@@ -238,12 +241,14 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
                     lin += a[i, j] * (x.T @ (w * left[:, i]))
                 low = np.linalg.cholesky(prec)
                 centre = np.linalg.solve(low.T, np.linalg.solve(low, lin))
-                for _ in range(50):
+                for _ in range(REDRAWS):
                     b[:, j] = centre + np.linalg.solve(low.T, rng.standard_normal(k))
                     top = np.zeros((n * lags, n * lags))
                     top[:n], top[n:, :-n] = b[:-1].T, np.eye(n * (lags - 1))
                     if np.abs(np.linalg.eigvals(top)).max() < 1:
                         break
+                else:
+                    raise RuntimeError(f"no stable draw of equation {names[j]} in {REDRAWS}")
             e = y - x @ b
             for i in range(1, n):
                 w = 1 / (o[:, i] ** 2 * np.exp(h[:, i]))
@@ -280,8 +285,9 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
 def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int) -> DataFrame:
     """keys..., draw, h, series, value: a path of each draw from the last observed values.
 
-    Each draw has a random stream of its own, so paths do not depend on how draws are dealt over tasks, and a baseline and a
-    scenario of one seed share their shocks. ``tail`` has keys..., series, back (0 the last), value.
+    Each draw of each of ``keys`` is a group with a random stream of its own, so paths do not depend on how draws are dealt
+    over tasks, and a baseline and a scenario of one seed and the same keys share their shocks. ``tail`` has keys..., series,
+    back (0 the last), value.
     """
     kinds = dict(posterior.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, h int, series string, value double"])
@@ -291,28 +297,30 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         start = last.pivot(index="back", columns="series", values="value").sort_index()
         out = []
-        for draw, rows in frame.groupby("draw"):
-            coefficients = rows[rows["kind"] == "b"]
-            names, b = matrices(coefficients)
-            at = {x: i for i, x in enumerate(names)}
-            const = coefficients[coefficients["lag"] == 0].set_index("equation")["b"].reindex(names).to_numpy(float)
-            one = {kind: rows[rows["kind"] == kind].set_index("equation")["b"].reindex(names).to_numpy(float) for kind in ("h", "phi", "outlier")}
-            a = np.eye(len(names))
-            for e, v, x in rows[rows["kind"] == "a"][["equation", "variable", "b"]].itertuples(index=False):
-                a[at[e], at[v]] = x
-            rng = np.random.default_rng([seed, int(draw)])
-            past = [start[names].to_numpy(float)[k] for k in range(len(b))]
-            h = one["h"].copy()
-            for step in range(1, horizon + 1):
-                h = h + np.sqrt(one["phi"]) * rng.standard_normal(len(names))
-                wide = np.where(rng.random(len(names)) < one["outlier"], rng.choice(OUTLIER_SCALES, len(names)), 1)
-                shock = np.linalg.solve(a, wide * np.exp(h / 2) * rng.standard_normal(len(names)))
-                now = const + sum(b[k] @ past[k] for k in range(len(b))) + shock
-                past = [now, *past[:-1]]
-                out += [(*key, int(draw), step, x, v) for x, v in zip(names, now, strict=True)]
+        coefficients = frame[frame["kind"] == "b"]
+        names, b = matrices(coefficients)
+        at = {x: i for i, x in enumerate(names)}
+        const = coefficients[coefficients["lag"] == 0].set_index("equation")["b"].reindex(names).to_numpy(float)
+        one = {kind: frame[frame["kind"] == kind].set_index("equation")["b"].reindex(names).to_numpy(float) for kind in ("h", "phi", "outlier")}
+        a = np.eye(len(names))
+        for e, v, x in frame[frame["kind"] == "a"][["equation", "variable", "b"]].itertuples(index=False):
+            a[at[e], at[v]] = x
+        rng = np.random.default_rng([seed, *"|".join(map(str, key[:-1])).encode(), int(key[-1])])
+        past = [start[names].to_numpy(float)[k] for k in range(len(b))]
+        h = one["h"].copy()
+        for step in range(1, horizon + 1):
+            h = h + np.sqrt(one["phi"]) * rng.standard_normal(len(names))
+            wide = np.where(rng.random(len(names)) < one["outlier"], rng.choice(OUTLIER_SCALES, len(names)), 1)
+            shock = np.linalg.solve(a, wide * np.exp(h / 2) * rng.standard_normal(len(names)))
+            now = const + sum(b[k] @ past[k] for k in range(len(b))) + shock
+            past = [now, *past[:-1]]
+            out += [(*key, step, x, v) for x, v in zip(names, now, strict=True)]
         return pd.DataFrame(out, columns=[*keys, "draw", "h", "series", "value"])
 
-    return posterior.groupBy(*keys).cogroup(tail.groupBy(*keys)).applyInPandas(paths, schema)
+    # The tail is a few rows of each of the keys.
+    tails = posterior.select(*keys, "draw").distinct().join(tail, list(keys))
+    tails = tails.select(*[F.col(c).alias(c) for c in tails.columns])
+    return posterior.groupBy(*keys, "draw").cogroup(tails.groupBy(*keys, "draw")).applyInPandas(paths, schema)
 
 
 def effective_size(draws: DataFrame, keys: Keys) -> DataFrame:

@@ -151,6 +151,22 @@ def test_paths_do_not_depend_on_partitions(spark):
     assert one.count() == 10 * 4 * 2 and one.exceptAll(two).isEmpty()
 
 
+def test_each_chain_has_shocks_of_its_own(spark):
+    _, _, panel = var_panel(spark, 120)
+    posterior = M.gibbs(panel, ["model_id"], 1, 5, 5, 3)
+    chains = posterior.withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
+    last = panel.groupBy("model_id", "series").agg(F.max_by("value", "date").alias("value")).withColumn("back", F.lit(0)).withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
+    paths = M.simulate(chains, last, ["model_id", "chain"], 3, 9)
+    assert paths.count() == 2 * 5 * 3 * 2 == paths.select("value").distinct().count()
+
+
+def test_no_unstable_draw_is_kept(spark):
+    rows = [("m", dt.date(2000 + t // 12, t % 12 + 1, 1), "a", 1.2**t) for t in range(60)]
+    panel = spark.createDataFrame(rows, "model_id string, date date, series string, value double")
+    with pytest.raises(Exception, match="no stable draw"):
+        M.gibbs(panel, ["model_id"], 1, 3, 0, 3, own=10.0).collect()
+
+
 def test_impulse_responses(spark):
     rows = [("m", "a", "a", 1, 0.5), ("m", "a", "b", 1, 0.1), ("m", "b", "a", 1, 0.0), ("m", "b", "b", 1, 0.3)]
     coefficients = spark.createDataFrame(rows, "model_id string, equation string, variable string, lag int, b double")
