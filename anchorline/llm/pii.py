@@ -169,14 +169,15 @@ def discover(seen: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
     return known.join(seeds.select("instance"), "instance", "left_anti")
 
 
-def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with spans: an array of (kind, start, end, base), by kind as listed and then by start.
+def held(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns of ``docs`` as one, so that no name of theirs clashes."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
-    Spans that the method adds overlap no base span. Null and empty texts have none, as have empty tables. Columns of ``docs``
-    stay; their names must not be ``mark``, ``spans`` or a kind's, for which columns of such names are replaced.
-    """
+
+def spanned(docs: DataFrame, rounds: int) -> DataFrame:
+    """doc_id, text, row and spans of held() rows: an array of (kind, start, end, base), by kind as listed and then by start."""
     base = workspace(docs.sparkSession, "pii")
-    seen = written(occurrences(docs.select("doc_id", "text")), f"{base}/seen")
+    seen = written(occurrences(docs), f"{base}/seen")
     found = discover(seen, base, rounds).select("instance", F.col("kind").alias("as"))
     added = spread_join(seen.filter("kind is null").select("instance", "mark", "start", "end"), found, "instance")
     added = written(added.groupBy("mark").agg(F.collect_set(F.struct(F.col("as").alias("kind"), "start", "end")).alias("added")), f"{base}/added")
@@ -187,7 +188,16 @@ def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = rows.withColumn("base", F.concat(*KINDS))
     rows = rows.withColumn("added", F.filter(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))))
     ranked = F.concat(*[F.array_sort(F.concat(F.col(kind), F.transform(F.filter("added", of_kind(kind)), as_span(kind, False)))) for kind in KINDS])
-    return rows.withColumn("spans", ranked).drop("mark", "added", "base", *KINDS)
+    return rows.select("doc_id", "text", "row", ranked.alias("spans"))
+
+
+def with_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with spans: an array of (kind, start, end, base), by kind as listed and then by start.
+
+    Spans that the method adds overlap no base span. Null and empty texts have none; rows that repeat have the same; empty
+    tables give no rows. Columns of ``docs`` of any name stay, but one named spans gives way.
+    """
+    return spanned(held(docs), rounds).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "spans"], "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -204,8 +214,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``<KIND>``; overlapping spans become one, of the first's kind."""
-    columns = docs.columns
-    found = with_spans(docs, rounds)
+    found = spanned(held(docs), rounds)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     nothing = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     last = lambda out: F.element_at(out, -1)
@@ -224,4 +233,4 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     tail = F.substring("text", F.element_at("_cuts", -1)["end"] + 1, F.length("text"))
     text = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*columns)
+    return found.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

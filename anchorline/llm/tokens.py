@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are looked up together; bounds the memory for one step.
-SLICE_BYTES = 8 << 20
-#: Chunks that a worker keeps before it starts afresh.
-KEPT_CHUNKS = 600_000
+SLICE_BYTES = 2 << 20
+#: Bytes that a worker keeps of chunks, and of pieces, before it starts afresh; what an entry takes besides its text and ids.
+KEPT_BYTES, ENTRY_BYTES = 24 << 20, 200
 #: Longest chunk that is kept.
 KEPT_CHARS = 64
 
@@ -32,6 +32,21 @@ _VISIBLE = {b: 0x100 + i for i, b in enumerate(_HIDDEN)}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Kept(dict[str, bytes]):
+    """Ids of short texts, bounded in bytes: emptied when it is full."""
+
+    held = 0
+
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(text) > KEPT_CHARS:
+            return
+        self.held += len(text) + len(ids) + ENTRY_BYTES
+        if self.held > KEPT_BYTES:
+            self.clear()
+            self.held = len(text) + len(ids) + ENTRY_BYTES
+        self[text] = ids
+
+
 class Encoder:
     """Ids by one tokenizer file. ``plain``: its pre-tokenizer is _PIECES after lower-casing, and special tokens begin with "<|"."""
 
@@ -43,8 +58,7 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.plain = "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in (spec := self.tokenizer.to_str()) and '"Lowercase"' in spec
         self.plain &= all(x.content.startswith("<|") for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Kept(), Kept()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -57,10 +71,7 @@ class Encoder:
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = b"".join([x.id.to_bytes(4, "little") for x in self.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_VISIBLE))])
-                if len(piece) <= KEPT_CHARS:
-                    if len(self.pieces) >= KEPT_CHUNKS:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
+                self.pieces.keep(piece, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -71,14 +82,11 @@ class Encoder:
         bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = pc.dictionary_encode(values)
         known, missing = self.chunks, []
-        if len(known) >= KEPT_CHUNKS:
-            known.clear()
         for word in coded.dictionary.to_pylist():
             ids = known.get(word)
             if ids is None:
                 ids = self.chunk(word)
-                if len(word) <= KEPT_CHARS:
-                    known[word] = ids
+                known.keep(word, ids)
             missing.append(ids)
         of_word = np.frombuffer(b"".join(missing), np.uint32)
         size = np.fromiter(map(len, missing), np.int64, len(missing)) // 4
@@ -109,7 +117,3 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         total += int(n)
     if at < len(size):
         yield at, len(size)
-
-
-def id_column(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
