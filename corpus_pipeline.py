@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorline.llm import queries as llm
@@ -20,9 +20,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BROADCAST_ROWS = 2_000_000
 
 
+def held(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Some columns, and all columns of ``docs`` as one, so that no name of theirs clashes."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """mark, and all columns of ``docs`` as one, so that no name of theirs clashes."""
-    return docs.select(row_mark().alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return held(docs, row_mark().alias("mark"))
 
 
 def hinted(small: DataFrame) -> DataFrame:
@@ -36,9 +40,13 @@ def without(spark: SparkSession, docs: DataFrame, marks: DataFrame, label: str)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a toxicity below 0.5, by a model of the labels of this stage's documents."""
-    scored = score_texts(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("toxicity < 0.5").select(docs.columns)
+    """Documents of a toxicity below 0.5, by a model of the labels of this stage's documents.
+
+    Null and empty texts have the score of no feature; rows that repeat are scored alike; an empty table stays empty. Columns
+    of any name pass.
+    """
+    model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return score_texts(held(docs, F.col("text")), model).filter("toxicity < 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,23 +62,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null, empty and wordless texts have none and stay; of rows with one doc_id, or without, each goes by its own text. With an
+    empty benchmark all stay. Columns of any name pass.
+    """
     hit = marked_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
     return without(spark, docs, hit, "contaminated")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by the kind's name, and n_chars as it then is."""
-    return redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
+    """All documents, their personal data replaced by the kind's name, and n_chars, if there is one, as it then is.
+
+    Null and empty texts stay as they are; rows that repeat are redacted alike; an empty table stays empty.
+    """
+    redacted = redact(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    return redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of the documents that are left."""
+    """Training sequences of the documents that are left: a row for each piece (see pack_documents()); null texts are empty."""
     return pack_documents(docs, llm.TOKENIZER)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
-#: The classifier, the similarity join's recall and the tokenizer can't be told in SQL; tests hold the stages to plain versions.
+#: The classifier, the similarity join's recall and the tokenizer can't be told in SQL; tests hold the stages, and a whole run of
+#: them, to what is planted in small tables.
 ORACLE_SQL: str | None = None
 
 
