@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the hash buckets of its lower-cased 3- to 5-grams, each present or not. Fitted are, on a bounded
-sample of the labelled rows: the buckets' log-count ratios, drawn towards 0 as far as chance may have made them, and a
-logistic regression on these. All buckets of LEAST_TEXTS sampled texts or more have a weight.
+A text's features are the hash buckets of its lower-cased 3- to 5-grams, each as 1 + log of how often it occurs. Fitted are,
+on a bounded sample of the labelled rows: the buckets' log-count ratios, drawn towards 0 as far as chance may have made
+them, and a logistic regression on the features times these, each text scaled to length 1. All buckets of LEAST_TEXTS
+sampled texts or more have a weight.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LEAST_TEXTS = 2
 PIECE = 1 << 20
 SMOOTHING = 1.0
 EPOCHS, RATE = 10, 0.5
+#: A toxic text that is missed weighs as much as so many clean ones that are not.
+MISSED = 2.0
 #: One of so many sampled texts is left out of the fit that the scores' level and spread are taken from.
 FOLDS = 5
 #: The square of the z at which half of a bucket's ratio is taken; below it less, and far below hardly any.
@@ -38,14 +41,30 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # of each bucket; 0 where it has too few texts
+    kept: np.ndarray  # the buckets that have a weight, in ascending order
+    ratios: np.ndarray  # of each its log-count ratio, drawn towards 0
+    weights: np.ndarray  # of each the regression's weight
     bias: float
 
+    def wanted(self) -> np.ndarray:
+        """Of each bucket whether it has a weight."""
+        out = np.zeros(1 << BITS, bool)
+        out[self.kept] = True
+        return out
+
+    def logit(self, text: str, wanted: np.ndarray) -> float:
+        at, n = counted(buckets(text, wanted))
+        k = np.searchsorted(self.kept, at)
+        return self.bias + float(self.weights[k] @ scaled(self.ratios[k], n))
+
+
+NOTHING = np.zeros(0, np.int32)
+
 
 def buckets(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
-    """The buckets of a text's n-grams, once each and in ascending order; of these only those that ``wanted`` marks.
+    """The buckets of a text's n-grams, those that ``wanted`` marks, as often as they occur.
 
-    Long texts come in pieces that overlap by the longest n-gram less one character.
+    Long texts come in pieces that overlap by the longest n-gram less one character; what stands in the overlap counts twice.
     """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     found = [np.zeros(0, np.uint32)]
@@ -59,7 +78,19 @@ def buckets(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
             if n in SIZES:
                 at = ((h ^ (h >> np.uint64(29))) * _ODD >> np.uint64(64 - BITS)).astype(np.uint32)
                 found.append(at if wanted is None else at[wanted[at]])
-    return np.unique(np.concatenate(found))
+    return np.concatenate(found)
+
+
+def counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets once each, in ascending order, and 1 + log of how often they occur."""
+    at, n = np.unique(found, return_counts=True)
+    return at, (1 + np.log(n)).astype(np.float32)
+
+
+def scaled(ratios: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A text's features times their ratios, scaled to length 1."""
+    v = ratios * n
+    return v / np.float32(max(1e-9, float(np.sqrt(v @ v))))
 
 
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +98,7 @@ def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     n = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n[label, buckets(text)] += 1
+            n[label, np.unique(buckets(text))] += 1
     at = np.flatnonzero(n.any(0))
     for i in range(0, len(at), 100_000):
         part = at[i : i + 100_000]
@@ -86,37 +117,41 @@ def features(n0: np.ndarray, n1: np.ndarray, rows: tuple[float, float]) -> np.nd
     return log_ratios(n0, n1, rows) * z2**2 / (z2**2 + HALF_Z2**2)
 
 
-def logistic(texts: list[np.ndarray], x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the features ``x`` and a bias, by AdaGrad on the weighted log loss, a text after another.
+Text = tuple[np.ndarray, np.ndarray]  # the numbers of its features, and 1 + log of how often they occur
+
 
-    ``texts`` are the numbers of each text's features; the order of an epoch only depends on the number of texts.
+def logistic(texts: list[Text], ratios: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the features and a bias, by AdaGrad on the weighted log loss, a text after another.
+
+    The order of an epoch only depends on the number of texts.
     """
-    x, importance = x.astype(np.float32), importance / importance.mean()
-    # Scale so that a text's features do not outgrow the steps.
-    scale = np.float32(1 / max(1e-6, sum(float(np.abs(x[t]).sum()) for t in texts) / len(y)))
-    x = x * scale
-    w, g2 = np.zeros(len(x), np.float32), np.full(len(x), 1e-8, np.float32)
+    importance = importance / importance.mean()
+    w, g2 = np.zeros(len(ratios), np.float32), np.full(len(ratios), 1e-8, np.float32)
     b, b2 = float(np.log((importance * y).sum() / (importance * (1 - y)).sum())), 1.0
+    # Scale so that a text's features do not outgrow the steps.
+    step = np.float32(1 / max(1e-6, sum(float(np.abs(scaled(ratios[k], n)).sum()) for k, n in texts) / len(y)))
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            mine = texts[i]
-            xi, wi = x[mine], w[mine]
+            k, n = texts[i]
+            xi, wi = scaled(ratios[k], n) * step, w[k]
             error = importance[i] * (1 / (1 + np.exp(-np.clip(b + float(wi @ xi), -30, 30))) - y[i])
             g = np.float32(error) * xi
-            h = g2[mine] + g * g
-            g2[mine], w[mine] = h, wi - np.float32(RATE) * g / np.sqrt(h)
+            h = g2[k] + g * g
+            g2[k], w[k] = h, wi - np.float32(RATE) * g / np.sqrt(h)
             b2 += error * error
             b -= RATE * error / np.sqrt(b2)
-    return w * x, float(b)
+    return w * step, float(b)
 
 
 def level(z: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logits of texts that were not fitted on, by Newton's steps on smoothed labels (Platt)."""
+    """Slope and shift of the logits of texts that were not fitted on, by Newton's steps on smoothed labels (Platt), of which
+    those of 1 weigh MISSED times as much."""
     n0, n1 = float((y == 0).sum()), float((y == 1).sum())
     if not n0 or not n1:
         return 1.0, 0.0
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    importance = importance * np.where(y == 1, MISSED, 1.0)
     weight, x, v = importance / importance.mean(), np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(v @ x, -30, 30)))
@@ -126,20 +161,22 @@ def level(z: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[float,
     return max(float(v[0]), 0.05), float(v[1])
 
 
-def fitted(texts: list[np.ndarray], n0: np.ndarray, n1: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of all sampled texts, with the level and spread that scores of unseen texts have."""
+def fitted(texts: list[Text], n0: np.ndarray, n1: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ratios, weights and bias of all sampled texts, with the level and spread that scores of unseen texts have."""
     out = np.arange(len(y)) % FOLDS == 0
     a0, a1 = n0.copy(), n1.copy()
     for i in np.flatnonzero(out):
-        (a1 if y[i] else a0)[texts[i]] -= 1
+        (a1 if y[i] else a0)[texts[i][0]] -= 1
     slope, shift = 1.0, 0.0
     rows = (float((y[~out] == 0).sum()), float((y[~out] == 1).sum()))
     if all(rows):
-        x = features(a0, a1, rows) * (a0 + a1 >= LEAST_TEXTS)
+        x = (features(a0, a1, rows) * (a0 + a1 >= LEAST_TEXTS)).astype(np.float32)
         w, b = logistic([texts[i] for i in np.flatnonzero(~out)], x, y[~out], importance[~out])
-        slope, shift = level(np.array([b + float(w[texts[i]].sum()) for i in np.flatnonzero(out)]), y[out], importance[out])
-    w, b = logistic(texts, features(n0, n1, (float((y == 0).sum()), float((y == 1).sum()))), y, importance)
-    return w * np.float32(slope), b * slope + shift
+        z = [b + float(w[k] @ scaled(x[k], n)) for k, n in (texts[i] for i in np.flatnonzero(out))]
+        slope, shift = level(np.array(z), y[out], importance[out])
+    x = features(n0, n1, (float((y == 0).sum()), float((y == 1).sum()))).astype(np.float32)
+    w, b = logistic(texts, x, y, importance)
+    return x, w * np.float32(slope), b * slope + shift
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -169,10 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rows = (float(n.get(0, 0)), float(n.get(1, 0)))
     share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
-    weights = np.zeros(1 << BITS, np.float32)
     if not all(rows):
         sample.unpersist()
-        return Model(weights, float(np.log(share / (1 - share))))
+        return Model(NOTHING, NOTHING.astype(np.float32), NOTHING.astype(np.float32), float(np.log(share / (1 - share))))
     counts = sample.mapInArrow(bucket_counts, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).toArrow()
     kept = found["bucket"].to_numpy()
@@ -186,19 +222,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     def kept_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = numbers.value >= 0
         for batch in batches:
-            lists = [numbers.value[buckets(t, wanted)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["label", "place", "kept"])
+            found = [counted(buckets(t, wanted)) for t in batch.column(1).to_pylist()]
+            lists = [pa.array(x, pa.list_(t)) for x, t in (([numbers.value[at] for at, _ in found], pa.int32()), ([n for _, n in found], pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["label", "place", "kept", "n"])
 
-    lists = sample.mapInArrow(kept_lists, "label int, place long, kept array<int>").toArrow()
+    lists = sample.mapInArrow(kept_lists, "label int, place long, kept array<int>, n array<float>").toArrow()
     sample.unpersist()
     # One order, however the rows were dealt; the texts are views of what has been collected.
     turn = np.argsort(lists["place"].to_numpy(), kind="stable")
     y = lists["label"].to_numpy()[turn].astype(float)
-    texts = [c.values.to_numpy()[lo:hi] for c in lists["kept"].chunks for lo, hi in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
+    flat = lambda name: [c.values.to_numpy()[lo:hi] for c in lists[name].chunks for lo, hi in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
+    texts = list(zip(flat("kept"), flat("n"), strict=True))
     texts = [texts[i] for i in turn]
     importance = np.where(y == 1, totals[1] / rows[1], totals[0] / rows[0])
-    weights[kept], bias = fitted(texts, n0, n1, y, importance)
-    return Model(weights, bias)
+    return Model(kept, *fitted(texts, n0, n1, y, importance))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,10 +244,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights, bias = sent.value
-        wanted = weights != 0
+        model = sent.value
+        wanted = model.wanted()
         for texts in parts:
-            z = np.array([bias + float(weights[buckets(t, wanted)].sum()) for t in texts.fillna("")], float)
+            z = np.array([model.logit(t, wanted) for t in texts.fillna("")], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return docs.withColumn("toxicity", score(F.col("text")))

@@ -37,4 +37,4 @@ def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     few, all_of_them = (toxicity.fit(docs, t, 30) for t in (labels.filter("doc_id < 100"), labels))
-    assert few.bias == all_of_them.bias and (few.weights == all_of_them.weights).all() and few.weights.any()
+    assert few.bias == all_of_them.bias and (few.kept == all_of_them.kept).all() and (few.weights == all_of_them.weights).all() and few.weights.any()
