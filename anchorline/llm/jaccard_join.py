@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import row_mark, small_enough, workspace, written
+from anchorline.llm.shared import SALTS, row_mark, small_enough, spread_join, workspace, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,11 +35,9 @@ STRAYS = 4 * BRUTE
 #: Share of nodes that choose a second coordinate, so that a pair at the threshold has one child on average.
 SECOND = 1 / THRESHOLD - 1
 RUNS_AT_ONCE = 4
-MOST_RUNS = 64
 #: Standard deviations below the threshold at which the embeddings rule a pair out.
 SLACK = 4.5
 BROADCAST_ROWS = 1_000_000
-SALTS = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,14 +123,6 @@ def children(run: Column, path: Column, values: Column) -> Column:
     return F.when(twice, F.array(down(first), down(second))).otherwise(F.array(down(first)))
 
 
-def spread_join(large: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join of which ``small`` has a row for each key; beyond BROADCAST_ROWS it is copied to SALTS parts of every key."""
-    if small_enough(small, BROADCAST_ROWS):
-        return large.join(F.broadcast(small), on, how)
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in large.columns if c != "values"]), F.lit(SALTS)).cast("int"))
-    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, "_salt"], how).drop("_salt")
-
-
 def nodes(reps: DataFrame, first_run: int, runs: int, base: str) -> tuple[DataFrame, int]:
     """path, rep, count of the nodes of two documents or more at which some runs end, and the deepest split."""
     spread = reps.select("rep", "values", F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run"))
@@ -141,7 +131,7 @@ def nodes(reps: DataFrame, first_run: int, runs: int, base: str) -> tuple[DataFr
     done, depth = [], 1
     while True:
         counts = level.groupBy("path").agg(F.count("*").alias("count")).filter(F.col("count") > 1)
-        counted = written(spread_join(level, counts, "path"), f"{base}/counted-{first_run}-{depth}")
+        counted = written(spread_join(level, counts, ["path"], BROADCAST_ROWS), f"{base}/counted-{first_run}-{depth}")
         # As many of its parent's documents as pairs at the threshold leave together: more splits would not part them.
         whole = F.coalesce(F.col("count") >= THRESHOLD * F.col("above"), F.lit(False))
         ends = (F.col("count") <= BRUTE) | whole
@@ -331,9 +321,9 @@ def components(edges: DataFrame, base: str) -> DataFrame:
         # Large star: neighbours above a node go to its least neighbour. Small star: those below it do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = spread_join(both, least, ["u"], BROADCAST_ROWS).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        small = spread_join(large, down, ["u"], BROADCAST_ROWS).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         after = written(small, f"{base}/edges-{k}")
         if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
             return after.select(F.col("u").alias("rep"), F.col("v").alias("group"))
@@ -377,7 +367,7 @@ def marked_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     reps = written(reps.select("rep", "mark", "members", "size", "values").dropDuplicates(["rep"]), f"{base}/reps")
 
     parts, missed, run = [], 1.0, 0
-    while 1 - missed < recall and run < MOST_RUNS:
+    while 1 - missed < recall:  # every run finds a pair with a chance above 0
         found, depth = nodes(reps, run, RUNS_AT_ONCE, base)
         parts.append(found)
         missed *= (1 - survival(depth)) ** RUNS_AT_ONCE
@@ -387,7 +377,7 @@ def marked_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         members = members.unionByName(part)
     at = written(homes(members), f"{base}/homes")
     tallied = written(tallies(members, at), f"{base}/tallies")
-    placed = blocks(spread_join(members.join(at.join(reps.select("rep", F.col("members").alias("copies"), "size", "values"), "rep"), "rep"), tallied, "path", "left"))
+    placed = blocks(spread_join(members.join(at.join(reps.select("rep", F.col("members").alias("copies"), "size", "values"), "rep"), "rep"), tallied, ["path"], BROADCAST_ROWS, "left", leave=["values"]))
     active = written(grouped(placed.select("path", "row", "column", "block", "rep", "paths", "home", "what", "copies", "size", "values")).mapInArrow(possible, MEMBERS), f"{base}/active")
 
     chosen = written(active.select("rep").distinct().join(reps.select("rep", "mark"), "rep"), f"{base}/chosen")
@@ -406,7 +396,7 @@ def marked_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     totals = linked.groupBy("rep").agg(F.sum("linked").alias("linked"))
     # Only linked classes are looked at for the first document of all that they lead to.
     led = written(groups.unionByName(groups.select(F.col("group").alias("rep"), "group").distinct()).join(same.select("rep", "first"), "rep"), f"{base}/led")
-    heads = spread_join(led.select("rep", "group"), led.groupBy("group").agg(F.min("first").alias("head")), "group").select("rep", "head")
+    heads = spread_join(led.select("rep", "group"), led.groupBy("group").agg(F.min("first").alias("head")), ["group"], BROADCAST_ROWS).select("rep", "head")
     classes = same.join(totals, "rep", "left").join(heads, "rep", "left").select("first", "members", "hash_a", "hash_b", F.coalesce("head", "first").alias("head"), (F.coalesce("linked", F.lit(0)) + F.col("members") - 1).cast("long").alias("n_links"))
     classes = written(classes, f"{base}/named")
     classes = classes.select("first", "members", "hash_a", "hash_b", F.col("head.doc_id").alias("class_id"), F.col("head.mark").alias("class_mark"), "n_links")

@@ -1,9 +1,10 @@
 """Personal data: pattern matches, and bootstrapped extraction of identifiers that the patterns miss.
 
 The base kinds are found by regular expressions and checks. They seed a graph of instances (identifier-like tokens) and
-lexical patterns (the one or two words before them). In rounds, a pattern's confidence in a kind is the share of its
+lexical patterns (the one or two words before them, and the word after); quoted digests seed a kind SECRET besides. In rounds, a pattern's confidence in a kind is the share of its
 instances that are known to be of that kind, and an instance's is the noisy-or over its confident patterns; instances
-of high confidence count as known in the next round. Unseen tokens that end as known are added to the base spans.
+of high confidence count as known in the next round. Unseen tokens that end as known are added to the base spans; those
+of SECRET, which has no base spans, only if a confident pattern holds them, seeds among them.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import row_mark, small_enough, workspace, written
+from anchorline.llm.shared import row_mark, small_enough, spread_join, workspace, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that the method alone finds: keys and tokens that open a door.
+SECRET = "secret"
 ROUNDS = 3
 #: A pattern needs so many known instances, and such a share of its instances; an instance needs such a confidence.
 LEAST_KNOWN, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE = 5, 0.8, 0.9
 BROADCAST_ROWS = 1_000_000
-SALTS = 16
 #: Characters before an instance in which its pattern is sought.
 CONTEXT = 80
 #: Matches whose lengths are added up together.
@@ -46,6 +48,9 @@ SPELT = rf"(?<!\S)[A-Za-z0-9._%+-]++(?:{_IN_BRACKETS}{_HOST}(?:{_DOTS})*+|(?:\x2
 _NO_BASE = r"(?!\S*?(?:[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]|[0-9]\.[0-9]++\.[0-9]++\.[0-9]))"
 TOKEN = rf"(?<!\S)(?=\S*?(?:[0-9@]|\p{{L}}[._-]\p{{L}}|[(\[{{<](?i:at|dot)[)\]}}>])){_NO_BASE}\S++"
 INSTANCE = f"{PHONE}|(?<![0-9])[0-9]++(?:[\\x20-][0-9]++){{2,}}+|{EMAIL}|{IP}|{SPELT}|{TOKEN}"
+#: What seeds SECRET: digests in hexadecimal, right after a quote.
+DIGEST = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+QUOTED = r"[\"'`]$"
 #: Instances that end the context of those after them; others, such as joined words, are words of it.
 ENDS_CONTEXT = r"@|(?:[0-9][^0-9]*+){5}"
 
@@ -93,15 +98,15 @@ def running(lengths: Column) -> Column:
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, name: str, ends: str | None = None) -> DataFrame:
-    """``df`` with all matches of a pattern in turn: (start, end, match, before), in characters; ``before`` lies between
-    the match and the one before it. What stands between matches gives their places.
+    """``df`` with all matches of a pattern in turn: (start, end, match, before, after), in characters; ``before`` lies between
+    the match and the one before it, ``after`` between it and the next. What stands between matches gives their places.
 
     With ``ends``, ``before`` goes on over up to two matches that it does not find, which hold two words at least.
     """
     gap = lambda i: F.element_at("_gaps", i)
     words = lambda i, rest: F.when((i >= 1) & ~F.get("_found", i - 1).rlike(ends), F.concat(rest(i), F.get("_found", i - 1))).otherwise("")
     before = gap if ends is None else lambda i: F.concat(words(i - 1, lambda j: F.concat(words(j - 1, lambda k: F.get("_gaps", k - 1)), F.get("_gaps", j - 1))), gap(i))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
     df = df.withColumn("_found", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(F.col(text), pattern, -1)))
     df = df.withColumn("_lengths", F.zip_with(F.col("_found"), F.slice("_gaps", F.lit(1), F.size("_found")), lambda m, g: F.length(m) + F.length(g)))
@@ -113,6 +118,7 @@ def with_matches(df: DataFrame, text: str, pattern: str, name: str, ends: str |
             (F.element_at("_before", i) + F.element_at("_lengths", i)).alias("end"),
             F.element_at("_found", i).alias("match"),
             F.substring(before(i), F.lit(-CONTEXT), F.lit(CONTEXT)).alias("before"),
+            (F.lit("") if ends is None else F.substring(F.element_at("_gaps", i + 1), F.lit(1), F.lit(CONTEXT))).alias("after"),
         ),
     )
     return df.withColumn(name, F.when(F.size("_found") > 0, each).otherwise(empty)).drop("_found", "_gaps", "_lengths", "_before")
@@ -128,45 +134,43 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """mark, start, end, instance, kind (null unless a base kind) and patterns of every possible instance."""
+    """mark, start, end, instance, kind (null unless a base kind or a seed of SECRET) and patterns of every possible instance."""
     found = with_matches(docs.withColumn("mark", row_mark()).select("mark", "text").filter("text is not null"), "text", INSTANCE, "found", ENDS_CONTEXT)
     # explode() would ask for non-empty lists below all the steps that make them, and so compute these again.
     each = found.select("mark", F.explode_outer("found").alias("f")).filter("f is not null").select("mark", "f.*")
     instance = F.regexp_replace(F.regexp_replace("match", r"[^A-Za-z0-9]+$", ""), r"^[^A-Za-z0-9+]+", "")
     lead = F.length("match") - F.length(F.regexp_replace("match", r"^[^A-Za-z0-9+]+", ""))
     kind = reduce(lambda rest, k: F.when(F.col("instance").rlike(f"^(?:{PATTERNS[k]})$") & valid(k, F.col("instance")), F.lit(k)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
+    kind = F.coalesce(kind, F.when(F.col("instance").rlike(DIGEST) & F.concat("before", F.substring("match", F.lit(1), lead)).rlike(QUOTED), F.lit(SECRET)))
     one = F.lower(F.regexp_extract("before", r"([^\s.,;:!?()\[\]\"']+)[\s.,;:!?()\[\]\"']*$", 1))
     two = F.lower(F.regexp_extract("before", r"([^\s.,;:!?()\[\]\"']+[\s.,;:!?()\[\]\"']+[^\s.,;:!?()\[\]\"']+)[\s.,;:!?()\[\]\"']*$", 1))
+    after = F.lower(F.regexp_extract("after", r"^[\s.,;:!?()\[\]\"']*([^\s.,;:!?()\[\]\"']+)", 1))
     placed = each.withColumn("instance", instance).withColumn("start", F.col("start") + lead).withColumn("end", F.col("start") + F.length("instance"))
     named = placed.filter(F.length("instance") > 0).withColumn("kind", kind)
-    return named.select("mark", "start", "end", "instance", "kind", F.filter(F.array(F.concat(F.lit("1:"), one), F.concat(F.lit("2:"), two)), lambda p: F.length(p) > 2).alias("patterns"))
-
-
-def spread_join(large: DataFrame, small: DataFrame, on: str) -> DataFrame:
-    """Inner join; ``small`` is broadcast if it has few rows, else copied to each of SALTS parts of every key."""
-    if small_enough(small, BROADCAST_ROWS):
-        return large.join(F.broadcast(small), on)
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, "_salt"]).drop("_salt")
+    return named.select("mark", "start", "end", "instance", "kind", F.filter(F.array(F.concat(F.lit("1:"), one), F.concat(F.lit("2:"), two), F.concat(F.lit("+:"), after)), lambda p: F.length(p) > 2).alias("patterns"))
 
 
 def discover(seen: DataFrame, base: str, rounds: int = ROUNDS) -> DataFrame:
-    """instance, kind and confidence of the instances that the rounds add; an instance gets its kind of most confidence."""
+    """instance, kind and confidence of the instances that the rounds find; an instance gets its kind of most confidence.
+
+    Seeds of the base kinds are found already; those of SECRET are too if a confident pattern holds them.
+    """
     edges = written(seen.select(F.explode("patterns").alias("pattern"), "instance").distinct(), f"{base}/edges")
     seeds = written(seen.filter("kind is not null").select("instance", "kind").distinct().withColumn("confidence", F.lit(1.0)), f"{base}/known-0")
     totals = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_KNOWN), f"{base}/totals")
-    known = seeds
+    base_seeds = seeds.filter(F.col("kind") != SECRET).select("instance")
+    known, found = seeds, seeds.limit(0)
     for k in range(rounds):
-        hits = spread_join(edges, known, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("known"))
+        hits = spread_join(edges, known, ["instance"], BROADCAST_ROWS, wide="instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("known"))
         held = hits.filter(F.col("known") >= LEAST_KNOWN).join(totals, "pattern").withColumn("score", F.col("known") / F.col("n")).filter(F.col("score") >= PATTERN_CONFIDENCE)
         confident = written(held.select("pattern", "kind", "score"), f"{base}/patterns-{k}")
         # Noisy-or, as a sum of logs; a pattern of which all are known counts as nearly sure.
         doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(0.05))))
-        scored = spread_join(edges, confident, "pattern").groupBy("instance", "kind").agg(doubt.alias("doubt")).withColumn("confidence", 1 - F.exp("doubt"))
+        scored = spread_join(edges, confident, ["pattern"], BROADCAST_ROWS).groupBy("instance", "kind").agg(doubt.alias("doubt")).withColumn("confidence", 1 - F.exp("doubt"))
         best = scored.groupBy("instance").agg(F.max_by(F.struct("kind", "confidence"), F.struct("confidence", "kind")).alias("best")).select("instance", "best.*")
-        new = best.filter(F.col("confidence") >= INSTANCE_CONFIDENCE).join(seeds.select("instance"), "instance", "left_anti")
-        known = written(seeds.unionByName(new), f"{base}/known-{k + 1}")
-    return known.join(seeds.select("instance"), "instance", "left_anti")
+        found = written(best.filter(F.col("confidence") >= INSTANCE_CONFIDENCE).join(base_seeds, "instance", "left_anti"), f"{base}/found-{k + 1}")
+        known = seeds.unionByName(found.join(seeds.select("instance"), "instance", "left_anti"))
+    return found
 
 
 def held(docs: DataFrame) -> DataFrame:
@@ -179,15 +183,16 @@ def spanned(docs: DataFrame, rounds: int) -> DataFrame:
     base = workspace(docs.sparkSession, "pii")
     seen = written(occurrences(docs), f"{base}/seen")
     found = discover(seen, base, rounds).select("instance", F.col("kind").alias("as"))
-    added = spread_join(seen.filter("kind is null").select("instance", "mark", "start", "end"), found, "instance")
+    added = spread_join(seen.filter(F.coalesce(F.col("kind") == SECRET, F.lit(True))).select("instance", "mark", "start", "end"), found, ["instance"], BROADCAST_ROWS, wide="instance")
     added = written(added.groupBy("mark").agg(F.collect_set(F.struct(F.col("as").alias("kind"), "start", "end")).alias("added")), f"{base}/added")
     rows = with_base_spans(docs.withColumn("mark", row_mark()))
     for kind in KINDS:
         rows = rows.withColumn(kind, F.transform(kind, as_span(kind, True)))
-    rows = rows.join(F.broadcast(added) if small_enough(added, BROADCAST_ROWS) else added, "mark", "left")
+    few = small_enough(added, BROADCAST_ROWS) and (added.agg(F.sum(F.size("added")).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(added) if few else added, "mark", "left")
     rows = rows.withColumn("base", F.concat(*KINDS))
     rows = rows.withColumn("added", F.filter(F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))))
-    ranked = F.concat(*[F.array_sort(F.concat(F.col(kind), F.transform(F.filter("added", of_kind(kind)), as_span(kind, False)))) for kind in KINDS])
+    ranked = F.concat(*[F.array_sort(F.concat(F.col(kind) if kind in KINDS else F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean>>"), F.transform(F.filter("added", of_kind(kind)), as_span(kind, False)))) for kind in (*KINDS, SECRET)])
     return rows.select("doc_id", "text", "row", ranked.alias("spans"))
 
 
@@ -205,7 +210,7 @@ def joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans of every row of ``docs``."""
+    """doc_id, the number of base spans of each kind, base_sha256 and spans of every row of ``docs``; SECRET comes last in spans."""
     found = with_spans(docs.select("doc_id", "text"), rounds)
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter(base, of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]

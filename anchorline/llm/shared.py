@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +40,6 @@ def workspace(spark: SparkSession, label: str) -> str:
     return fs.makeQualified(folder).toString()
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder of workspace() whose rows nobody reads any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a Parquet table: computed once, without lineage, and safe from lost executors."""
     df.write.mode("overwrite").parquet(path)
@@ -69,3 +64,23 @@ def row_mark() -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most so many rows; reads no more than are needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Parts over which the rows of one key are dealt where a join can't be broadcast.
+SALTS = 16
+
+
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner", wide: str | None = None, most_bytes: int = 64 << 20, leave: Sequence[str] = ()) -> DataFrame:
+    """A join to a side that is broadcast up to so many rows, else copied to each of SALTS parts of every key.
+
+    ``wide`` names the column of ``small``, text or a list of texts, whose bytes together have a bound too; all others must have a
+    fixed width. Columns of ``large`` in ``leave`` are not hashed to deal its rows.
+    """
+    light = small_enough(small, rows)
+    if light and wide is not None:
+        text = F.col(wide) if dict(small.dtypes)[wide] == "string" else F.concat_ws(" ", wide)
+        light = (small.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0) <= most_bytes
+    if light:
+        return large.join(F.broadcast(small), on, how)
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in large.columns if c not in leave]), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
