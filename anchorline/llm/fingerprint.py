@@ -11,8 +11,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K = 12
@@ -97,52 +98,72 @@ def as_text(x: np.ndarray) -> str:
     return x.astype(">u2").tobytes().hex()
 
 
-def splits(spark: SparkSession, docs: DataFrame, n: int) -> tuple[list[int], dict[int, int]]:
-    """Least ids of about n ranges of equal many documents, and for each range that has documents its least id.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the order of documents: place (doc_id, the largest number for none) and turn (a hash of the text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.withColumn("place", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("turn", F.xxhash64("text"))
 
-    Reads the ids alone; what reaches the driver is a row for each range.
+
+class Ranges:
+    """Ranges of (place, turn) of about equally many documents: the bounds of places, of which one that holds several ranges'
+    documents repeats, its ranges parting them by turn."""
+
+    def __init__(self, bounds: list[int]) -> None:
+        self.bounds = np.array(sorted(bounds), np.int64)
+
+    def of(self, place: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        left, right = (np.searchsorted(self.bounds, place, side) for side in ("left", "right"))
+        share = turn.astype(np.float64) / 2.0**64 + 0.5
+        own = 1 + np.minimum((share * (right - left)).astype(np.int64), right - left - 1)
+        return np.where(right > left, left + own, left)
+
+
+def ranged(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """``rows`` with part, the range that a document is in, and guest: the first of a range is also in the range before.
+
+    What reaches the driver is a bound and a first document's key for each range, and no text.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("at")).first() if n > 1 else None
-    bounds = sorted(set(found["at"] or [])) if found else []
-    parts = ids.groupBy(range_of("doc_id", bounds).alias("part")).agg(F.min("doc_id").alias("first"))
-    return bounds, {r["part"]: r["first"] for r in parts.collect()}
+    found = rows.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10_000).alias("at")).first() if n > 1 else None
+    ranges = rows.sparkSession.sparkContext.broadcast(Ranges(list(found["at"] or []) if found else []))
+
+    @F.pandas_udf("long")
+    def part(place: pd.Series, turn: pd.Series) -> pd.Series:
+        return pd.Series(ranges.value.of(place.to_numpy(), turn.to_numpy()))
+
+    dealt = rows.withColumn("part", part("place", "turn"))
+    firsts = sorted((r["part"], r["key"]["place"], r["key"]["turn"]) for r in dealt.groupBy("part").agg(F.min(F.struct("place", "turn")).alias("key")).collect())
+    sent = rows.sparkSession.sparkContext.broadcast({(place, turn): firsts[i - 1][0] for i, (_, place, turn) in enumerate(firsts)})
 
+    @F.pandas_udf("array<struct<part:long,guest:boolean>>")
+    def parts(place: pd.Series, turn: pd.Series) -> pd.Series:
+        own, before = ranges.value.of(place.to_numpy(), turn.to_numpy()), sent.value
+        guests = (before.get(key) for key in zip(place.tolist(), turn.tolist(), strict=True))
+        return pd.Series([[(int(p), False)] if g is None else [(int(p), False), (g, True)] for p, g in zip(own, guests, strict=True)])
 
-def range_of(column: str, bounds: list[int]):
-    """The number of bounds at or below a value: its range."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))
+    return rows.withColumn("at", F.explode(parts("place", "turn"))).select("doc_id", "text", "place", "turn", "at.part", "at.guest"), len(ranges.value.bounds) + 1
 
 
 def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likenesses.
 
     The edited text's last floor(n_chars / 4) characters give way to the first as many, or all, of the next document by
-    doc_id (after the last: the first). Null texts are empty. Rows without a doc_id are left out, as they have no place in
-    the order; rows of one doc_id are in the order of their texts. A single document is its own next. Texts move once, to
-    ranges of ids; besides, the first document of each range goes to the range before.
+    doc_id (after the last: the first). Null texts are empty. Rows of one doc_id are in the order of a hash of their texts; rows
+    without one come last, in that order. A single document is its own next; an empty table gives no rows. Texts move once, to
+    ranges of the order; besides, the first document of each range goes to the range before, that of the first to the last.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, first = splits(spark, docs, n)
-    used = sorted(first)
-    before = {first[p]: used[i - 1] for i, p in enumerate(used)}
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    home = rows.withColumn("part", range_of("doc_id", bounds)).withColumn("guest", F.lit(False))
-    lead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
-    if lead is not None:
-        guests = rows.filter(F.col("doc_id").isin(list(before))).withColumn("part", F.element_at(lead, F.col("doc_id"))).withColumn("guest", F.lit(True))
-        home = home.unionByName(guests)
+    home, n = ranged(keyed(docs), partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, str, np.ndarray] | None = None
+        held: tuple[int | None, str, np.ndarray] | None = None
+        at = None
         schema = pa.schema([(k.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k.split()[1]]) for k in FINGERPRINTS.split(", ")])
         names = schema.names
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, guest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for doc_id, text, part, guest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part != at:
+                    at, held = part, None
                 if held is None and guest:
                     continue
                 print_ = fingerprint(text)
@@ -156,5 +177,5 @@ def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], names)
 
-    placed = home.repartitionById(max(1, len(bounds) + 1), F.col("part").cast("int")) if hasattr(home, "repartitionById") else home.repartition(max(1, len(bounds) + 1), "part")
-    return placed.sortWithinPartitions("part", "guest", "doc_id", "text").select("doc_id", "text", "guest").mapInArrow(run, FINGERPRINTS)
+    placed = home.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "guest", "place", "turn", "text")
+    return placed.select("doc_id", "text", "part", "guest").mapInArrow(run, FINGERPRINTS)
