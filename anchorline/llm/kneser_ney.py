@@ -3,7 +3,7 @@
 A gram of ORDER bytes is a number, so its context is a shift of it and its suffix a mask. Counts of the highest order are
 those of the trusted text, lower ones count the bytes that precede a gram. Joins of the count tables, sharded by gram and
 by context, give each gram that occurs in the corpus its probability; a document's perplexity follows from its grams,
-and is held against a quantile of the trusted documents of its language.
+and is held against a quantile of trusted documents of its language and length that the model was not trained on.
 """
 
 from __future__ import annotations
@@ -12,21 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorline.llm.shared import small_enough, workspace, written
 
 ORDER = 5
-#: A document of n bytes is kept if its perplexity is at most this quantile of the trusted ones of its language, times
-#: MARGIN, times exp(SPREAD / sqrt(n)) for what a short text's mean log-probability differs by chance.
-QUANTILE, MARGIN, SPREAD = 0.95, 1.05, 3.0
-#: Languages with fewer trusted documents are judged by the quantile of all.
+#: A document is kept if its perplexity is at most this quantile of the held-out trusted ones of its language and length class.
+QUANTILE = 0.97
+#: One of so many trusted texts, by their hash, is held out of the training.
+FOLDS = 5
+#: Classes of a language with fewer held-out documents are judged by the language's quantile, such languages by that of all.
 LEAST_TRUSTED = 20
 #: Text bytes that are looked at together, and grams that a task merges its counts at.
 SLICE_BYTES = 2 << 20
 MERGE_AT = 4 << 20
-#: Grams up to which their probabilities are broadcast (12 bytes each); more are joined to the documents' grams.
+#: Grams up to which their probabilities are broadcast (16 bytes each); more are joined to the documents' grams.
 BROADCAST_GRAMS = 4_000_000
 SALTS = 32
 
@@ -126,11 +127,11 @@ def probabilities(counts: DataFrame, needed: DataFrame, base: str) -> DataFrame:
     return p
 
 
-FIGURES = "doc_id long, lang string, n_bytes long, log_p double"
+FIGURES = "doc_id long, lang string, held_out boolean, n_bytes long, log_p double"
 
 
 def log_likelihoods(rows: DataFrame, p: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, lang, text) as doc_id, lang, n_bytes, log_p: natural log of a text's probability by the grams' ``p``."""
+    """``rows`` (doc_id, lang, held_out, text) as FIGURES; log_p is the natural log of a text's probability by the grams' ``p``."""
     if small_enough(p, BROADCAST_GRAMS):
         return by_broadcast(rows, p)
     return by_join(rows, p)
@@ -139,7 +140,7 @@ def log_likelihoods(rows: DataFrame, p: DataFrame) -> DataFrame:
 def by_broadcast(rows: DataFrame, p: DataFrame) -> DataFrame:
     # As Arrow columns: 16 bytes a gram, where rows would take hundreds in the driver.
     found = p.select("gram", "p").toArrow()
-    grams, logs = found["gram"].to_numpy(), np.log(found["p"].to_numpy()).astype(np.float32)
+    grams, logs = found["gram"].to_numpy(), np.log(found["p"].to_numpy())
     order = np.argsort(grams)
     model = rows.sparkSession.sparkContext.broadcast((grams[order], logs[order]))
 
@@ -147,15 +148,15 @@ def by_broadcast(rows: DataFrame, p: DataFrame) -> DataFrame:
         keys, logs = model.value
         for batch in batches:
             n, total = [], []
-            for _, texts in text_slices(batch.column(2)):
+            for _, texts in text_slices(batch.column(3)):
                 grams, bounds = grams_of(texts)
                 for i in range(len(texts)):
                     g, k = np.unique(grams[bounds[i] : bounds[i + 1]], return_counts=True)
                     n.append(len(texts[i]))
                     total.append(float(logs[np.searchsorted(keys, g)] @ k) if len(g) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "n_bytes", "log_p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "held_out", "n_bytes", "log_p"])
 
-    return rows.select("doc_id", "lang", "text").mapInArrow(score, FIGURES)
+    return rows.select("doc_id", "lang", "held_out", "text").mapInArrow(score, FIGURES)
 
 
 def by_join(rows: DataFrame, p: DataFrame) -> DataFrame:
@@ -177,34 +178,44 @@ def by_join(rows: DataFrame, p: DataFrame) -> DataFrame:
     many = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     summed = dealt.join(many, ["gram", "salt"]).groupBy("mark").agg(F.sum(F.log("p") * F.col("k")).alias("log_p"))
     copies = summed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = marked.select("doc_id", "lang", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(copies, ["mark", "salt"], "left").select("doc_id", "lang", "n_bytes", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+    salted = marked.select("doc_id", "lang", "held_out", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(copies, ["mark", "salt"], "left").select("doc_id", "lang", "held_out", "n_bytes", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def length_class(n_bytes: Column) -> Column:
+    """Texts of 4**k to 4**(k+1) - 1 bytes: the mean over a short text varies more."""
+    return F.floor(F.log2(F.greatest(n_bytes, F.lit(1)).cast("double")) / 2).cast("int")
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (per byte), threshold and keep of every row of ``docs``.
 
-    Trusted are the documents of quality 1 in ``labels``, all of them. Null and empty texts have no perplexity and are not
-    kept; a null lang is a language of its own. Rows that repeat are judged each by itself. Without trusted texts there is
+    Trusted are the documents of quality 1 in ``labels``, all of them: the model is trained on those whose texts' hash is not
+    divisible by FOLDS, and thresholds are quantiles of the others (of all if there are none). Null and empty texts have no
+    perplexity and are not kept; a null lang is a language of its own. Rows that repeat are judged each by itself. Without trusted texts there is
     no threshold, and every text but the empty ones is kept. Empty tables give no rows.
     """
     base = workspace(docs.sparkSession, "kneser-ney")
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = F.broadcast(good) if small_enough(good, BROADCAST_GRAMS) else good
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    trusted = rows.join(good, "doc_id", "left_semi").select("text")
+    rows = rows.withColumn("held_out", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
+    trusted = rows.join(good, "doc_id", "left_semi").filter("not held_out").select("text")
     counts = written(trusted.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"{base}/counts")
     needed = written(rows.select("text").mapInArrow(count_grams, "gram long, n long").select("gram").distinct(), f"{base}/needed")
     figures = written(log_likelihoods(rows, probabilities(counts, needed, base)), f"{base}/figures")
     perplexity = F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes")))
-    judged = figures.select("doc_id", "lang", "n_bytes", perplexity.alias("perplexity"))
+    judged = figures.select("doc_id", "lang", "held_out", "n_bytes", length_class(F.col("n_bytes")).alias("class"), perplexity.alias("perplexity"))
     known = judged.join(good, "doc_id", "left_semi").filter("perplexity is not null")
-    # A row for each language.
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
+    unseen = known.filter("held_out")
+    known = known if unseen.isEmpty() else unseen
+    # A row for each language and class.
+    cut = F.percentile_approx("perplexity", quantile, 10_000)
     of_all = known.agg(cut.alias("of_all")).first()["of_all"]
-    by_lang = known.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("k")).filter(F.col("k") >= LEAST_TRUSTED).select(F.col("lang").alias("of"), "own")
-    out = judged.join(F.broadcast(by_lang) if small_enough(by_lang, 100_000) else by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-    short = F.when(F.col("n_bytes") > 0, F.exp(SPREAD / F.sqrt("n_bytes")))
-    out = out.withColumn("threshold", F.coalesce("own", F.lit(of_all).cast("double")) * short)
+    by_lang = known.groupBy("lang").agg(cut.alias("of_lang"), F.count("*").alias("k")).filter(F.col("k") >= LEAST_TRUSTED).select(F.col("lang").alias("l"), "of_lang")
+    by_class = known.groupBy("lang", "class").agg(cut.alias("own"), F.count("*").alias("k")).filter(F.col("k") >= LEAST_TRUSTED).select(F.col("lang").alias("l2"), F.col("class").alias("c2"), "own")
+    small = lambda df: F.broadcast(df) if small_enough(df, 100_000) else df
+    out = judged.join(small(by_lang), F.col("lang").eqNullSafe(F.col("l")), "left").join(small(by_class), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("class") == F.col("c2")), "left")
+    out = out.withColumn("threshold", F.when(F.col("n_bytes") > 0, F.coalesce("own", "of_lang", F.lit(of_all).cast("double"))))
     keep = F.coalesce((F.col("perplexity") <= F.col("threshold")) | (F.col("perplexity").isNotNull() & F.col("threshold").isNull()), F.lit(False))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", keep.alias("keep"))
