@@ -296,6 +296,31 @@ def test_urls(spark):
     assert judged == {1: "block", 2: "allow"}
 
 
+def test_url_model_on_held_out_urls():
+    table = url_filter.labelled_urls()
+    held = [(url, label) for url, label in table if not url_filter.in_training(url)]
+    assert 0.15 < len(held) / len(table) < 0.25
+    model = url_filter.shipped_model()
+    found = np.array([model.score(*url_filter.split_url(url)) >= 0.5 for url, _ in held])
+    label = np.array([label for _, label in held], bool)
+    assert (found & label).sum() / found.sum() >= 0.9
+    assert (found & label).sum() / label.sum() >= 0.9
+
+
+def test_url_scores_one_by_one(spark):
+    urls = [url for url, _ in url_filter.labelled_urls(40)] + ["", "x://", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"score": F.lit("x"), "rule": F.lit("x"), "verdict": F.lit("x")})
+    got = {r["page_id"]: r["score"] for r in url_filter.judge_urls(pages).collect()}
+    weights, bias = url_filter.shipped_model()
+    for i, url in enumerate(urls):
+        host, path = url_filter.split_url(url or "")
+        grams = {f"{kind}{t[j : j + n]}" for kind, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for j in range(len(t) - n + 1)}
+        at = {zlib.crc32(g.encode()) % url_filter.BUCKETS for g in grams}
+        z = bias + sum(float(weights[k]) for k in at) / max(1, len(at)) ** 0.5
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
 def test_toxicity_learns_from_its_fold_alone(spark):
     rng = np.random.default_rng(0)
     words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400)]
