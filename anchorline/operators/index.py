@@ -21,56 +21,74 @@ def renormalise(weights: DataFrame) -> DataFrame:
 
 def carry_weights(weights: DataFrame, until: int) -> DataFrame:
     """The last year's weights for the years after it up to ``until``; earlier years are never filled."""
-    last = weights.filter(F.col("year") == F.lit(weights.agg(F.max("year")).first()[0]))
-    later = last.withColumn("year", F.explode(F.sequence(F.col("year") + 1, F.lit(until)))) if not last.isEmpty() and last.first()["year"] < until else last.limit(0)
-    return weights.unionByName(later)
+    # All rows of the year's few series; the maximum is a column, so nothing runs while the plan is built.
+    last = F.max("year").over(Window.partitionBy())
+    return weights.withColumn("_last", last).withColumn("year", F.explode(F.when((F.col("year") == F.col("_last")) & (F.col("year") < until), F.sequence(F.col("year"), F.lit(until))).otherwise(F.array("year")))).drop("_last")
 
 
 def december_ratio(levels: DataFrame, keys: Keys = ()) -> DataFrame:
-    """``levels`` with ratio: a value over that of the same series in the December before its year."""
-    base = levels.filter(F.month("date") == 12).select(*keys, "series", (F.year("date") + 1).alias("year"), F.col("value").alias("december"))
-    return levels.withColumn("year", F.year("date")).join(base, [*keys, "series", "year"]).withColumn("ratio", F.col("value") / F.col("december"))
+    """``levels`` with year, december and ratio: a value over that of the same series in the December before its year."""
+    before = Window.partitionBy(*keys, "series").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last(F.when(F.month("date") == 12, F.struct(F.year("date").alias("year"), "value")), ignorenulls=True).over(before)
+    out = levels.withColumn("year", F.year("date")).withColumn("_seen", seen).filter(F.col("_seen.year") == F.col("year") - 1)
+    return out.withColumn("december", F.col("_seen.value")).drop("_seen").withColumn("ratio", F.col("value") / F.col("december"))
+
+
+def weighted_ratios(levels: DataFrame, weights: DataFrame, keys: Keys, normalise: bool) -> DataFrame:
+    """keys..., series, date, year, basket (series that the year's weights have), growth: share * ratio."""
+    shares = renormalise(weights) if normalise else weights.withColumn("share", F.col("w") / 1000)
+    shares = shares.filter("share is not null").select("year", "series", "share", F.count("*").over(Window.partitionBy("year")).alias("basket"))
+    joined = december_ratio(levels, keys).join(shares, ["year", "series"])
+    return joined.select(*keys, "series", "date", "year", "basket", (F.col("share") * F.col("ratio")).alias("growth"))
+
+
+def earlier_decembers(keys: Keys, g: Column, start: float) -> Column:
+    """The level that a year's growth sets out from: ``start`` times the growth of all earlier Decembers."""
+    w = Window.partitionBy(*keys).orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
+    return F.lit(start) * F.exp(F.coalesce(F.sum(F.when(F.month("date") == 12, g)).over(w), F.lit(0.0)))
 
 
 def chain_link(levels: DataFrame, weights: DataFrame, keys: Keys = (), start: float = 100.0, normalise: bool = True) -> DataFrame:
     """keys..., date, value: the chained Laspeyres aggregate, ``start`` in the first December.
 
     Within a year it is the December level times g = sum of share * ratio, so over the years the Decembers' g multiply:
-    one sum of logs over the years, and no recursion. Months in which a series is missing end the path's year there.
+    one sum of logs over the years, and no recursion. Months in which a series is missing have no aggregate.
     """
-    shares = renormalise(weights) if normalise else weights.withColumn("share", F.col("w") / 1000)
-    n = shares.filter("share is not null").groupBy("year").agg(F.count("*").alias("basket"))
-    ratios = december_ratio(levels, keys).join(F.broadcast(shares.select("year", "series", "share")), ["year", "series"])
-    g = ratios.groupBy(*keys, "year", "date").agg(F.sum(F.col("share") * F.col("ratio")).alias("g"), F.count("ratio").alias("n"))
-    g = g.join(F.broadcast(n), "year").filter("n = basket")
-    decembers = g.filter(F.month("date") == 12).select(*keys, "year", F.log("g").alias("log_g"))
-    w = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
-    anchors = decembers.select(*keys, (F.col("year") + 1).alias("year"), (F.lit(start) * F.exp(F.sum("log_g").over(w))).alias("anchor"))
-    joined = g.join(anchors, [*keys, "year"], "left")
-    return joined.select(*keys, "date", (F.coalesce("anchor", F.lit(start)) * F.col("g")).alias("value"), "g")
+    rows = weighted_ratios(levels, weights, keys, normalise)
+    g = rows.groupBy(*keys, "year", "date").agg(F.sum("growth").alias("g"), F.count("growth").alias("n"), F.max("basket").alias("basket")).filter("n = basket")
+    return g.select(*keys, "date", (earlier_decembers(keys, F.log("g"), start) * F.col("g")).alias("value"), "g")
 
 
 def chain_terms(levels: DataFrame, weights: DataFrame, keys: Keys = (), start: float = 100.0, normalise: bool = True) -> DataFrame:
-    """keys..., series, date, term, total: what each series adds to the aggregate; the terms of a date sum to total."""
-    shares = renormalise(weights) if normalise else weights.withColumn("share", F.col("w") / 1000)
-    ratios = december_ratio(levels, keys).join(F.broadcast(shares.select("year", "series", "share")), ["year", "series"])
-    chain = chain_link(levels, weights, keys, start, normalise).withColumn("anchor", F.col("value") / F.col("g"))
-    joined = ratios.join(chain.select(*keys, "date", "anchor", F.col("value").alias("total")), [*keys, "date"])
-    return joined.select(*keys, "series", "date", (F.col("anchor") * F.col("share") * F.col("ratio")).alias("term"), "total")
+    """keys..., series, date, term, total: what each series adds to the aggregate; the terms of a date sum to total.
+
+    All from one table of growths: windows over the series of a date, and over the years of a path.
+    """
+    date = Window.partitionBy(*keys, "date")
+    rows = weighted_ratios(levels, weights, keys, normalise)
+    rows = rows.withColumns({"g": F.sum("growth").over(date), "n": F.count("growth").over(date)}).filter("n = basket")
+    rows = rows.withColumn("anchor", earlier_decembers(keys, F.log("g") / F.col("n"), start))
+    return rows.select(*keys, "series", "date", (F.col("anchor") * F.col("growth")).alias("term"), (F.col("anchor") * F.col("g")).alias("total"))
+
+
+def a_year_before(column: str, keys: Keys) -> Column:
+    """The column's value of the same keys twelve months before, null if there is none."""
+    w = Window.partitionBy(*keys).orderBy(F.year("date") * 12 + F.month("date")).rangeBetween(-12, -12)
+    return F.first(column).over(w)
 
 
 def yoy_contributions(terms: DataFrame, keys: Keys = ()) -> DataFrame:
     """Percentage points that each series adds to the 12-month growth of the total, and that growth."""
-    old = terms.select(*keys, "series", F.add_months("date", 12).alias("date"), F.col("term").alias("term12"), F.col("total").alias("total12"))
-    both = terms.join(old, [*keys, "series", "date"])
+    by = [*keys, "series"]
+    both = terms.withColumns({"term12": a_year_before("term", by), "total12": a_year_before("total", by)}).filter("total12 is not null")
     return both.select(*keys, "series", "date", (100 * (F.col("term") - F.col("term12")) / F.col("total12")).alias("contribution"), (100 * (F.col("total") / F.col("total12") - 1)).alias("yoy"))
 
 
 def reanchored(levels: DataFrame, weights: DataFrame, published: DataFrame) -> DataFrame:
     """Each year's growth on the published December before, against what was published: date, rebuilt, value, error."""
     g = chain_link(levels, weights).select("date", "g")
-    base = published.filter(F.month("date") == 12).select((F.year("date") + 1).alias("year"), F.col("value").alias("december"))
-    both = g.withColumn("year", F.year("date")).join(F.broadcast(base), "year").join(published, "date")
+    base = december_ratio(published.withColumn("series", F.lit("published"))).select("date", "value", "december")
+    both = g.join(base, "date")
     return both.select("date", (F.col("december") * F.col("g")).alias("rebuilt"), "value", (F.col("december") * F.col("g") - F.col("value")).alias("error"))
 
 

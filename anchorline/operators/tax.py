@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.operators.index import a_year_before
+
 LAYERS = ("pre_tax", "excise", "vat", "unsplit")
 
 
@@ -62,8 +64,8 @@ def layer_contributions(terms: DataFrame, shares: DataFrame) -> DataFrame:
     joined = terms.join(shares, ["series", "date"], "left").withColumn("unsplit", F.coalesce("unsplit", F.lit(1.0)))
     for name in LAYERS[:-1]:
         joined = joined.withColumn(name, F.coalesce(name, F.lit(0.0)))
-    old = joined.select("series", F.add_months("date", 12).alias("date"), F.col("term").alias("term12"), F.col("total").alias("total12"), *[F.col(n).alias(f"{n}12") for n in LAYERS])
-    both = joined.join(old, ["series", "date"]).withColumn("told", (F.col("unsplit") == 0) & (F.col("unsplit12") == 0))
+    both = joined.withColumns({f"{name}12": a_year_before(name, ["series"]) for name in ("term", "total", *LAYERS)})
+    both = both.filter("total12 is not null").withColumn("told", (F.col("unsplit") == 0) & (F.col("unsplit12") == 0))
     part = lambda n: 100 * (F.col("term") * F.col(n) - F.col("term12") * F.col(f"{n}12")) / F.col("total12")
     whole = 100 * (F.col("term") - F.col("term12")) / F.col("total12")
     split = [F.when(F.col("told"), part(n)).otherwise(0.0).alias(n) for n in LAYERS[:-1]]

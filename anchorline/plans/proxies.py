@@ -6,7 +6,7 @@ times a factor that depends on draw, month and region by arithmetic alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DRAWS = 50
@@ -32,8 +32,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sales(spark, sf_dir).groupBy(F.year("date").alias("year"), "series").agg(F.sum("value").alias("s"))
-    total = sums.groupBy("year").agg(F.sum("s").alias("t"))
-    return sums.join(F.broadcast(total), "year").select("year", "series", (1000 * F.col("s") / F.col("t")).alias("w"))
+    return sums.select("year", "series", (1000 * F.col("s") / F.sum("s").over(Window.partitionBy("year"))).alias("w"))
 
 
 def cube(spark: SparkSession, sf_dir: str, draws: int = DRAWS) -> DataFrame:

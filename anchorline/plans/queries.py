@@ -454,7 +454,7 @@ TAXED = "taxed AS (SELECT idx.series, idx.date, idx.value / 1000 AS idx, tax.vat
 
 def taxed(s, d):
     """Index in thousands with the month's taxes."""
-    return X.index(s, d).join(F.broadcast(X.tax(s, d)), "date").select("series", "date", (F.col("value") / 1000).alias("idx"), "vat", "excise")
+    return X.index(s, d).join(X.tax(s, d), "date").select("series", "date", (F.col("value") / 1000).alias("idx"), "vat", "excise")
 
 
 @query(f"WITH {X.INDEX}, {X.TAX}, {TAXED} SELECT series, date, {r('1.5 * idx / (1 + vat / 100) - excise')} AS pre_tax FROM taxed")
