@@ -16,8 +16,8 @@ def outer_align(named: dict[str, DataFrame]) -> DataFrame:
 
 def common_dates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Dates that every series has a value for."""
-    n = df.select(*keys).distinct().count()
-    return df.filter("value is not null").groupBy("date").agg(F.count_distinct(*keys).alias("n")).filter(F.col("n") == n).select("date")
+    held = df.filter("value is not null").groupBy("date").agg(F.count_distinct(*keys).alias("n"))
+    return held.join(df.agg(F.count_distinct(*keys).alias("all")), F.col("n") == F.col("all")).select("date")
 
 
 def nearest(targets: DataFrame, rows: DataFrame, keys: Sequence[str], days: int = 20) -> DataFrame:
@@ -57,12 +57,20 @@ def replace_owned(table: DataFrame, new: DataFrame, owned) -> DataFrame:
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` with the rows of ``new`` in place of those of the same keys."""
     return table.join(new, list(keys), "left_anti").select(table.columns).unionByName(new.select(table.columns))
 
 
+def remove(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` without the rows whose keys are in ``gone``."""
+    return table.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(table.columns)
+
+
 def table_signature(df: DataFrame) -> DataFrame:
-    """SHA-256 of a small table's rows, whatever their order."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))), "\n"), 256).alias("signature"))
+    """rows, signature: sums of two halves of the rows' SHA-256, so their order does not matter and repeats count."""
+    half = lambda at: F.sum(F.conv(F.substring("sha", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    hashed = df.select(F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("sha"))
+    return hashed.agg(F.count("*").alias("rows"), F.concat_ws(":", half(1), half(16)).alias("signature"))
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int = 1) -> DataFrame:
@@ -73,11 +81,10 @@ def horizon_cap(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return df.withColumn("_k", F.dense_rank().over(Window.partitionBy(*keys).orderBy("date"))).filter(F.col("_k") <= n).drop("_k")
 
 
-def preferred(df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str]) -> DataFrame:
-    """Rows of the first metric in ``order`` that a key has."""
-    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
-    ranked = df.withColumn("_p", place).filter("_p > 0").withColumn("_best", F.min("_p").over(Window.partitionBy(*keys)))
-    return ranked.filter("_p = _best").drop("_p", "_best")
+def preferred(df: DataFrame, keys: Sequence[str], column: str, order: DataFrame) -> DataFrame:
+    """Rows of the first metric in ``order`` (the column, place) that a key has."""
+    ranked = df.join(order, column).withColumn("_best", F.min("place").over(Window.partitionBy(*keys)))
+    return ranked.filter("place = _best").drop("place", "_best")
 
 
 def latest_change(df: DataFrame, keys: Sequence[str]) -> DataFrame:

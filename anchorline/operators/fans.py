@@ -72,12 +72,13 @@ def compose_pairing(final: DataFrame, first: DataFrame) -> DataFrame:
     return final.select("pair_id", F.col("draw").alias("middle")).join(first.select(F.col("pair_id").alias("middle"), "model", "draw"), "middle").select("pair_id", "middle", "model", "draw")
 
 
-def even_subset(draws: DataFrame, k: int) -> DataFrame:
-    """k draws at even spaces from the first to the last in their order; all of them if there are no more."""
-    w = Window.orderBy("draw")  # the distinct draws of one model, some thousands at most
-    ranked = draws.select("draw").distinct().withColumn("at", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+def even_subset(draws: DataFrame, k: int, keys: Keys = ()) -> DataFrame:
+    """keys..., draw: k draws at even spaces from the first to the last in their order; all of them if there are no more."""
+    # The distinct draws of one of the keys, some thousands at most.
+    w = Window.partitionBy(*keys)
+    ranked = draws.select(*keys, "draw").distinct().withColumns({"at": F.row_number().over(w.orderBy("draw")) - 1, "n": F.count("*").over(w)})
     spots = F.array(F.lit(0)) if k == 1 else F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (k - 1)).cast("int"))
-    return ranked.filter((F.col("n") <= k) | F.array_contains(spots, F.col("at"))).select("draw")
+    return ranked.filter((F.col("n") <= k) | F.array_contains(spots, F.col("at"))).select(*keys, "draw")
 
 
 def random_subset(draws: DataFrame, k: int, seed: int, keys: Keys = ()) -> DataFrame:

@@ -28,15 +28,20 @@ def design(panel: DataFrame, keys: Keys, lags: int) -> DataFrame:
 
 
 def cross_products(panel: DataFrame, keys: Keys, lags: int) -> DataFrame:
-    """Sums over dates of the products of all pairs of regressors, and of regressors with outcomes (lag -1)."""
-    x = design(panel, keys, lags).withColumn("name", F.concat_ws("|", "variable", F.lpad(F.col("lag").cast("string"), 2, "0")))
+    """Sums over dates of the products of all pairs of regressors, and of regressors with outcomes (named |y).
+
+    A date's regressors are one array, so its products are made in one row and summed before they are shuffled.
+    """
+    x = design(panel, keys, lags).select(*keys, "date", F.concat_ws("|", "variable", F.lpad(F.col("lag").cast("string"), 2, "0")).alias("name"), "x")
     y = panel.filter("value is not null").select(*keys, "date", F.concat("series", F.lit("|y")).alias("name"), F.col("value").alias("x"))
-    n = x.groupBy(*keys, "date").agg(F.count("*").alias("k"))
-    most = n.groupBy(*keys).agg(F.max("k").alias("k"))
-    dates = n.join(most, [*keys, "k"]).select(*keys, "date")
-    left = x.join(dates, [*keys, "date"]).select(*keys, "date", "name", "x")
-    right = left.unionByName(y.select(*left.columns)).select(*keys, "date", F.col("name").alias("other"), F.col("x").alias("z"))
-    return left.join(right, [*keys, "date"]).groupBy(*keys, "name", "other").agg(F.sum(F.col("x") * F.col("z")).alias("s"))
+    row = F.collect_list(F.struct("name", "x"))
+    is_y = lambda v: v["name"].endswith("|y")
+    at = x.unionByName(y).groupBy(*keys, "date").agg(row.alias("row"))
+    at = at.select(*keys, F.filter("row", lambda v: ~is_y(v)).alias("left"), "row").filter("size(left) > 0")
+    # Only dates on which all regressors are there.
+    at = at.withColumn("most", F.max(F.size("left")).over(Window.partitionBy(*keys))).filter("size(left) = most")
+    pairs = F.flatten(F.transform("left", lambda a: F.transform("row", lambda b: F.struct(a["name"].alias("name"), b["name"].alias("other"), (a["x"] * b["x"]).alias("s")))))
+    return at.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, F.col("p.name").alias("name"), F.col("p.other").alias("other")).agg(F.sum("p.s").alias("s"))
 
 
 def fit(panel: DataFrame, keys: Keys, lags: int, ridge: float = 0.0) -> DataFrame:
@@ -142,7 +147,7 @@ def nonlinear_response(levels: DataFrame, irf: DataFrame, keys: Keys, weights: D
 
     ``levels`` (series, date, h, value) are the base path, ``irf`` has keys..., series, h, cumulative; ``weights`` series, w.
     """
-    both = levels.join(irf, ["series", "h"]).join(F.broadcast(weights), "series")
+    both = levels.join(irf, ["series", "h"]).join(weights, "series")
     moved = both.groupBy(*keys, "date").agg(F.sum(F.col("w") * F.col("value")).alias("base"), F.sum(F.col("w") * F.col("value") * F.exp("cumulative")).alias("shocked"))
     return moved.select(*keys, "date", (100 * (F.col("shocked") / F.col("base") - 1)).alias("effect"))
 
@@ -199,9 +204,51 @@ def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi:
     return out
 
 
-def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, own: float = 0.2, cross: float = 0.5, periods: int = 12) -> DataFrame:
+def missing_map(gaps: np.ndarray, length: int, levels: bool) -> list[list[tuple[int, int, float]]]:
+    """Of each missing value (row, series) the model's values (row, series, factor) that it enters: itself, or two changes."""
+    if not levels:
+        return [[(t, j, 1.0)] for t, j in gaps]
+    return [[(t - 1, j, 1.0), *([(t, j, -1.0)] if t < length else [])] for t, j in gaps]
+
+
+def draw_missing(rng: np.random.Generator, z: np.ndarray, filled: np.ndarray, enters: list[list[tuple[int, int, float]]], b: np.ndarray, a: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's values and the missing ones, drawn given all else.
+
+    The residuals, scaled to variance 1 by ``a`` and ``spread``, are linear in the missing values, so these have the normal
+    distribution of a regression's coefficients: the simulation smoother in its precision form. What is observed stays as it is.
+    """
+    n = z.shape[1]
+    lags = (len(b) - 1) // n
+    slope = np.zeros((len(z) - lags, n, len(enters)))
+    for m, entries in enumerate(enters):
+        for t, j, v in entries:
+            if t >= lags:
+                slope[t - lags, j, m] += v
+            for k in range(1, lags + 1):
+                if lags <= t + k < len(z):
+                    slope[t + k - lags, :, m] -= v * b[(k - 1) * n + j]
+    e = z[lags:] - np.concatenate([z[lags - k : len(z) - k] for k in range(1, lags + 1)] + [np.ones((len(z) - lags, 1))], axis=1) @ b
+    e = e - slope @ filled
+    white = ((a @ slope) / spread[:, :, None]).reshape(-1, len(enters))
+    target = ((e @ a.T) / spread).ravel()
+    prec = white.T @ white
+    low = np.linalg.cholesky(prec + 1e-10 * np.trace(prec) / len(prec) * np.eye(len(prec)))
+    centre = -np.linalg.solve(low.T, np.linalg.solve(low, white.T @ target))
+    new = centre + np.linalg.solve(low.T, rng.standard_normal(len(centre)))
+    out = z.copy()
+    for m, entries in enumerate(enters):
+        for t, j, v in entries:
+            out[t, j] += v * (new[m] - filled[m])
+    return out, new
+
+
+def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, own: float = 0.2, cross: float = 0.5, periods: int = 12, levels: bool = False, scales: bool = False) -> DataFrame:
     """keys..., draw, kind, equation, variable, lag, b: posterior draws of a VAR with volatility that moves and outliers.
 
+    The model's values are those of ``panel``, or with ``levels`` their changes. Missing values from the first date on which all
+    series have one are drawn in every sweep, levels so that all observed ones hold exactly; kind ``missing`` has them, its
+    variable being the date. With ``scales`` kind ``scale`` has each date's standard deviation of a shock, outliers included.
+
     A chain is one sequence of draws, so each model and chain (``keys``) is a task of its own, seeded by the seed and the
     key's text. Kinds: ``b`` coefficients (lag 0 the intercept), ``a`` impact rows, ``h`` last log variances, ``phi``,
     ``outlier`` probabilities. Draws whose roots lie outside the unit circle are drawn again, up to REDRAWS times an equation;
@@ -211,10 +258,15 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, kind string, equation string, variable string, lag int, b double"])
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="date", columns="series", values="value").dropna().sort_index()
-        names, z = list(wide.columns), wide.to_numpy(float)
+        wide = frame.pivot(index="date", columns="series", values="value").sort_index()
+        wide = wide[wide.notna().all(axis=1).cummax()]
+        names, gaps = list(wide.columns), np.argwhere(wide.isna().to_numpy())
+        whole = wide.astype(float).interpolate(limit_direction="forward").to_numpy(float)
+        z = np.diff(whole, axis=0) if levels else whole
         n = z.shape[1]
-        y, x = z[lags:], np.concatenate([z[lags - k : len(z) - k] for k in range(1, lags + 1)] + [np.ones((len(z) - lags, 1))], axis=1)
+        enters, filled = missing_map(gaps, len(z), levels), np.array([whole[t, j] for t, j in gaps])
+        regressors = lambda z: np.concatenate([z[lags - k : len(z) - k] for k in range(1, lags + 1)] + [np.ones((len(z) - lags, 1))], axis=1)
+        y, x = z[lags:], regressors(z)
         t, k = x.shape
         rng = np.random.default_rng([seed, *"|".join(str(frame[c].iat[0]) for c in keys).encode()])
         scale = np.array([np.std(np.diff(z[:, i])) for i in range(n)])
@@ -229,6 +281,9 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
         o, po = np.ones((t, n)), np.full(n, 1 / (4 * periods))
         out = []
         for it in range(draws + burn):
+            if enters:
+                z, filled = draw_missing(rng, z, filled, enters, b, a, o * np.exp(h / 2))
+                y, x = z[lags:], regressors(z)
             for j in range(n):
                 # Equation j given the others: what is left of every equation that holds its residual.
                 prec, lin = np.diag(1 / sd[:, j] ** 2), np.zeros(k)
@@ -274,6 +329,10 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
                 out += [(d, "b", names[j], names[r % n] if r < k - 1 else "const", r // n + 1 if r < k - 1 else 0, b[r, j]) for j in range(n) for r in range(k)]
                 out += [(d, "a", names[i], names[j], 0, a[i, j]) for i in range(n) for j in range(i)]
                 out += [(d, kind, names[i], names[i], 0, v[i]) for kind, v in (("h", h[-1]), ("phi", phi), ("outlier", po)) for i in range(n)]
+                if scales:
+                    dates = wide.index[len(wide) - t :]
+                    out += [(d, "scale", names[i], str(dates[s])[:10], 0, v) for i in range(n) for s, v in enumerate(o[:, i] * np.exp(h[:, i] / 2))]
+                out += [(d, "missing", names[j], str(wide.index[at])[:10], 0, v) for (at, j), v in zip(gaps, filled, strict=True)]
         made = pd.DataFrame(out, columns=["draw", "kind", "equation", "variable", "lag", "b"])
         for c in keys:
             made[c] = frame[c].iat[0]
@@ -282,12 +341,54 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
     return panel.groupBy(*keys).applyInPandas(chain, schema)
 
 
-def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int) -> DataFrame:
+def completed(panel: DataFrame, posterior: DataFrame, keys: Keys) -> DataFrame:
+    """keys..., draw, series, date, value: each draw's panel, of which what was missing is drawn."""
+    drawn = posterior.filter("kind = 'missing'").select(*keys, "draw", F.col("equation").alias("series"), F.to_date("variable").alias("date"), F.col("b").alias("value"))
+    draws = posterior.select(*keys, "draw").distinct()
+    seen = panel.filter("value is not null").select(*keys, "series", "date", "value")
+    return seen.join(draws, list(keys)).select(*keys, "draw", "series", "date", "value").unionByName(drawn)
+
+
+def tail_of(panel: DataFrame, keys: Keys, n: int) -> DataFrame:
+    """keys..., series, back (0 the last date), value of the last n dates."""
+    w = Window.partitionBy(*keys, "series").orderBy(F.desc("date"))
+    return panel.withColumn("back", F.row_number().over(w) - 1).filter(F.col("back") < n).select(*keys, "series", "back", "value")
+
+
+def moving_average(b: np.ndarray, horizon: int) -> np.ndarray:
+    """Responses of h periods' values to a shock of the first: [h, equation, shocked]."""
+    n = b.shape[1]
+    out = [np.eye(n)]
+    for h in range(1, horizon):
+        out.append(sum(b[k] @ out[h - 1 - k] for k in range(min(len(b), h))))
+    return np.stack(out)
+
+
+def conditioned(path: np.ndarray, b: np.ndarray, impacts: np.ndarray, steps: np.ndarray, series: np.ndarray, wanted: np.ndarray, levels: bool) -> np.ndarray:
+    """``path`` (horizon, series) moved by the least standard shocks that make it meet the conditions, which it then does exactly.
+
+    Given the path's own shocks this is a draw of the paths that meet them (Matheron's rule), so a path without conditions and
+    one with them share all randomness. ``impacts`` are each period's effects of standard shocks; ``levels`` are sums of values.
+    """
+    horizon, n = path.shape
+    psi = moving_average(b, horizon)
+    effect = np.zeros((horizon, n, horizon, n))
+    for t in range(horizon):
+        for s in range(t + 1):
+            effect[t, :, s] = psi[t - s] @ impacts[s]
+    felt, held = (np.cumsum(effect, axis=0), np.cumsum(path, axis=0)) if levels else (effect, path)
+    rows = felt[steps - 1, series].reshape(len(steps), -1)
+    z = rows.T @ np.linalg.lstsq(rows @ rows.T, wanted - held[steps - 1, series], rcond=None)[0]
+    return path + (effect.reshape(horizon * n, -1) @ z).reshape(horizon, n)
+
+
+def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int, conditions: DataFrame | None = None, levels: bool = False) -> DataFrame:
     """keys..., draw, h, series, value: a path of each draw from the last observed values.
 
     Each draw of each of ``keys`` is a group with a random stream of its own, so paths do not depend on how draws are dealt
     over tasks, and a baseline and a scenario of one seed and the same keys share their shocks. ``tail`` has keys..., series,
-    back (0 the last), value.
+    back (0 the last), value, and draw if the draws have tails of their own. ``conditions`` (keys..., series, h, value; any
+    periods and series, null is none) hold exactly; with ``levels`` they are for the sum of the values from h = 1 on.
     """
     kinds = dict(posterior.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, h int, series string, value double"])
@@ -295,8 +396,8 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
     def paths(key, frame: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         if frame.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        start = last.pivot(index="back", columns="series", values="value").sort_index()
-        out = []
+        start = last[last["back"] >= 0].pivot(index="back", columns="series", values="value").sort_index()
+        fixed = last[(last["back"] < 0) & last["value"].notna()]
         coefficients = frame[frame["kind"] == "b"]
         names, b = matrices(coefficients)
         at = {x: i for i, x in enumerate(names)}
@@ -307,22 +408,123 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
             a[at[e], at[v]] = x
         rng = np.random.default_rng([seed, *"|".join(map(str, key[:-1])).encode(), int(key[-1])])
         past = [start[names].to_numpy(float)[k] for k in range(len(b))]
-        h = one["h"].copy()
-        for step in range(1, horizon + 1):
+        h, path, impacts = one["h"].copy(), [], []
+        for _ in range(horizon):
             h = h + np.sqrt(one["phi"]) * rng.standard_normal(len(names))
             wide = np.where(rng.random(len(names)) < one["outlier"], rng.choice(OUTLIER_SCALES, len(names)), 1)
-            shock = np.linalg.solve(a, wide * np.exp(h / 2) * rng.standard_normal(len(names)))
-            now = const + sum(b[k] @ past[k] for k in range(len(b))) + shock
+            impacts.append(np.linalg.solve(a, np.diag(wide * np.exp(h / 2))))
+            now = const + sum(b[k] @ past[k] for k in range(len(b))) + impacts[-1] @ rng.standard_normal(len(names))
             past = [now, *past[:-1]]
-            out += [(*key, step, x, v) for x, v in zip(names, now, strict=True)]
+            path.append(now)
+        path = np.stack(path)
+        if len(fixed):
+            path = conditioned(path, b, np.stack(impacts), -fixed["back"].to_numpy(int), fixed["series"].map(at).to_numpy(int), fixed["value"].to_numpy(float), levels)
+        out = [(*key, step + 1, x, v) for step in range(horizon) for x, v in zip(names, path[step], strict=True)]
         return pd.DataFrame(out, columns=[*keys, "draw", "h", "series", "value"])
 
-    # The tail is a few rows of each of the keys.
-    tails = posterior.select(*keys, "draw").distinct().join(tail, list(keys))
+    # The tail and the conditions are a few rows of each of the keys.
+    draws, given = posterior.select(*keys, "draw").distinct(), ["series", "back", "value"]
+    tails = (tail if "draw" in tail.columns else draws.join(tail, list(keys))).select(*keys, "draw", *given)
+    if conditions is not None:
+        asked = conditions.select(*keys, "series", (-F.col("h")).alias("back"), "value")
+        tails = tails.unionByName(draws.join(asked, list(keys)).select(*keys, "draw", *given))
     tails = tails.select(*[F.col(c).alias(c) for c in tails.columns])
     return posterior.groupBy(*keys, "draw").cogroup(tails.groupBy(*keys, "draw")).applyInPandas(paths, schema)
 
 
+def replicated(posterior: DataFrame, panel: DataFrame, keys: Keys, seed: int) -> DataFrame:
+    """keys..., draw, date, series, value: a panel from each draw of gibbs() with ``scales``, that begins with the observed values
+    and has each date's own scales."""
+    kinds = dict(posterior.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, date date, series string, value double"])
+
+    def panels(key, frame: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        if frame.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        coefficients = frame[frame["kind"] == "b"]
+        names, b = matrices(coefficients)
+        const = coefficients[coefficients["lag"] == 0].set_index("equation")["b"].reindex(names).to_numpy(float)
+        scale = frame[frame["kind"] == "scale"].pivot(index="variable", columns="equation", values="b").sort_index()[names]
+        a = np.eye(len(names))
+        for e, v, x in frame[frame["kind"] == "a"][["equation", "variable", "b"]].itertuples(index=False):
+            a[names.index(e), names.index(v)] = x
+        rng = np.random.default_rng([seed, *"|".join(map(str, key[:-1])).encode(), int(key[-1])])
+        start = seen.pivot(index="date", columns="series", values="value").sort_index()[names]
+        start = start[start.index.astype(str) < scale.index[0]].to_numpy(float)[-len(b) :]
+        past, out = list(start[::-1]), []
+        for date, spread in zip(scale.index, scale.to_numpy(float), strict=True):
+            now = const + sum(b[k] @ past[k] for k in range(len(b))) + np.linalg.solve(a, spread * rng.standard_normal(len(names)))
+            past = [now, *past[:-1]]
+            out += [(*key, pd.Timestamp(date).date(), x, v) for x, v in zip(names, now, strict=True)]
+        return pd.DataFrame(out, columns=[*keys, "draw", "date", "series", "value"])
+
+    seen = posterior.select(*keys, "draw").distinct().join(panel.select(*keys, "date", "series", "value"), list(keys))
+    seen = seen.select(*[F.col(c).alias(c) for c in seen.columns])
+    return posterior.groupBy(*keys, "draw").cogroup(seen.groupBy(*keys, "draw")).applyInPandas(panels, schema)
+
+
+def replicated_statistics(replicas: DataFrame, panel: DataFrame, keys: Keys) -> DataFrame:
+    """keys..., series, statistic, observed, mean, share: mean, spread and largest value of the panel's series against those of
+    replicated() ones on the same dates, and the share of draws that are above the observed."""
+    figures = lambda df, by: df.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.max("value").alias("max")).unpivot(list(by), ["mean", "sd", "max"], "statistic", "x")
+    dates = replicas.select(*keys, "series", "date").distinct()
+    own = figures(panel.join(dates, [*keys, "series", "date"]), [*keys, "series"]).withColumnRenamed("x", "observed")
+    both = figures(replicas, [*keys, "draw", "series"]).join(own, [*keys, "series", "statistic"])
+    return both.groupBy(*keys, "series", "statistic").agg(F.first("observed").alias("observed"), F.avg("x").alias("mean"), F.avg((F.col("x") > F.col("observed")).cast("double")).alias("share"))
+
+
+def recursive_impacts(posterior: DataFrame, keys: Keys) -> DataFrame:
+    """keys..., draw, response, shock, value: the effect of one standard deviation of each shock, series in their order of name."""
+    kinds = dict(posterior.dtypes)
+
+    def effects(frame: pd.DataFrame) -> pd.DataFrame:
+        names, first = impact_matrix(frame)
+        i, j = (x.ravel() for x in np.indices(first.shape))
+        return pd.DataFrame({**{k: frame[k].iat[0] for k in [*keys, "draw"]}, "response": np.array(names)[i], "shock": np.array(names)[j], "value": first.ravel()})
+
+    return posterior.groupBy(*keys, "draw").applyInPandas(effects, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, response string, shock string, value double"]))
+
+
+def impact_matrix(frame: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    h = frame[frame["kind"] == "h"].set_index("equation")["b"].sort_index()
+    names = list(h.index)
+    a = np.eye(len(names))
+    for e, v, x in frame[frame["kind"] == "a"][["equation", "variable", "b"]].itertuples(index=False):
+        a[names.index(e), names.index(v)] = x
+    return names, np.linalg.solve(a, np.diag(np.exp(h.to_numpy(float) / 2)))
+
+
+def sign_restricted_impacts(posterior: DataFrame, keys: Keys, signs: dict[tuple[str, str], int], tries: int, seed: int, horizons: int = 1) -> DataFrame:
+    """keys..., draw, response, shock, value, tried: impacts rotated at random until responses up to ``horizons`` have the signs.
+
+    ``signs`` gives +1 or -1 for (response, shock). A draw without an accepted rotation among ``tries`` has no rows, so what is
+    returned tells the share of accepted draws; nothing is relaxed.
+    """
+    kinds = dict(posterior.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, response string, shock string, value double, tried int"])
+
+    def rotated(frame: pd.DataFrame) -> pd.DataFrame:
+        names, first = impact_matrix(frame)
+        psi = moving_average(matrices(frame[frame["kind"] == "b"])[1], horizons)
+        rng = np.random.default_rng([seed, *"|".join(str(frame[k].iat[0]) for k in keys).encode(), int(frame["draw"].iat[0])])
+        for tried in range(1, tries + 1):
+            q, up = np.linalg.qr(rng.standard_normal(first.shape))
+            impact = first @ (q * np.where(np.diag(up) < 0, -1, 1))
+            path = psi @ impact
+            # A shock's sign is free: it is turned if that meets its own signs.
+            for shock in {s for _, s in signs}:
+                mine = [(names.index(r), sign) for (r, s), sign in signs.items() if s == shock]
+                if all((path[:, r, names.index(shock)] * sign <= 0).all() for r, sign in mine):
+                    path[:, :, names.index(shock)] *= -1
+                    impact[:, names.index(shock)] *= -1
+            if all((path[:, names.index(r), names.index(s)] * sign >= 0).all() for (r, s), sign in signs.items()):
+                i, j = (x.ravel() for x in np.indices(impact.shape))
+                return pd.DataFrame({**{k: frame[k].iat[0] for k in [*keys, "draw"]}, "response": np.array(names)[i], "shock": np.array(names)[j], "value": impact.ravel(), "tried": tried})
+        return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return posterior.groupBy(*keys, "draw").applyInPandas(rotated, schema)
+
+
 def effective_size(draws: DataFrame, keys: Keys) -> DataFrame:
     """keys..., n, ess, mcse: n over the autocorrelation time, summed in pairs until a pair is negative."""
 
