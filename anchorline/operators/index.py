@@ -128,3 +128,10 @@ def official_contributions(terms: DataFrame, official: DataFrame) -> DataFrame:
 
 def weight_shares(weights: DataFrame) -> DataFrame:
     return weights.groupBy("year", "series").agg(F.sum("w").alias("w")).withColumn("pct", 100 * F.col("w") / F.sum("w").over(Window.partitionBy("year")))
+
+
+def family_weights(weights: DataFrame, family: Column, total: float = 1000.0, tolerance: float = 0.5, guarded_from: int | None = None) -> DataFrame:
+    """year, family, w: the weights of families of series; identity tells whether a guarded year's sum is the total."""
+    sums = weights.groupBy("year", family.alias("family")).agg(F.sum("w").alias("w"))
+    holds = F.abs(F.sum("w").over(Window.partitionBy("year")) - total) <= tolerance
+    return sums.withColumn("identity", holds if guarded_from is None else F.when(F.col("year") >= guarded_from, holds))

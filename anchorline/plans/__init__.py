@@ -1,0 +1,3 @@
+"""The registered queries: importing the package fills QUERIES and SQL."""
+
+from anchorline.plans import queries, tables  # noqa: F401

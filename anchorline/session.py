@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,32 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_LOCAL_ROOT: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a local master gets a temporary one.
+
+    Raises ValueError on a cluster without the setting, as executors could not read each other's files.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="anchorline-"))
+    return _LOCAL_ROOT[0]
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, deleted when the session's JVM ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return fs.makeQualified(folder).toString()
