@@ -246,7 +246,7 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
     """keys..., draw, kind, equation, variable, lag, b: posterior draws of a VAR with volatility that moves and outliers.
 
     The model's values are those of ``panel``, or with ``levels`` their changes. Missing values from the first date on which all
-    series have one are drawn in every sweep, levels so that all observed ones hold exactly; kind ``missing`` has them, its
+    series have one are drawn in every sweep (columns ``own`` and ``cross`` of ``panel`` replace the two of the prior), levels so that all observed ones hold exactly; kind ``missing`` has them, its
     variable being the date. With ``scales`` kind ``scale`` has each date's standard deviation of a shock, outliers included.
 
     A chain is one sequence of draws, so each model and chain (``keys``) is a task of its own, seeded by the seed and the
@@ -271,10 +271,11 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
         rng = np.random.default_rng([seed, *"|".join(str(frame[c].iat[0]) for c in keys).encode()])
         scale = np.array([np.std(np.diff(z[:, i])) for i in range(n)])
         sd = np.empty((k, n))
+        tight, other = (float(frame[c].iat[0]) if c in frame.columns else v for c, v in (("own", own), ("cross", cross)))
         for j in range(n):
             for lag in range(1, lags + 1):
                 row = slice((lag - 1) * n, lag * n)
-                sd[row, j] = own / lag * np.where(np.arange(n) == j, 1, cross * scale[j] / scale)
+                sd[row, j] = tight / lag * np.where(np.arange(n) == j, 1, other * scale[j] / scale)
             sd[-1, j] = 10 * scale[j]
         b = np.linalg.lstsq(x, y, rcond=None)[0]
         a, h, phi = np.eye(n), np.tile(np.log(np.var(y - x @ b, axis=0) + 1e-12), (t, 1)), np.full(n, 0.05)

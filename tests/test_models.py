@@ -119,3 +119,41 @@ def test_replicated_statistics(posterior):
     assert len(got) == 6 and got["share"].between(0, 1).all()
     sd = got[got["statistic"] == "sd"]
     assert (abs(sd["observed"] / sd["mean"] - 1) < 0.25).all()
+
+
+def test_lag_comparison_finds_the_order(spark):
+    from anchorline.operators import search as G
+
+    rng = np.random.default_rng(2)
+    x = np.zeros((400, 2))
+    for t in range(2, 400):
+        x[t] = 0.3 * x[t - 1] + 0.5 * x[t - 2] + rng.standard_normal(2)
+    got = {r["lag"]: r for r in G.lag_comparison(spark.createDataFrame(panel_of(x), PANEL), ["model_id"], (1, 2, 3, 4)).collect()}
+    assert min(got, key=lambda k: got[k]["bic"]) == 2 and {r["n"] for r in got.values()} == {396}
+
+
+def test_stationarity_tells_walks_from_noise(spark):
+    from anchorline.operators import search as G
+
+    rng = np.random.default_rng(3)
+    noise = rng.standard_normal(400)
+    got = {r["series"]: r for r in G.stationarity(spark.createDataFrame(panel_of(np.column_stack([np.cumsum(noise), rng.standard_normal(400)])), PANEL), ["series"]).collect()}
+    assert not got["x"]["adf_rejects"] and got["x"]["kpss_rejects"]
+    assert got["y"]["adf_rejects"] and not got["y"]["kpss_rejects"]
+
+
+def test_stored_posterior_is_rebuilt(spark, posterior, tmp_path):
+    from anchorline.sources import store
+
+    panel, draws = posterior
+    run = {"vintage": "v", "run_id": "r", "forecast_name": "f"}
+    for kind, df in (("panel", panel), ("posterior", draws)):
+        store.save(df.withColumns({k: F.lit(v) for k, v in run.items()}), str(tmp_path), kind)
+    back, again = store.rebuild(spark, str(tmp_path), 60, run_id="r")
+    tail = M.tail_of(panel, ["model_id"], 1)
+    rows = lambda p: sorted(tuple(r) for r in M.simulate(p, tail, ["model_id"], 3, 1).collect())
+    assert rows(again.drop("vintage", "run_id", "forecast_name")) == rows(draws) and back.count() == panel.count()
+    with pytest.raises(ValueError):
+        store.rebuild(spark, str(tmp_path), 61, run_id="r")
+    with pytest.raises(ValueError):
+        store.load(spark, str(tmp_path), "panel", run_id="other")
