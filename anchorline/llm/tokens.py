@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Text bytes that are looked up together; bounds the memory for one step.
 SLICE_BYTES = 2 << 20
 #: Bytes that a worker keeps of chunks, and of pieces, before it starts afresh; what an entry takes besides its text and ids.
-KEPT_BYTES, ENTRY_BYTES = 24 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: Longest chunk that is kept.
 KEPT_CHARS = 64
 
