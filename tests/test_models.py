@@ -157,3 +157,23 @@ def test_stored_posterior_is_rebuilt(spark, posterior, tmp_path):
         store.rebuild(spark, str(tmp_path), 61, run_id="r")
     with pytest.raises(ValueError):
         store.load(spark, str(tmp_path), "panel", run_id="other")
+
+
+def test_fit_roots_and_responses_by_matrix_algebra(spark):
+    values = var_values(120, 4)
+    panel = spark.createDataFrame(panel_of(values), PANEL)
+    fit = M.fit(panel, ["model_id"], 2)
+    got = {(r["equation"], r["variable"], r["lag"]): r["b"] for r in fit.collect()}
+    x = np.column_stack([values[1:-1], values[:-2], np.ones(118)])
+    b = np.linalg.lstsq(x, values[2:], rcond=None)[0]
+    names = [("x", 1), ("y", 1), ("x", 2), ("y", 2), ("const", 0)]
+    for j, e in enumerate("xy"):
+        for i, (v, lag) in enumerate(names):
+            assert got[e, v, lag] == pytest.approx(b[i, j], abs=1e-9)
+    companion = np.vstack([b[:4].T, np.eye(2, 4)])
+    roots = sorted(r["modulus"] for r in M.companion_roots(fit, ["model_id"]).collect())
+    assert roots == pytest.approx(sorted(abs(np.linalg.eigvals(companion))))
+    impacts = spark.createDataFrame([("m", "x", "x", 1.0), ("m", "y", "y", 1.0)], "model_id string, response string, shock string, value double")
+    for r in M.impulse_responses(fit, impacts, ["model_id"], 5).collect():
+        power = np.linalg.matrix_power(companion, r["h"])[:2, :2]
+        assert r["value"] == pytest.approx(power["xy".index(r["response"]), "xy".index(r["shock"])], abs=1e-9)
