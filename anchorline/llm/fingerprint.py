@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.llm.shared import mix
+
 K = 12
 BINS = 64
 TAKE = 2
@@ -26,13 +28,6 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every bit of the input moves every bit of the output."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def kmer_hashes(text: str, k: int = K) -> np.ndarray:
     """Hashes of the k-mers in turn, by doubling: a run of 2n characters from two of n."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)

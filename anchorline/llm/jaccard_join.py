@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import SALTS, row_mark, small_enough, spread_join, workspace, written
+from anchorline.llm.shared import SALTS, mix, row_mark, small_enough, spread_join, workspace, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -42,12 +42,6 @@ BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 #: Odd multipliers of the MinHash functions.
 _MULTIPLIERS = mix(np.arange(1, 1025, dtype=np.uint64) * _ODD) | np.uint64(1)
 

@@ -1,43 +1,16 @@
-"""What the operators share: the cluster's shared folder, written tables, and lists of record batches."""
+"""What the operators share: written tables, marks of rows, checked joins, a hash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anchorline.session import workspace
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a local master gets a temporary one.
-
-    Raises ValueError on a cluster without the setting, as executors could not read each other's files.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _LOCAL_ROOT
-    if _LOCAL_ROOT is None:
-        _LOCAL_ROOT = "file://" + tempfile.mkdtemp(prefix="anchorline-")
-    return _LOCAL_ROOT
-
-
-_LOCAL_ROOT: str | None = None
-
-
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one, deleted when the session's JVM ends."""
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(folder)
-    fs.deleteOnExit(folder)
-    return fs.makeQualified(folder).toString()
+__all__ = ["SALTS", "ascii_lower", "mix", "row_mark", "small_enough", "spread_join", "table", "workspace", "written"]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -84,3 +57,10 @@ def spread_join(large: DataFrame, small: DataFrame, on: list[str], rows: int, ho
         return large.join(F.broadcast(small), on, how)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in large.columns if c not in leave]), F.lit(SALTS)).cast("int"))
     return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every bit of the input moves every bit of the output."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
