@@ -213,13 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         sample.unpersist()
         return Model(NOTHING, NOTHING.astype(np.float32), NOTHING.astype(np.float32), float(np.log(share / (1 - share))))
     counts = sample.mapInArrow(bucket_counts, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).toArrow()
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratios = features(*(batch.column(c).to_numpy().astype(float) for c in ("n0", "n1")), rows)
+            yield batch.filter(pa.array(np.abs(ratios) >= NEGLIGIBLE))
+
+    found = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).mapInArrow(telling, "bucket int, n0 long, n1 long").toArrow()
     kept = found["bucket"].to_numpy()
     order = np.argsort(kept)
     kept = kept[order]
     n0, n1 = (found[c].to_numpy()[order].astype(float) for c in ("n0", "n1"))
-    tells = np.abs(features(n0, n1, rows)) >= NEGLIGIBLE
-    kept, n0, n1 = kept[tells], n0[tells], n1[tells]
     number = np.full(1 << BITS, -1, np.int32)
     number[kept] = np.arange(len(kept))
     numbers = docs.sparkSession.sparkContext.broadcast(number)
