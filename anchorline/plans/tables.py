@@ -112,7 +112,7 @@ def future_regressors(s, d):
     return N.future_regressors(last, ["series"], 12)
 
 
-@query(f"WITH {X.INDEX}, pub AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, sum(value) AS value FROM sales GROUP BY 1), p AS (SELECT date, sum(value) AS s, count(*) AS k FROM idx GROUP BY 1), n AS (SELECT count(DISTINCT series) AS n FROM idx) SELECT CAST(draw AS INTEGER) AS draw, p.date, {r('pub.value - s')} AS value FROM p JOIN n ON k = n JOIN pub ON pub.date = p.date, (SELECT unnest(range(0, 5)) AS draw) WHERE pub.value - s > 0")
+@query(f"WITH {X.INDEX}, pub AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, sum(value) AS value FROM sales GROUP BY 1), p AS (SELECT date, sum(value) AS s, count(*) AS k FROM idx GROUP BY 1), n AS (SELECT count(DISTINCT series) AS n FROM idx) SELECT CAST(draw AS INTEGER) AS draw, p.date, {r('pub.value - s', 2)} AS value FROM p JOIN n ON k = n JOIN pub ON pub.date = p.date, (SELECT unnest(range(0, 5)) AS draw) WHERE pub.value - s > 0", digits=2)
 def residual_paths(s, d):
     total = X.sales(s, d).groupBy(F.trunc("date", "month").alias("date")).agg(F.sum("value").alias("value"))
     return N.residual_paths(total, X.index(s, d), 5)
