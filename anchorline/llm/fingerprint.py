@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import mix
+from anchorline.llm.shared import mix, texts_of
 
 K = 12
 BINS = 64
@@ -95,7 +95,7 @@ def as_text(x: np.ndarray) -> str:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the order of documents: place (doc_id, the largest number for none) and turn (a hash of the text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.withColumn("place", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("turn", F.xxhash64("text"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import SALTS, mix, row_mark, small_enough, spread_join, workspace, written
+from anchorline.llm.shared import SALTS, mix, row_mark, small_enough, spread_join, texts_of, workspace, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -350,7 +350,7 @@ def marked_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """
     spark = docs.sparkSession
     base = workspace(spark, "jaccard")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("mark", row_mark())
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("mark", row_mark())
     prepared = rows.select("doc_id", word_hashes(F.col("text")).alias("words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "mark")
     sketches = written(prepared.mapInArrow(sketch, "doc_id long, mark string, hash_a long, hash_b long, size int, values array<int>"), f"{base}/sketches")
     # Classes are numbered, as two of them may have one least doc_id; written, the numbers stay as they are.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import small_enough, workspace, written
+from anchorline.llm.shared import small_enough, texts_of, workspace, written
 
 ORDER = 5
 #: A document is kept if its perplexity is at most this quantile of the held-out trusted ones of its language and length class.
@@ -198,7 +198,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     base = workspace(docs.sparkSession, "kneser-ney")
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = F.broadcast(good) if small_enough(good, BROADCAST_GRAMS) else good
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
     trusted = rows.join(good, "doc_id", "left_semi").filter("not held_out").select("text")
     counts = written(trusted.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), f"{base}/counts")

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorline.llm.shared import texts_of
 from anchorline.llm.tokens import encoder, slices
 
 SEQUENCE = 4096
@@ -120,4 +121,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         for rows in packer.close():
             yield pa.RecordBatch.from_pydict(rows, schema)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return texts_of(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from anchorline.session import workspace
 
-__all__ = ["SALTS", "ascii_lower", "mix", "row_mark", "small_enough", "spread_join", "table", "workspace", "written"]
+__all__ = ["SALTS", "ascii_lower", "mix", "row_mark", "small_enough", "spread_join", "table", "texts_of", "workspace", "written"]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -19,6 +19,19 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts, at most; by default it is 10,000, which for texts of some KB are tens of MB in every task.
+TEXT_ROWS = 1000
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches have TEXT_ROWS rows at most: for operators that send texts to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(docs.sparkSession.conf.get(name, "10000"))
+    if not 0 < held <= TEXT_ROWS:
+        docs.sparkSession.conf.set(name, TEXT_ROWS)
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

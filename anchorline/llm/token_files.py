@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import workspace, written
+from anchorline.llm.shared import texts_of, workspace, written
 from anchorline.llm.tokens import encoder, slices
 
 MAGIC = b"S8BIDS01"
@@ -195,7 +195,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "file": [name], "first": pa.array([first], pa.int64()), "n_ids": [out.n]}, files)
 
     files = pa.schema([("part", pa.int64()), ("file", pa.string()), ("first", pa.int64()), ("n_ids", pa.int64())])
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = texts_of(docs).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranged = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
     return written(ranged.mapInArrow(write, "part long, file string, first long, n_ids long"), f"{path}/list")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorline.llm.shared import small_enough, workspace, written
+from anchorline.llm.shared import small_enough, texts_of, workspace, written
 
 BITS = 22
 SIZES = (3, 4, 5)
@@ -259,7 +259,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             z = np.array([model.logit(t, wanted) for t in texts.fillna("")], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    return docs.withColumn("toxicity", score(F.col("text")))
+    return texts_of(docs).withColumn("toxicity", score(F.col("text")))
 
 
 def held_out(doc_id: str = "doc_id"):
