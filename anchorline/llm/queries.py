@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from anchorline.llm.decontaminate import contamination
+from anchorline.llm.divergence import source_divergence
 from anchorline.llm.fingerprint import fingerprint_edits
 from anchorline.llm.jaccard_join import jaccard_classes
 from anchorline.llm.kneser_ney import quality
 from anchorline.llm.packing import pack_documents
 from anchorline.llm.pii import personal_data
+from anchorline.llm.quality_rules import quality_rules
 from anchorline.llm.shared import table
 from anchorline.llm.token_files import token_id_files
 from anchorline.llm.toxicity import toxicity
@@ -62,8 +64,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op9_quality, op10_token_files)
+    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op9_quality, op10_token_files, op12_divergence, op13_quality_rules)
     return {f.__name__: f for f in found}
 
 
@@ -90,5 +100,37 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: Every kept term of a language in every source of it, and every pair of sources.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (SELECT k, lang, source, unnest(w) AS term FROM d
+), v AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 10
+), c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN v ON v.lang = t.lang AND v.term = t.term GROUP BY ALL
+), l AS (SELECT lang, count(*) AS size, sum(n) AS total FROM v GROUP BY lang
+), g AS (
+  SELECT e.lang, e.source, coalesce(s.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) s ON s.lang = e.lang AND s.source = e.source
+), p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // CAST(g.total + 2 * l.size AS HUGEINT) AS BIGINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (v.n + 2) // CAST(l.total + 2 * l.size AS HUGEINT) AS BIGINT) AS q
+  FROM g JOIN l ON l.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), e AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op6_decontamination": OP6_SQL, "op12_divergence": OP12_SQL}
