@@ -18,6 +18,7 @@ from anchorline.llm.quality_rules import quality_rules
 from anchorline.llm.shared import table
 from anchorline.llm.token_files import token_id_files
 from anchorline.llm.toxicity import toxicity
+from anchorline.llm.turn_repair import turn_repair
 from anchorline.llm.url_filter import judge_urls
 from anchorline.llm.warc import warc_round_trip
 
@@ -64,6 +65,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op9_quality, op10_token_files, op12_divergence, op13_quality_rules)
+    found = (op1_warc, op2_packing, op3_toxicity, op4_jaccard_join, op5_pii, op6_decontamination, op7_fingerprints, op8_url_filter, op9_quality, op10_token_files, op11_turn_repair, op12_divergence, op13_quality_rules)
     return {f.__name__: f for f in found}
 
 
