@@ -14,25 +14,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from anchorline.operators.smoother import VAGUE, draw_states
+
 Keys = Sequence[str]
 
 
-def design(panel: DataFrame, keys: Keys, lags: int) -> DataFrame:
-    """keys..., date, variable, lag, x: every regressor of a date whose lags are all there; ``const`` is 1."""
+def design(panel: DataFrame, keys: Keys, lags: int, regressors: DataFrame | None = None) -> DataFrame:
+    """keys..., date, variable, lag, x: every regressor of a date whose lags are all there; ``const`` is 1.
+
+    ``regressors`` (keys..., date, variable, x) have lag 0; of a date that has them but no lags there is nothing.
+    """
     w = Window.partitionBy(*keys, "series").orderBy("date")
     lagged = panel.select(*keys, "date", F.col("series").alias("variable"), F.array(*[F.lag("value", k).over(w) for k in range(1, lags + 1)]).alias("x"))
     whole = lagged.filter(~F.exists("x", lambda v: v.isNull()))
     long = whole.select(*keys, "date", "variable", F.posexplode("x").alias("lag", "x")).withColumn("lag", F.col("lag") + 1)
     const = whole.select(*keys, "date").distinct().select(*keys, "date", F.lit("const").alias("variable"), F.lit(0).alias("lag"), F.lit(1.0).alias("x"))
+    if regressors is not None:
+        given = regressors.select(*keys, "date", "variable", F.lit(0).alias("lag"), "x").dropDuplicates([*keys, "date", "variable"])
+        long = long.unionByName(given.join(const.select(*keys, "date"), [*keys, "date"], "left_semi"))
     return long.unionByName(const)
 
 
-def cross_products(panel: DataFrame, keys: Keys, lags: int) -> DataFrame:
+def cross_products(panel: DataFrame, keys: Keys, lags: int, regressors: DataFrame | None = None) -> DataFrame:
     """Sums over dates of the products of all pairs of regressors, and of regressors with outcomes (named |y).
 
     A date's regressors are one array, so its products are made in one row and summed before they are shuffled.
     """
-    x = design(panel, keys, lags).select(*keys, "date", F.concat_ws("|", "variable", F.lpad(F.col("lag").cast("string"), 2, "0")).alias("name"), "x")
+    x = design(panel, keys, lags, regressors).select(*keys, "date", F.concat_ws("|", "variable", F.lpad(F.col("lag").cast("string"), 2, "0")).alias("name"), "x")
     y = panel.filter("value is not null").select(*keys, "date", F.concat("series", F.lit("|y")).alias("name"), F.col("value").alias("x"))
     row = F.collect_list(F.struct("name", "x"))
     is_y = lambda v: v["name"].endswith("|y")
@@ -44,30 +52,36 @@ def cross_products(panel: DataFrame, keys: Keys, lags: int) -> DataFrame:
     return at.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, F.col("p.name").alias("name"), F.col("p.other").alias("other")).agg(F.sum("p.s").alias("s"))
 
 
-def fit(panel: DataFrame, keys: Keys, lags: int, ridge: float = 0.0) -> DataFrame:
-    """keys..., equation, variable, lag, b: least squares of every equation, from the cross products of each model."""
+def fit(panel: DataFrame, keys: Keys, lags: int, ridge: float = 0.0, regressors: DataFrame | None = None, only: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """keys..., equation, variable, lag, b: least squares of every equation, from the cross products of each model.
+
+    ``only`` names the equations that a regressor is in; a regressor that it does not name is in all.
+    """
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="name", columns="other", values="s")
         names = list(wide.index)
         outcomes = [c for c in wide.columns if c.endswith("|y")]
         xx = wide[names].to_numpy(float)
-        b = np.linalg.solve(xx + ridge * np.eye(len(names)), wide[outcomes].to_numpy(float))
-        rows = [(eq[:-2], *n.split("|"), b[i, j]) for j, eq in enumerate(outcomes) for i, n in enumerate(names)]
+        rows = []
+        for eq in outcomes:
+            mine = [i for i, n in enumerate(names) if not (only and n.endswith("|00") and n[:-3] in only and eq[:-2] not in only[n[:-3]])]
+            b = np.linalg.solve(xx[np.ix_(mine, mine)] + ridge * np.eye(len(mine)), wide[eq].to_numpy(float)[mine])
+            rows += [(eq[:-2], *names[i].rsplit("|", 1), v) for i, v in zip(mine, b, strict=True)]
         out = pd.DataFrame(rows, columns=["equation", "variable", "lag", "b"]).astype({"lag": int})
         for k in keys:
             out[k] = frame[k].iat[0]
         return out
 
-    sums = cross_products(panel, keys, lags)
+    sums = cross_products(panel, keys, lags, regressors)
     kinds = dict(panel.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "equation string, variable string, lag int, b double"])
     return sums.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def fitted(panel: DataFrame, coefficients: DataFrame, keys: Keys, lags: int, draws: Keys = ()) -> DataFrame:
+def fitted(panel: DataFrame, coefficients: DataFrame, keys: Keys, lags: int, draws: Keys = (), regressors: DataFrame | None = None) -> DataFrame:
     """keys..., draws..., date, equation, value: the one-step mean as a sparse product of design and coefficients."""
-    x = design(panel, keys, lags)
+    x = design(panel, keys, lags, regressors)
     return x.join(coefficients, [*keys, "variable", "lag"]).groupBy(*keys, *draws, "date", "equation").agg(F.sum(F.col("x") * F.col("b")).alias("value"))
 
 
@@ -204,51 +218,62 @@ def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi:
     return out
 
 
-def missing_map(gaps: np.ndarray, length: int, levels: bool) -> list[list[tuple[int, int, float]]]:
-    """Of each missing value (row, series) the model's values (row, series, factor) that it enters: itself, or two changes."""
-    if not levels:
-        return [[(t, j, 1.0)] for t, j in gaps]
-    return [[(t - 1, j, 1.0), *([(t, j, -1.0)] if t < length else [])] for t, j in gaps]
+#: Largest error, relative to a level, by which the smoother may miss an observed one.
+LEVEL_GATE = 1e-6
+
+
+class Kept:
+    """Values of all draws by kind: one array a kind, and the names of its places."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, tuple[list, list, list]] = {}
+        self.values: dict[str, list[np.ndarray]] = {}
+
+    def add(self, kind: str, places: list[tuple[str, str, int]], values: np.ndarray) -> None:
+        if kind not in self.names:
+            self.names[kind], self.values[kind] = tuple(map(list, zip(*places, strict=True))) if places else ([], [], []), []
+        self.values[kind].append(np.array(values, float).ravel())
+
+    def frame(self, extra: dict) -> pd.DataFrame:
+        parts = []
+        for kind, (equation, variable, lag) in self.names.items():
+            made = np.stack(self.values[kind])
+            d, m = made.shape
+            parts.append(pd.DataFrame({"draw": np.repeat(np.arange(d), m), "kind": kind, "equation": np.tile(np.array(equation, object), d), "variable": np.tile(np.array(variable, object), d), "lag": np.tile(np.array(lag, int), d), "b": made.ravel()}))
+        return pd.concat(parts, ignore_index=True).assign(**extra)
 
 
-def draw_missing(rng: np.random.Generator, z: np.ndarray, filled: np.ndarray, enters: list[list[tuple[int, int, float]]], b: np.ndarray, a: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The model's values and the missing ones, drawn given all else.
+def regressor_matrix(extra: pd.DataFrame, dates: pd.Index, names: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of rows (date, variable, x, equation or none): the variables, their values by date, and which equation has which of them.
 
-    The residuals, scaled to variance 1 by ``a`` and ``spread``, are linear in the missing values, so these have the normal
-    distribution of a regression's coefficients: the simulation smoother in its precision form. What is observed stays as it is.
+    ValueError is raised where a date lacks one.
     """
-    n = z.shape[1]
-    lags = (len(b) - 1) // n
-    slope = np.zeros((len(z) - lags, n, len(enters)))
-    for m, entries in enumerate(enters):
-        for t, j, v in entries:
-            if t >= lags:
-                slope[t - lags, j, m] += v
-            for k in range(1, lags + 1):
-                if lags <= t + k < len(z):
-                    slope[t + k - lags, :, m] -= v * b[(k - 1) * n + j]
-    e = z[lags:] - np.concatenate([z[lags - k : len(z) - k] for k in range(1, lags + 1)] + [np.ones((len(z) - lags, 1))], axis=1) @ b
-    e = e - slope @ filled
-    white = ((a @ slope) / spread[:, :, None]).reshape(-1, len(enters))
-    target = ((e @ a.T) / spread).ravel()
-    prec = white.T @ white
-    low = np.linalg.cholesky(prec + 1e-10 * np.trace(prec) / len(prec) * np.eye(len(prec)))
-    centre = -np.linalg.solve(low.T, np.linalg.solve(low, white.T @ target))
-    new = centre + np.linalg.solve(low.T, rng.standard_normal(len(centre)))
-    out = z.copy()
-    for m, entries in enumerate(enters):
-        for t, j, v in entries:
-            out[t, j] += v * (new[m] - filled[m])
-    return out, new
-
-
-def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, own: float = 0.2, cross: float = 0.5, periods: int = 12, levels: bool = False, scales: bool = False) -> DataFrame:
+    if extra.empty:
+        return [], np.zeros((len(dates), 0)), np.zeros((0, len(names)), bool)
+    own = extra[["variable", "equation"]].drop_duplicates() if "equation" in extra.columns else extra[["variable"]].drop_duplicates().assign(equation=None)
+    wide = extra.drop_duplicates(["date", "variable"]).pivot(index="date", columns="variable", values="x").reindex(dates)
+    if wide.isna().to_numpy().any():
+        raise ValueError(f"regressors {list(wide.columns[wide.isna().any()])} lack dates")
+    variables = list(wide.columns)
+    enters = np.zeros((len(variables), len(names)), bool)
+    for v, e in own.itertuples(index=False):
+        enters[variables.index(v), slice(None) if e is None or e != e else names.index(e)] = True
+    return variables, wide.to_numpy(float), enters
+
+
+def gibbs(
+    panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, own: float = 0.2, cross: float = 0.5, periods: int = 12, levels: bool = False, scales: bool = False, regressors: DataFrame | None = None, regressor_sd: float = 10.0
+) -> DataFrame:
     """keys..., draw, kind, equation, variable, lag, b: posterior draws of a VAR with volatility that moves and outliers.
 
     The model's values are those of ``panel``, or with ``levels`` their changes. Missing values from the first date on which all
-    series have one are drawn in every sweep (columns ``own`` and ``cross`` of ``panel`` replace the two of the prior), levels so that all observed ones hold exactly; kind ``missing`` has them, its
-    variable being the date. With ``scales`` kind ``scale`` has each date's standard deviation of a shock, outliers included.
+    series have one, ragged ends included, are drawn in every sweep by the smoother (columns ``own`` and ``cross`` of ``panel`` replace the
+    two of the prior), so that all observed ones hold exactly; kind ``missing`` has them, its variable being the date, ``projection``
+    and ``adjustment`` the largest error of a draw's levels and changes before that, at their date. RuntimeError is raised if a level's is
+    above LEVEL_GATE. ``regressors`` (keys..., date, variable, x, and equation, null for all) add to the mean of their equations; their
+    coefficients have lag 0, mean 0 and ``regressor_sd`` times the series' spread over the regressor's own as deviation.
 
+    With ``scales`` kind ``scale`` has each date's standard deviation of a shock, outliers included, and ``width`` the outliers' part.
     A chain is one sequence of draws, so each model and chain (``keys``) is a task of its own, seeded by the seed and the
     key's text. Kinds: ``b`` coefficients (lag 0 the intercept), ``a`` impact rows, ``h`` last log variances, ``phi``,
     ``outlier`` probabilities. Draws whose roots lie outside the unit circle are drawn again, up to REDRAWS times an equation;
@@ -257,16 +282,17 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
     kinds = dict(panel.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, kind string, equation string, variable string, lag int, b double"])
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+    def chain(frame: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="date", columns="series", values="value").sort_index()
-        wide = wide[wide.notna().all(axis=1).cummax()]
-        names, gaps = list(wide.columns), np.argwhere(wide.isna().to_numpy())
-        whole = wide.astype(float).interpolate(limit_direction="forward").to_numpy(float)
+        wide = wide[wide.notna().all(axis=1).cummax()].astype(float)
+        names, seen = list(wide.columns), wide.to_numpy(float)
+        gaps = np.argwhere(np.isnan(seen))
+        whole = wide.interpolate(limit_direction="forward").to_numpy(float)
         z = np.diff(whole, axis=0) if levels else whole
-        n = z.shape[1]
-        enters, filled = missing_map(gaps, len(z), levels), np.array([whole[t, j] for t, j in gaps])
-        regressors = lambda z: np.concatenate([z[lags - k : len(z) - k] for k in range(1, lags + 1)] + [np.ones((len(z) - lags, 1))], axis=1)
-        y, x = z[lags:], regressors(z)
+        n, days = z.shape[1], [str(d)[:10] for d in wide.index]
+        added, outside, enters = regressor_matrix(extra, wide.index[len(wide) - len(z) + lags :], names)
+        design_of = lambda z: np.concatenate([z[lags - k : len(z) - k] for k in range(1, lags + 1)] + [np.ones((len(z) - lags, 1)), outside], axis=1)
+        y, x = z[lags:], design_of(z)
         t, k = x.shape
         rng = np.random.default_rng([seed, *"|".join(str(frame[c].iat[0]) for c in keys).encode()])
         scale = np.array([np.std(np.diff(z[:, i])) for i in range(n)])
@@ -276,31 +302,42 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
             for lag in range(1, lags + 1):
                 row = slice((lag - 1) * n, lag * n)
                 sd[row, j] = tight / lag * np.where(np.arange(n) == j, 1, other * scale[j] / scale)
-            sd[-1, j] = 10 * scale[j]
-        b = np.linalg.lstsq(x, y, rcond=None)[0]
+            sd[n * lags, j] = 10 * scale[j]
+            sd[n * lags + 1 :, j] = regressor_sd * scale[j] / np.maximum(outside.std(axis=0), 1e-12)
+        inside = np.concatenate([np.ones((n * lags + 1, n), bool), enters])
+        b = np.zeros((k, n))
+        for j in range(n):
+            b[inside[:, j], j] = np.linalg.lstsq(x[:, inside[:, j]], y[:, j], rcond=None)[0]
         a, h, phi = np.eye(n), np.tile(np.log(np.var(y - x @ b, axis=0) + 1e-12), (t, 1)), np.full(n, 0.05)
         o, po = np.ones((t, n)), np.full(n, 1 / (4 * periods))
-        out = []
+        variables = [*[(v, lag) for lag in range(1, lags + 1) for v in names], ("const", 0), *[(v, 0) for v in added]]
+        kept = Kept()
         for it in range(draws + burn):
-            if enters:
-                z, filled = draw_missing(rng, z, filled, enters, b, a, o * np.exp(h / 2))
-                y, x = z[lags:], regressors(z)
+            if len(gaps):
+                drawn = draw_states(rng, seen, whole, b, x[:, n * lags :] @ b[n * lags :], a, o * np.exp(h / 2), lags, levels, VAGUE * scale)
+                whole = drawn.whole
+                if drawn.level_error.max() > LEVEL_GATE:
+                    raise RuntimeError(f"the smoother misses an observed value by {drawn.level_error.max():.1e}")
+                z = np.diff(whole, axis=0) if levels else whole
+                y, x = z[lags:], design_of(z)
             for j in range(n):
                 # Equation j given the others: what is left of every equation that holds its residual.
-                prec, lin = np.diag(1 / sd[:, j] ** 2), np.zeros(k)
+                mine = inside[:, j]
+                xj = x[:, mine]
+                prec, lin = np.diag(1 / sd[mine, j] ** 2), np.zeros(xj.shape[1])
                 e = y - x @ b
                 e[:, j] = 0
                 left = e @ a.T + np.outer(y[:, j], a[:, j])
                 for i in range(j, n):
                     w = 1 / (o[:, i] ** 2 * np.exp(h[:, i]))
-                    prec += a[i, j] ** 2 * (x * w[:, None]).T @ x
-                    lin += a[i, j] * (x.T @ (w * left[:, i]))
+                    prec += a[i, j] ** 2 * (xj * w[:, None]).T @ xj
+                    lin += a[i, j] * (xj.T @ (w * left[:, i]))
                 low = np.linalg.cholesky(prec)
                 centre = np.linalg.solve(low.T, np.linalg.solve(low, lin))
                 for _ in range(REDRAWS):
-                    b[:, j] = centre + np.linalg.solve(low.T, rng.standard_normal(k))
+                    b[mine, j] = centre + np.linalg.solve(low.T, rng.standard_normal(len(centre)))
                     top = np.zeros((n * lags, n * lags))
-                    top[:n], top[n:, :-n] = b[:-1].T, np.eye(n * (lags - 1))
+                    top[:n], top[n:, :-n] = b[: n * lags].T, np.eye(n * (lags - 1))
                     if np.abs(np.linalg.eigvals(top)).max() < 1:
                         break
                 else:
@@ -326,20 +363,26 @@ def gibbs(panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed:
                 strength = 10 * periods
                 po[i] = rng.beta(strength / (4 * periods) + hits, strength * (1 - 1 / (4 * periods)) + t - hits)
             if it >= burn:
-                d = it - burn
-                out += [(d, "b", names[j], names[r % n] if r < k - 1 else "const", r // n + 1 if r < k - 1 else 0, b[r, j]) for j in range(n) for r in range(k)]
-                out += [(d, "a", names[i], names[j], 0, a[i, j]) for i in range(n) for j in range(i)]
-                out += [(d, kind, names[i], names[i], 0, v[i]) for kind, v in (("h", h[-1]), ("phi", phi), ("outlier", po)) for i in range(n)]
+                kept.add("b", [(names[j], v, lag) for r, (v, lag) in enumerate(variables) for j in range(n) if inside[r, j]], b[inside])
+                kept.add("a", [(names[i], names[j], 0) for i in range(n) for j in range(i)], a[np.tril_indices(n, -1)])
+                for kind, v in (("h", h[-1]), ("phi", phi), ("outlier", po)):
+                    kept.add(kind, [(x, x, 0) for x in names], v)
                 if scales:
-                    dates = wide.index[len(wide) - t :]
-                    out += [(d, "scale", names[i], str(dates[s])[:10], 0, v) for i in range(n) for s, v in enumerate(o[:, i] * np.exp(h[:, i] / 2))]
-                out += [(d, "missing", names[j], str(wide.index[at])[:10], 0, v) for (at, j), v in zip(gaps, filled, strict=True)]
-        made = pd.DataFrame(out, columns=["draw", "kind", "equation", "variable", "lag", "b"])
-        for c in keys:
-            made[c] = frame[c].iat[0]
-        return made
-
-    return panel.groupBy(*keys).applyInPandas(chain, schema)
+                    places = [(x, d, 0) for d in days[len(days) - t :] for x in names]
+                    kept.add("scale", places, o * np.exp(h / 2))
+                    kept.add("width", places, o)
+                if len(gaps):
+                    kept.add("missing", [(names[j], days[at], 0) for at, j in gaps], whole[gaps[:, 0], gaps[:, 1]])
+                    # A draw's worst places: as many rows as series.
+                    kept.add("projection", [(x, "level", 0) for x in names], drawn.level_error.max(axis=0))
+                    kept.add("projection at", [(x, "level", 0) for x in names], drawn.level_error.argmax(axis=0))
+                    if levels:
+                        kept.add("adjustment", [(x, "change", 0) for x in names], drawn.change_error.max(axis=0))
+        return kept.frame({c: frame[c].iat[0] for c in keys})
+
+    if regressors is None:
+        return panel.groupBy(*keys).applyInPandas(lambda frame: chain(frame, pd.DataFrame()), schema)
+    return panel.groupBy(*keys).cogroup(regressors.groupBy(*keys)).applyInPandas(chain, schema)
 
 
 def completed(panel: DataFrame, posterior: DataFrame, keys: Keys) -> DataFrame:
@@ -350,6 +393,12 @@ def completed(panel: DataFrame, posterior: DataFrame, keys: Keys) -> DataFrame:
     return seen.join(draws, list(keys)).select(*keys, "draw", "series", "date", "value").unionByName(drawn)
 
 
+def changes_of(levels: DataFrame, keys: Keys) -> DataFrame:
+    """keys..., series, date, value: each level less the one before it."""
+    before = F.lag("value").over(Window.partitionBy(*keys, "series").orderBy("date"))
+    return levels.select(*keys, "series", "date", (F.col("value") - before).alias("value")).filter("value is not null")
+
+
 def tail_of(panel: DataFrame, keys: Keys, n: int) -> DataFrame:
     """keys..., series, back (0 the last date), value of the last n dates."""
     w = Window.partitionBy(*keys, "series").orderBy(F.desc("date"))
@@ -383,13 +432,14 @@ def conditioned(path: np.ndarray, b: np.ndarray, impacts: np.ndarray, steps: np.
     return path + (effect.reshape(horizon * n, -1) @ z).reshape(horizon, n)
 
 
-def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int, conditions: DataFrame | None = None, levels: bool = False) -> DataFrame:
+def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int, conditions: DataFrame | None = None, levels: bool = False, regressors: DataFrame | None = None) -> DataFrame:
     """keys..., draw, h, series, value: a path of each draw from the last observed values.
 
     Each draw of each of ``keys`` is a group with a random stream of its own, so paths do not depend on how draws are dealt
     over tasks, and a baseline and a scenario of one seed and the same keys share their shocks. ``tail`` has keys..., series,
-    back (0 the last), value, and draw if the draws have tails of their own. ``conditions`` (keys..., series, h, value; any
-    periods and series, null is none) hold exactly; with ``levels`` they are for the sum of the values from h = 1 on.
+    back (0 the last), value, and draw if the draws have tails of their own. ``conditions`` (keys..., series, h, value, and
+    draw if draws have their own; any periods and series, null is none) hold exactly; with ``levels`` they are for the sum of the
+    values from h = 1 on. ``regressors`` (keys..., h, variable, x) are those of the fit; ValueError is raised if one lacks a period.
     """
     kinds = dict(posterior.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, h int, series string, value double"])
@@ -397,12 +447,12 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
     def paths(key, frame: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         if frame.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        start = last[last["back"] >= 0].pivot(index="back", columns="series", values="value").sort_index()
-        fixed = last[(last["back"] < 0) & last["value"].notna()]
+        start = last[last["role"] == "tail"].pivot(index="back", columns="series", values="value").sort_index()
+        fixed = last[(last["role"] == "asked") & last["value"].notna()]
         coefficients = frame[frame["kind"] == "b"]
         names, b = matrices(coefficients)
         at = {x: i for i, x in enumerate(names)}
-        const = coefficients[coefficients["lag"] == 0].set_index("equation")["b"].reindex(names).to_numpy(float)
+        mean = future_mean(coefficients, last[last["role"] == "regressor"], names, horizon)
         one = {kind: frame[frame["kind"] == kind].set_index("equation")["b"].reindex(names).to_numpy(float) for kind in ("h", "phi", "outlier")}
         a = np.eye(len(names))
         for e, v, x in frame[frame["kind"] == "a"][["equation", "variable", "b"]].itertuples(index=False):
@@ -410,11 +460,11 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
         rng = np.random.default_rng([seed, *"|".join(map(str, key[:-1])).encode(), int(key[-1])])
         past = [start[names].to_numpy(float)[k] for k in range(len(b))]
         h, path, impacts = one["h"].copy(), [], []
-        for _ in range(horizon):
+        for step in range(horizon):
             h = h + np.sqrt(one["phi"]) * rng.standard_normal(len(names))
             wide = np.where(rng.random(len(names)) < one["outlier"], rng.choice(OUTLIER_SCALES, len(names)), 1)
             impacts.append(np.linalg.solve(a, np.diag(wide * np.exp(h / 2))))
-            now = const + sum(b[k] @ past[k] for k in range(len(b))) + impacts[-1] @ rng.standard_normal(len(names))
+            now = mean[step] + sum(b[k] @ past[k] for k in range(len(b))) + impacts[-1] @ rng.standard_normal(len(names))
             past = [now, *past[:-1]]
             path.append(now)
         path = np.stack(path)
@@ -423,16 +473,35 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
         out = [(*key, step + 1, x, v) for step in range(horizon) for x, v in zip(names, path[step], strict=True)]
         return pd.DataFrame(out, columns=[*keys, "draw", "h", "series", "value"])
 
-    # The tail and the conditions are a few rows of each of the keys.
-    draws, given = posterior.select(*keys, "draw").distinct(), ["series", "back", "value"]
-    tails = (tail if "draw" in tail.columns else draws.join(tail, list(keys))).select(*keys, "draw", *given)
+    # The tail, the conditions and the regressors are a few rows of each of the keys.
+    draws = posterior.select(*keys, "draw").distinct()
+
+    def given(df: DataFrame, role: str) -> DataFrame:
+        own = df if "draw" in df.columns else draws.join(df, list(keys))
+        return own.select(*keys, F.col("draw").cast("int").alias("draw"), F.lit(role).alias("role"), "series", "back", "value")
+
+    tails = given(tail, "tail")
     if conditions is not None:
-        asked = conditions.select(*keys, "series", (-F.col("h")).alias("back"), "value")
-        tails = tails.unionByName(draws.join(asked, list(keys)).select(*keys, "draw", *given))
+        tails = tails.unionByName(given(conditions.withColumn("back", -F.col("h")), "asked"))
+    if regressors is not None:
+        tails = tails.unionByName(given(regressors.select(*keys, F.col("variable").alias("series"), (-F.col("h")).alias("back"), F.col("x").alias("value")), "regressor"))
     tails = tails.select(*[F.col(c).alias(c) for c in tails.columns])
     return posterior.groupBy(*keys, "draw").cogroup(tails.groupBy(*keys, "draw")).applyInPandas(paths, schema)
 
 
+def future_mean(coefficients: pd.DataFrame, given: pd.DataFrame, names: list[str], horizon: int) -> np.ndarray:
+    """What constant and regressors (series the variable, back = -h, value) add to each equation in the periods ahead."""
+    flat = coefficients[coefficients["lag"] == 0].pivot(index="variable", columns="equation", values="b").reindex(columns=names).fillna(0.0)
+    x = np.ones((horizon, len(flat)))
+    for i, v in enumerate(flat.index):
+        if v != "const":
+            mine = given[given["series"] == v].set_index("back")["value"].reindex([-h for h in range(1, horizon + 1)]).to_numpy(float)
+            if np.isnan(mine).any():
+                raise ValueError(f"regressor {v} lacks a period ahead")
+            x[:, i] = mine
+    return x @ flat.to_numpy(float)
+
+
 def replicated(posterior: DataFrame, panel: DataFrame, keys: Keys, seed: int) -> DataFrame:
     """keys..., draw, date, series, value: a panel from each draw of gibbs() with ``scales``, that begins with the observed values
     and has each date's own scales."""
@@ -444,7 +513,7 @@ def replicated(posterior: DataFrame, panel: DataFrame, keys: Keys, seed: int) ->
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         coefficients = frame[frame["kind"] == "b"]
         names, b = matrices(coefficients)
-        const = coefficients[coefficients["lag"] == 0].set_index("equation")["b"].reindex(names).to_numpy(float)
+        const = coefficients[coefficients["variable"] == "const"].set_index("equation")["b"].reindex(names).to_numpy(float)
         scale = frame[frame["kind"] == "scale"].pivot(index="variable", columns="equation", values="b").sort_index()[names]
         a = np.eye(len(names))
         for e, v, x in frame[frame["kind"] == "a"][["equation", "variable", "b"]].itertuples(index=False):
