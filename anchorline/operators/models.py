@@ -19,6 +19,13 @@ from anchorline.operators.smoother import VAGUE, draw_states
 Keys = Sequence[str]
 
 
+def dealt(df: DataFrame, keys: Keys) -> DataFrame:
+    """``df`` over four tasks a core, by ``keys``: groups are small in bytes and long in work, so what coalesces partitions by their bytes
+    must not put them together. Grouping by the keys then needs no other shuffle. Columns are named anew, so that frames of one
+    origin can be grouped side by side."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def design(panel: DataFrame, keys: Keys, lags: int, regressors: DataFrame | None = None) -> DataFrame:
     """keys..., date, variable, lag, x: every regressor of a date whose lags are all there; ``const`` is 1.
 
@@ -381,8 +388,8 @@ def gibbs(
         return kept.frame({c: frame[c].iat[0] for c in keys})
 
     if regressors is None:
-        return panel.groupBy(*keys).applyInPandas(lambda frame: chain(frame, pd.DataFrame()), schema)
-    return panel.groupBy(*keys).cogroup(regressors.groupBy(*keys)).applyInPandas(chain, schema)
+        return dealt(panel, keys).groupBy(*keys).applyInPandas(lambda frame: chain(frame, pd.DataFrame()), schema)
+    return dealt(panel, keys).groupBy(*keys).cogroup(dealt(regressors, keys).groupBy(*keys)).applyInPandas(chain, schema)
 
 
 def completed(panel: DataFrame, posterior: DataFrame, keys: Keys) -> DataFrame:
@@ -432,14 +439,15 @@ def conditioned(path: np.ndarray, b: np.ndarray, impacts: np.ndarray, steps: np.
     return path + (effect.reshape(horizon * n, -1) @ z).reshape(horizon, n)
 
 
-def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int, conditions: DataFrame | None = None, levels: bool = False, regressors: DataFrame | None = None) -> DataFrame:
+def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, seed: int, conditions: DataFrame | None = None, levels: bool = False, regressors: DataFrame | None = None, spreads: bool = False) -> DataFrame:
     """keys..., draw, h, series, value: a path of each draw from the last observed values.
 
     Each draw of each of ``keys`` is a group with a random stream of its own, so paths do not depend on how draws are dealt
     over tasks, and a baseline and a scenario of one seed and the same keys share their shocks. ``tail`` has keys..., series,
     back (0 the last), value, and draw if the draws have tails of their own. ``conditions`` (keys..., series, h, value, and
     draw if draws have their own; any periods and series, null is none) hold exactly; with ``levels`` they are for the sum of the
-    values from h = 1 on. ``regressors`` (keys..., h, variable, x) are those of the fit; ValueError is raised if one lacks a period.
+    values from h = 1 on. ``regressors`` (keys..., h, variable, x) are those of the fit; ValueError is raised if one lacks a period. With ``spreads`` the deviations that
+    a draw's shocks had are rows of the series "spread of ..." as well, by which two runs can be told to be paired.
     """
     kinds = dict(posterior.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, h int, series string, value double"])
@@ -459,11 +467,12 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
             a[at[e], at[v]] = x
         rng = np.random.default_rng([seed, *"|".join(map(str, key[:-1])).encode(), int(key[-1])])
         past = [start[names].to_numpy(float)[k] for k in range(len(b))]
-        h, path, impacts = one["h"].copy(), [], []
+        h, path, impacts, deviations = one["h"].copy(), [], [], []
         for step in range(horizon):
             h = h + np.sqrt(one["phi"]) * rng.standard_normal(len(names))
             wide = np.where(rng.random(len(names)) < one["outlier"], rng.choice(OUTLIER_SCALES, len(names)), 1)
-            impacts.append(np.linalg.solve(a, np.diag(wide * np.exp(h / 2))))
+            deviations.append(wide * np.exp(h / 2))
+            impacts.append(np.linalg.solve(a, np.diag(deviations[-1])))
             now = mean[step] + sum(b[k] @ past[k] for k in range(len(b))) + impacts[-1] @ rng.standard_normal(len(names))
             past = [now, *past[:-1]]
             path.append(now)
@@ -471,6 +480,8 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
         if len(fixed):
             path = conditioned(path, b, np.stack(impacts), -fixed["back"].to_numpy(int), fixed["series"].map(at).to_numpy(int), fixed["value"].to_numpy(float), levels)
         out = [(*key, step + 1, x, v) for step in range(horizon) for x, v in zip(names, path[step], strict=True)]
+        if spreads:
+            out += [(*key, step + 1, f"spread of {x}", v) for step in range(horizon) for x, v in zip(names, deviations[step], strict=True)]
         return pd.DataFrame(out, columns=[*keys, "draw", "h", "series", "value"])
 
     # The tail, the conditions and the regressors are a few rows of each of the keys.
@@ -485,8 +496,8 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
         tails = tails.unionByName(given(conditions.withColumn("back", -F.col("h")), "asked"))
     if regressors is not None:
         tails = tails.unionByName(given(regressors.select(*keys, F.col("variable").alias("series"), (-F.col("h")).alias("back"), F.col("x").alias("value")), "regressor"))
-    tails = tails.select(*[F.col(c).alias(c) for c in tails.columns])
-    return posterior.groupBy(*keys, "draw").cogroup(tails.groupBy(*keys, "draw")).applyInPandas(paths, schema)
+    by = [*keys, "draw"]
+    return dealt(posterior.filter("kind in ('b', 'a', 'h', 'phi', 'outlier')"), by).groupBy(*by).cogroup(dealt(tails, by).groupBy(*by)).applyInPandas(paths, schema)
 
 
 def future_mean(coefficients: pd.DataFrame, given: pd.DataFrame, names: list[str], horizon: int) -> np.ndarray:
@@ -529,8 +540,8 @@ def replicated(posterior: DataFrame, panel: DataFrame, keys: Keys, seed: int) ->
         return pd.DataFrame(out, columns=[*keys, "draw", "date", "series", "value"])
 
     seen = posterior.select(*keys, "draw").distinct().join(panel.select(*keys, "date", "series", "value"), list(keys))
-    seen = seen.select(*[F.col(c).alias(c) for c in seen.columns])
-    return posterior.groupBy(*keys, "draw").cogroup(seen.groupBy(*keys, "draw")).applyInPandas(panels, schema)
+    by = [*keys, "draw"]
+    return dealt(posterior, by).groupBy(*by).cogroup(dealt(seen, by).groupBy(*by)).applyInPandas(panels, schema)
 
 
 def replicated_statistics(replicas: DataFrame, panel: DataFrame, keys: Keys) -> DataFrame:
@@ -592,7 +603,7 @@ def sign_restricted_impacts(posterior: DataFrame, keys: Keys, signs: dict[tuple[
                 return pd.DataFrame({**{k: frame[k].iat[0] for k in [*keys, "draw"]}, "response": np.array(names)[i], "shock": np.array(names)[j], "value": impact.ravel(), "tried": tried})
         return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
-    return posterior.groupBy(*keys, "draw").applyInPandas(rotated, schema)
+    return dealt(posterior, [*keys, "draw"]).groupBy(*keys, "draw").applyInPandas(rotated, schema)
 
 
 def effective_size(draws: DataFrame, keys: Keys) -> DataFrame:

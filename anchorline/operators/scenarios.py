@@ -77,12 +77,70 @@ def mixed_vintages(parts: dict[str, DataFrame], keys: Keys) -> DataFrame:
     return both.groupBy(*keys).agg(F.count_distinct("vintage").alias("vintages"), F.count_distinct("part").alias("parts")).filter("vintages > 1")
 
 
-def residual_paths(total: DataFrame, parts: DataFrame, draws: int) -> DataFrame:
-    """draw, date, value: what the total has beyond its parts, on the dates that all have, the same in every draw."""
-    n = parts.select("series").distinct().agg(F.count("*").alias("n"))
-    summed = parts.filter("value is not null").groupBy("date").agg(F.sum("value").alias("s"), F.count("*").alias("k"))
-    rest = summed.join(n, F.col("k") == F.col("n")).join(total, "date").select("date", (F.col("value") - F.col("s")).alias("value")).filter("value > 0")
-    return rest.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", "date", "value")
+def overlap_gaps(series: DataFrame, history: DataFrame) -> DataFrame:
+    """date: months inside the overlap of a series and the positive history on which one of them has no value."""
+    ends = lambda df, name: df.filter("value is not null").agg(F.min("date").alias(f"{name}_from"), F.max("date").alias(f"{name}_to"))
+    # A row each.
+    span = ends(series, "s").join(ends(history.filter("value > 0"), "h"), F.lit(True))
+    grid = span.select(F.explode(F.sequence(F.greatest("s_from", "h_from"), F.least("s_to", "h_to"), F.expr("interval 1 month"))).alias("date")).filter("date is not null")
+    held = series.filter("value is not null").select("date").join(history.filter("value > 0").select("date"), "date", "left_semi")
+    return grid.join(held, "date", "left_anti")
+
+
+def observed_paths(series: DataFrame, history: DataFrame, draws: int) -> DataFrame:
+    """draw, date, value: an observed monthly series as paths that are the same in every draw, on the dates from the later start to the
+    earlier end of it and of the positive published history. ValueError names months inside that lack a value: none is filled."""
+    gaps = sorted(str(r["date"]) for r in overlap_gaps(series, history).limit(10).collect())
+    if gaps:
+        raise ValueError(f"months inside the overlap lack values: {gaps}")
+    on = series.filter("value is not null").select("date", "value").join(history.filter("value > 0").select("date"), "date", "left_semi")
+    return on.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "date", "value")
+
+
+def paired_posterior(posterior: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``posterior`` with a draw for each of ``pairs`` (pair_id, draw): several pairs may share a draw."""
+    told = pairs.select(F.col("pair_id").cast("int").alias("_pair"), "draw")
+    return posterior.join(told, "draw").withColumn("draw", F.col("_pair")).drop("_pair").select(posterior.columns)
+
+
+def growth_conditions(paths: DataFrame, pairs: DataFrame, origin: str, horizon: int, series: str) -> DataFrame:
+    """draw (the pair), series, h, value: log growth in per cent, in the periods after ``origin``, of the path (draw, date, value) of each pair."""
+    w = Window.partitionBy("draw").orderBy("date")
+    grown = paths.filter(F.col("date") >= F.lit(origin).cast("date")).withColumns({"h": F.row_number().over(w) - 1, "value": 100 * (F.log("value") - F.log(F.lag("value").over(w)))})
+    return grown.filter((F.col("h") >= 1) & (F.col("h") <= horizon)).join(pairs.select("pair_id", "draw"), "draw").select(F.col("pair_id").cast("int").alias("draw"), F.lit(series).alias("series"), "h", "value")
+
+
+def transfer(posterior: DataFrame, tail: DataFrame, keys: Keys, baseline: DataFrame, scenario: DataFrame, horizon: int, seed: int) -> DataFrame:
+    """keys..., draw, h, series, baseline, scenario: what a model makes of another one's two legs, each pair with the same shocks.
+
+    ``posterior`` is a paired_posterior(), the legs are growth_conditions(); rows "spread of ..." tell the shocks' deviations.
+    """
+    from anchorline.operators.models import simulate
+
+    every = posterior.select(*keys).distinct()
+
+    def leg(conditions: DataFrame, name: str) -> DataFrame:
+        return simulate(posterior, tail, keys, horizon, seed, every.join(conditions, F.lit(True)), spreads=True).withColumnRenamed("value", name)
+
+    return leg(baseline, "baseline").join(leg(scenario, "scenario"), [*keys, "draw", "h", "series"])
+
+
+def pairing_gap(legs: DataFrame, keys: Keys, tolerance: float = 1e-12) -> DataFrame:
+    """keys..., pairs, gap, paired: whether both legs of a transfer() had shocks of the same deviations."""
+    gap = F.max(F.abs(F.col("scenario") - F.col("baseline")))
+    return legs.filter("series like 'spread of %'").groupBy(*keys).agg(F.count_distinct("draw").alias("pairs"), gap.alias("gap"), (gap <= tolerance).alias("paired"))
+
+
+def total_effect(legs: DataFrame, weights: DataFrame, keys: Keys, without: Sequence[str] = ()) -> DataFrame:
+    """keys..., draw, h, baseline, scenario, effect: indices (1 before h = 1) of both legs' weighted growth, and the scenario's distance in per
+    cent. ``without`` leaves series out, the weights of the others being scaled up to the whole: a core index."""
+    upto = Window.partitionBy(*keys, "draw", "series").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    own = weights.filter(~F.col("series").isin(*without)) if without else weights
+    level = lambda c: F.exp(F.sum(c).over(upto) / 100)
+    rows = legs.join(own.select("series", "w"), "series").withColumns({"b": level("baseline"), "s": level("scenario")})
+    share = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
+    sums = rows.groupBy(*keys, "draw", "h").agg(share("b").alias("baseline"), share("s").alias("scenario"))
+    return sums.withColumn("effect", 100 * (F.col("scenario") / F.col("baseline") - 1))
 
 
 def future_regressors(last: DataFrame, keys: Keys, horizon: int, driver: str = "value") -> DataFrame:

@@ -8,6 +8,8 @@ from anchorline.operators import fans as A
 from anchorline.operators import models as M
 from anchorline.operators import scenarios as N
 from anchorline.operators import search as G
+from anchorline.operators import structural as T
+from anchorline.plans import posteriors as P
 from anchorline.plans import proxies as X
 from anchorline.plans.queries import DLOG, IRF, MP, dlog, model_panel, query, r, responses
 
@@ -58,49 +60,38 @@ def stationarity(s, d):
 
 @query()
 def prior_search(s, d):
-    panel = model_panel(s, d)
+    panel = X.line_changes(s, d)
     grid = s.createDataFrame([(0.1, 0.5), (0.4, 0.5)], "own double, cross double")
     ends = panel.groupBy("model_id").agg(F.max("date").alias("end"))
     origins = ends.select("model_id", F.explode(F.array(F.add_months("end", -12), F.add_months("end", -6))).alias("origin"))
     return G.prior_search(panel, KEYS, grid, origins, 1, 3, 40, 20, 5)
 
 
-def completed_posterior(s, d):
-    """Log levels of which every seventh month, and two series' last months, are missing, and draws of the model with these."""
-    logs = X.index(s, d).select(F.lit("m").alias("model_id"), "series", "date", (100 * F.log("value")).alias("value"))
-    edge = F.col("series").isin("ASIA", "EUROPE") & (F.col("date") >= F.lit("2000-11-01").cast("date"))
-    gap = ((F.year("date") * 12 + F.month("date")) % 7 == 3) & (F.col("series") == "AMERICA")
-    held = logs.withColumn("value", F.when(~(edge | gap), F.col("value"))).filter("date < '2001-01-01'")
-    return held, M.gibbs(held, KEYS, 1, 40, 20, 11, levels=True, scales=True)
-
-
 @query()
 def completed_levels(s, d):
-    held, draws = completed_posterior(s, d)
-    return A.fan(M.completed(held, draws, KEYS), ["series", "date"])
+    """Log levels of which every seventh month of a series, and two series' last months, are missing: what the draws hold there."""
+    return A.fan(M.completed(P.gapped_levels(s, d), P.gapped(s, d), KEYS), ["model_id", "series", "date"])
 
 
 @query()
 def conditional_forecast(s, d):
     """Each draw's path with one series' first three changes given, against the same draw's path without."""
-    panel = model_panel(s, d)
-    draws = M.gibbs(panel, KEYS, 2, 40, 20, 9)
-    tail = M.tail_of(panel, KEYS, 2)
-    asked = panel.select("model_id").distinct().select("model_id", F.lit("ASIA").alias("series"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("h"), F.lit(2.0).alias("value"))
+    draws, panel = P.structural(s, d), X.line_changes(s, d)
+    tail = P.ends(s, d)
+    asked = panel.select("model_id").distinct().select("model_id", F.lit("N").alias("series"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("h"), F.lit(2.0).alias("value"))
     leg = lambda conditions, name: M.simulate(draws, tail, KEYS, 6, 7, conditions).withColumnRenamed("value", name)
     pairs = leg(None, "baseline").join(leg(asked, "scenario"), [*KEYS, "draw", "h", "series"])
-    return N.pair_effect(pairs, ["series", "h"])
+    return N.pair_effect(pairs, ["model_id", "series", "h"])
 
 
 @query()
 def sign_restricted(s, d):
-    draws = M.gibbs(model_panel(s, d), KEYS, 1, 40, 20, 9)
-    impacts = M.sign_restricted_impacts(draws, KEYS, {("ASIA", "ASIA"): 1, ("EUROPE", "ASIA"): 1}, 100, 3)
-    return A.fan(impacts, ["response", "shock"])
+    impacts = M.sign_restricted_impacts(P.structural(s, d), KEYS, {("N", "N"): 1, ("A", "N"): 1}, 100, 3)
+    return A.fan(impacts, ["model_id", "response", "shock"])
 
 
 @query()
 def replicated_statistics(s, d):
-    panel = model_panel(s, d)
-    draws = M.gibbs(panel, KEYS, 1, 40, 20, 9, scales=True)
-    return M.replicated_statistics(M.replicated(draws, panel, KEYS, 5), panel, KEYS)
+    panel, draws = X.line_changes(s, d), P.structural(s, d)
+    whole = T.panels_of(draws, panel, KEYS).filter("draw = 0").drop("draw")
+    return M.replicated_statistics(M.replicated(draws, whole, KEYS, 5), panel, KEYS)

@@ -42,6 +42,22 @@ def cube(spark: SparkSession, sf_dir: str, draws: int = DRAWS) -> DataFrame:
     return level.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("series", "draw", "date", (F.col("value") * factor).alias("value"))
 
 
+def line_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly mean line price of each line number (a model) and return flag (its series); months without a line have null values."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("line "), "l_linenumber").alias("model_id"), F.col("l_returnflag").alias("series"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date"), "l_extendedprice")
+    means = lines.groupBy("model_id", "series", "date").agg(F.avg("l_extendedprice").alias("value"))
+    span = means.groupBy("model_id").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    months = span.select("model_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("date"))
+    return months.join(means.select("model_id", "series").distinct(), "model_id").join(means, ["model_id", "series", "date"], "left")
+
+
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log changes of line_levels() in per cent, null where a month or the one before has no value."""
+    w = Window.partitionBy("model_id", "series").orderBy("date")
+    made = line_levels(spark, sf_dir).withColumn("n", F.row_number().over(w)).withColumn("value", 100 * (F.log("value") - F.log(F.lag("value").over(w))))
+    return made.filter("n > 1").drop("n")
+
+
 def sparse_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices less an amount that makes some of them negative, by draw = o_orderkey mod 20."""
     orders = table(spark, sf_dir, "orders")
@@ -93,4 +109,8 @@ WEEKLY = "weekly AS (SELECT o_orderpriority AS series, CAST(date_trunc('week', o
 DAILY = "daily AS (SELECT event_type AS series, CAST(ts AS DATE) AS date, avg(value) AS value FROM events GROUP BY 1, 2)"
 TAX = "tax AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, 100 * avg(l_tax) AS vat, 1000 * avg(l_discount) AS excise FROM lineitem GROUP BY 1)"
 RUNS = "runs AS (SELECT p_brand AS model_id, p_type AS vintage, 'r' || p_partkey AS run_id, p_size AS created, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS promoted FROM part)"
+MODES = """modes AS (SELECT 'line ' || l_linenumber AS model_id, l_returnflag AS series, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL),
+  mch AS (SELECT a.model_id, a.series, a.date, 100 * (ln(a.value) - ln(b.value)) AS value FROM modes a JOIN modes b ON b.model_id = a.model_id AND b.series = a.series AND a.date = b.date + INTERVAL 1 MONTH),
+  mn AS (SELECT model_id, count(DISTINCT series) AS n FROM modes GROUP BY 1),
+  mstart AS (SELECT model_id, min(date) AS start FROM (SELECT model_id, date FROM mch JOIN mn USING (model_id) GROUP BY model_id, date, n HAVING count(*) = n) GROUP BY 1)"""
 SPARSE = "sparse AS (SELECT CAST(o_orderkey % 20 AS INTEGER) AS draw, o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date, o_totalprice - 2000.0 AS value FROM orders)"

@@ -827,27 +827,26 @@ def historical_decomposition(s, d):
     return M.historical_decomposition(shocks, responses(s, d), ["draw"])
 
 
-def posterior(s, d):
-    chains = model_panel(s, d).withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
-    return M.gibbs(chains, ["model_id", "chain"], 2, 60, 30, 42)
-
-
 @query()
 def gibbs_summary(s, d):
-    return Z.parameter_summary(posterior(s, d).withColumnRenamed("b", "value"), ["kind", "equation", "variable", "lag"])
+    from anchorline.plans.posteriors import two_chains
+
+    return Z.parameter_summary(two_chains(s, d).withColumnRenamed("b", "value"), ["model_id", "kind", "equation", "variable", "lag"])
 
 
 @query()
 def effective_sizes(s, d):
-    one = posterior(s, d).filter("kind = 'phi'").withColumnRenamed("b", "value")
+    from anchorline.plans.posteriors import chains
+
+    one = chains(s, d).filter("kind = 'phi'").withColumnRenamed("b", "value")
     return M.effective_size(one, ["model_id", "chain", "equation"])
 
 
 @query()
 def predictive_fan(s, d):
-    from pyspark.sql import Window
+    from anchorline.plans.posteriors import chains, ends
 
-    panel = model_panel(s, d)
-    tail = panel.withColumn("back", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("date"))) - 1).filter("back < 2").withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1))))
-    paths = M.simulate(posterior(s, d), tail.select("model_id", "chain", "series", "back", "value"), ["model_id", "chain"], 6, 7)
-    return A.fan(paths, ["series", "h"])
+    draws = chains(s, d)
+    tail = draws.select("model_id", "chain").distinct().join(ends(s, d).filter("draw = 0").drop("draw"), "model_id")
+    paths = M.simulate(draws, tail, ["model_id", "chain"], 6, 7)
+    return A.fan(paths, ["model_id", "series", "h"])

@@ -112,10 +112,26 @@ def future_regressors(s, d):
     return N.future_regressors(last, ["series"], 12)
 
 
-@query(f"WITH {X.INDEX}, pub AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, sum(value) AS value FROM sales GROUP BY 1), p AS (SELECT date, sum(value) AS s, count(*) AS k FROM idx GROUP BY 1), n AS (SELECT count(DISTINCT series) AS n FROM idx) SELECT CAST(draw AS INTEGER) AS draw, p.date, {r('pub.value - s', 2)} AS value FROM p JOIN n ON k = n JOIN pub ON pub.date = p.date, (SELECT unnest(range(0, 5)) AS draw) WHERE pub.value - s > 0", digits=2)
-def residual_paths(s, d):
+SPREAD = "ot AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, sum(o_totalprice) AS value FROM orders GROUP BY 1), lt AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(l_extendedprice) AS value, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1), rest AS (SELECT ot.date, ot.value - lt.value AS value FROM ot JOIN lt ON lt.date = ot.date)"
+
+
+def spread(s, d):
+    """Each month's orders less the lines shipped in it, which may be negative, and the mean line price as published history."""
     total = X.sales(s, d).groupBy(F.trunc("date", "month").alias("date")).agg(F.sum("value").alias("value"))
-    return N.residual_paths(total, X.index(s, d), 5)
+    lines = X.table(s, d, "lineitem").groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("date")).agg(F.sum("l_extendedprice").alias("shipped"), F.avg("l_extendedprice").alias("price"))
+    both = total.join(lines, "date")
+    return both.select("date", (F.col("value") - F.col("shipped")).alias("value")), lines.select("date", F.col("price").alias("value"))
+
+
+@query(f"WITH {SPREAD} SELECT CAST(draw AS INTEGER) AS draw, rest.date, {r('rest.value', 2)} AS value FROM rest JOIN lt ON lt.date = rest.date, (SELECT unnest(range(0, 5)) AS draw) WHERE price > 0", digits=2)
+def residual_paths(s, d):
+    return N.observed_paths(*spread(s, d), 5)
+
+
+@query(f"WITH {SPREAD}, held AS (SELECT date FROM rest WHERE month(date) <> 7) SELECT date FROM rest WHERE month(date) = 7 AND date > (SELECT min(date) FROM held) AND date < (SELECT max(date) FROM held)")
+def overlap_gaps(s, d):
+    series, history = spread(s, d)
+    return N.overlap_gaps(series.filter("month(date) <> 7"), history)
 
 
 # Taxes over draws
