@@ -30,6 +30,8 @@ MERGE_AT = 4 << 20
 #: Grams up to which their probabilities are broadcast (16 bytes each); more are joined to the documents' grams.
 BROADCAST_GRAMS = 4_000_000
 SALTS = 32
+#: Ids of trusted documents up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +199,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     """
     base = workspace(docs.sparkSession, "kneser-ney")
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = F.broadcast(good) if small_enough(good, BROADCAST_GRAMS) else good
+    good = F.broadcast(good) if small_enough(good, BROADCAST_IDS) else good
     rows = texts_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
     trusted = rows.join(good, "doc_id", "left_semi").filter("not held_out").select("text")

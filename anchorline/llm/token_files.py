@@ -196,7 +196,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
 
     files = pa.schema([("part", pa.int64()), ("file", pa.string()), ("first", pa.int64()), ("n_ids", pa.int64())])
     rows = texts_of(docs).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # The rows of one key, or without, are ranged by the beginnings of their texts, which go through the driver as bounds.
+    ranged = rows.repartitionByRange("key", F.substring("text", 1, 64)).sortWithinPartitions("key", "text")
     return written(ranged.mapInArrow(write, "part long, file string, first long, n_ids long"), f"{path}/list")
 
 

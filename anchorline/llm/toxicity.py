@@ -3,11 +3,12 @@
 A text's features are the hash buckets of its lower-cased 3- to 5-grams, each as 1 + log of how often it occurs. Fitted are,
 on a bounded sample of the labelled rows: the buckets' log-count ratios, drawn towards 0 as far as chance may have made
 them, and a logistic regression on the features times these, each text scaled to length 1. All buckets of LEAST_TEXTS
-sampled texts or more have a weight but those whose ratio chance has drawn to nearly 0, which tell nothing.
+sampled texts or more have a weight. The sampled texts' features go to the driver as the packed gaps between their numbers.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,9 +26,6 @@ SIZES = (3, 4, 5)
 FIT_ROWS = 3000
 #: Sampled texts without which a bucket has no weight.
 LEAST_TEXTS = 2
-#: Log-count ratios that are as good as 0: most n-grams are as common in toxic texts as in others. Held-out figures are the
-#: same with and without these, and a text has a twelfth of the features.
-NEGLIGIBLE = 0.01
 #: Characters of a text that are looked at together.
 PIECE = 1 << 20
 SMOOTHING = 1.0
@@ -123,7 +121,23 @@ def features(n0: np.ndarray, n1: np.ndarray, rows: tuple[float, float]) -> np.nd
 Text = tuple[np.ndarray, np.ndarray]  # the numbers of its features, and 1 + log of how often they occur
 
 
-def logistic(texts: list[Text], ratios: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
+class Packed:
+    """A sampled text's features as the gaps between their numbers and their counts, deflated: some two bytes each."""
+
+    def __init__(self, data: bytes, size: int) -> None:
+        self.data, self.size = data, size
+
+    @staticmethod
+    def bytes_of(numbers: np.ndarray, times: np.ndarray) -> bytes:
+        return zlib.compress(np.diff(numbers, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() + times.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+    def text(self) -> Text:
+        raw = np.frombuffer(zlib.decompress(self.data), np.uint8)
+        gaps, times = (part.reshape(4, self.size).T.copy().view("<u4").ravel() for part in (raw[: 4 * self.size], raw[4 * self.size :]))
+        return np.cumsum(gaps.astype(np.int64)), (1 + np.log(times)).astype(np.float32)
+
+
+def logistic(texts: list[Packed], ratios: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the features and a bias, by AdaGrad on the weighted log loss, a text after another.
 
     The order of an epoch only depends on the number of texts.
@@ -132,11 +146,11 @@ def logistic(texts: list[Text], ratios: np.ndarray, y: np.ndarray, importance: n
     w, g2 = np.zeros(len(ratios), np.float32), np.full(len(ratios), 1e-8, np.float32)
     b, b2 = float(np.log((importance * y).sum() / (importance * (1 - y)).sum())), 1.0
     # Scale so that a text's features do not outgrow the steps.
-    step = np.float32(1 / max(1e-6, sum(float(np.abs(scaled(ratios[k], n)).sum()) for k, n in texts) / len(y)))
+    step = np.float32(1 / max(1e-6, sum(float(np.abs(scaled(ratios[k], n)).sum()) for k, n in (t.text() for t in texts)) / len(y)))
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            k, n = texts[i]
+            k, n = texts[i].text()
             xi, wi = scaled(ratios[k], n) * step, w[k]
             error = importance[i] * (1 / (1 + np.exp(-np.clip(b + float(wi @ xi), -30, 30))) - y[i])
             g = np.float32(error) * xi
@@ -164,18 +178,18 @@ def level(z: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[float,
     return max(float(v[0]), 0.05), float(v[1])
 
 
-def fitted(texts: list[Text], n0: np.ndarray, n1: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def fitted(texts: list[Packed], n0: np.ndarray, n1: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Ratios, weights and bias of all sampled texts, with the level and spread that scores of unseen texts have."""
     out = np.arange(len(y)) % FOLDS == 0
     a0, a1 = n0.copy(), n1.copy()
     for i in np.flatnonzero(out):
-        (a1 if y[i] else a0)[texts[i][0]] -= 1
+        (a1 if y[i] else a0)[texts[i].text()[0]] -= 1
     slope, shift = 1.0, 0.0
     rows = (float((y[~out] == 0).sum()), float((y[~out] == 1).sum()))
     if all(rows):
         x = (features(a0, a1, rows) * (a0 + a1 >= LEAST_TEXTS)).astype(np.float32)
         w, b = logistic([texts[i] for i in np.flatnonzero(~out)], x, y[~out], importance[~out])
-        z = [b + float(w[k] @ scaled(x[k], n)) for k, n in (texts[i] for i in np.flatnonzero(out))]
+        z = [b + float(w[k] @ scaled(x[k], n)) for k, n in (texts[i].text() for i in np.flatnonzero(out))]
         slope, shift = level(np.array(z), y[out], importance[out])
     x = features(n0, n1, (float((y == 0).sum()), float((y == 1).sum()))).astype(np.float32)
     w, b = logistic(texts, x, y, importance)
@@ -214,12 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model(NOTHING, NOTHING.astype(np.float32), NOTHING.astype(np.float32), float(np.log(share / (1 - share))))
     counts = sample.mapInArrow(bucket_counts, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ratios = features(*(batch.column(c).to_numpy().astype(float) for c in ("n0", "n1")), rows)
-            yield batch.filter(pa.array(np.abs(ratios) >= NEGLIGIBLE))
-
-    found = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).mapInArrow(telling, "bucket int, n0 long, n1 long").toArrow()
+    found = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).toArrow()
     kept = found["bucket"].to_numpy()
     order = np.argsort(kept)
     kept = kept[order]
@@ -228,20 +237,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     number[kept] = np.arange(len(kept))
     numbers = docs.sparkSession.sparkContext.broadcast(number)
 
-    def kept_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = numbers.value >= 0
         for batch in batches:
-            found = [counted(buckets(t, wanted)) for t in batch.column(1).to_pylist()]
-            lists = [pa.array(x, pa.list_(t)) for x, t in (([numbers.value[at] for at, _ in found], pa.int32()), ([n for _, n in found], pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["label", "place", "kept", "n"])
+            found = [np.unique(buckets(t, wanted), return_counts=True) for t in batch.column(1).to_pylist()]
+            data, size = [Packed.bytes_of(numbers.value[at], n) for at, n in found], [len(at) for at, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary()), pa.array(size, pa.int32())], ["label", "place", "data", "size"])
 
-    lists = sample.mapInArrow(kept_lists, "label int, place long, kept array<int>, n array<float>").toArrow()
+    lists = sample.mapInArrow(packed, "label int, place long, data binary, size int").toArrow()
     sample.unpersist()
-    # One order, however the rows were dealt; the texts are views of what has been collected.
+    # One order, however the rows were dealt.
     turn = np.argsort(lists["place"].to_numpy(), kind="stable")
     y = lists["label"].to_numpy()[turn].astype(float)
-    flat = lambda name: [c.values.to_numpy()[lo:hi] for c in lists[name].chunks for lo, hi in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
-    texts = list(zip(flat("kept"), flat("n"), strict=True))
+    texts = [Packed(data, size) for data, size in zip(lists["data"].to_pylist(), lists["size"].to_pylist(), strict=True)]
     texts = [texts[i] for i in turn]
     importance = np.where(y == 1, totals[1] / rows[1], totals[0] / rows[0])
     return Model(kept, *fitted(texts, n0, n1, y, importance))
