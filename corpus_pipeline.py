@@ -17,7 +17,7 @@ from anchorline.llm.toxicity import fit, score_texts
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Marks to drop up to which they are broadcast; more are shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def held(docs: DataFrame, *columns: Column) -> DataFrame:
