@@ -203,7 +203,7 @@ OUTLIER_SCALES = np.arange(2, 21)
 REDRAWS = 1000
 
 
-def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi: float) -> np.ndarray:
+def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi: float, first_var: float = 10.0) -> np.ndarray:
     """A random-walk log variance given squared residuals: mixture states, a forward filter, backward draws."""
     u = np.log(y * y + max(1e-12, 1e-6 * float(np.median(y * y))))
     p, m, v = MIXTURE[:, 0], MIXTURE[:, 1] - 1.2704, MIXTURE[:, 2]
@@ -211,7 +211,7 @@ def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi:
     prob = np.exp(logs - logs.max(1, keepdims=True))
     s = (prob.cumsum(1) < rng.random(len(u))[:, None] * prob.sum(1, keepdims=True)).sum(1)
     mean, var = np.empty(len(u)), np.empty(len(u))
-    a, q = float(u.mean()), 10.0
+    a, q = float(u.mean()), first_var
     for t in range(len(u)):
         q += phi
         gain = q / (q + v[s[t]])
@@ -227,6 +227,10 @@ def log_volatility(rng: np.random.Generator, y: np.ndarray, h: np.ndarray, phi:
 
 #: Largest error, relative to a level, by which the smoother may miss an observed one.
 LEVEL_GATE = 1e-6
+#: The prior: tightness on a series' own lags and, relative to it, on others' ones; how it tightens with the lag; deviation of a constant
+#: and variance of an impact in units of the series' spread; yearly scale and degrees of freedom of the log variances' steps, their
+#: variance before the first date; years between outliers, and years of observations that this is worth.
+PRIOR = {"own": 0.2, "cross": 0.5, "decay": 1.0, "const": 10.0, "impact_var": 10.0, "phi": 0.6, "phi_df": 4.0, "h0_var": 10.0, "outlier_years": 4.0, "outlier_strength": 10.0}
 
 
 class Kept:
@@ -269,22 +273,22 @@ def regressor_matrix(extra: pd.DataFrame, dates: pd.Index, names: list[str]) ->
 
 
 def gibbs(
-    panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, own: float = 0.2, cross: float = 0.5, periods: int = 12, levels: bool = False, scales: bool = False, regressors: DataFrame | None = None, regressor_sd: float = 10.0
+    panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, prior: dict[str, float] | None = None, periods: int = 12, levels: bool = False, scales: bool = False, regressors: DataFrame | None = None, regressor_sd: float = 10.0, failures: bool = False
 ) -> DataFrame:
     """keys..., draw, kind, equation, variable, lag, b: posterior draws of a VAR with volatility that moves and outliers.
 
     The model's values are those of ``panel``, or with ``levels`` their changes. Missing values from the first date on which all
-    series have one, ragged ends included, are drawn in every sweep by the smoother (columns ``own`` and ``cross`` of ``panel`` replace the
-    two of the prior), so that all observed ones hold exactly; kind ``missing`` has them, its variable being the date, ``projection``
+    series have one, ragged ends included, are drawn in every sweep by the smoother, so that all observed ones hold exactly; kind ``missing`` has them, its variable being the date, ``projection``
     and ``adjustment`` the largest error of a draw's levels and changes before that, at their date. RuntimeError is raised if a level's is
     above LEVEL_GATE. ``regressors`` (keys..., date, variable, x, and equation, null for all) add to the mean of their equations; their
-    coefficients have lag 0, mean 0 and ``regressor_sd`` times the series' spread over the regressor's own as deviation.
+    coefficients have lag 0, mean 0 and ``regressor_sd`` times the series' spread over the regressor's own as deviation. ``prior`` replaces
+    values of PRIOR, and columns of ``panel`` by those names replace them for their model; ``periods`` are those of a year.
 
     With ``scales`` kind ``scale`` has each date's standard deviation of a shock, outliers included, and ``width`` the outliers' part.
     A chain is one sequence of draws, so each model and chain (``keys``) is a task of its own, seeded by the seed and the
     key's text. Kinds: ``b`` coefficients (lag 0 the intercept), ``a`` impact rows, ``h`` last log variances, ``phi``,
     ``outlier`` probabilities. Draws whose roots lie outside the unit circle are drawn again, up to REDRAWS times an equation;
-    RuntimeError is raised if none is stable.
+    RuntimeError is raised if none is stable, and for a series that never changes. With ``failures`` a chain that fails is one row of kind ``error``, its reason the variable.
     """
     kinds = dict(panel.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, kind string, equation string, variable string, lag int, b double"])
@@ -303,20 +307,23 @@ def gibbs(
         t, k = x.shape
         rng = np.random.default_rng([seed, *"|".join(str(frame[c].iat[0]) for c in keys).encode()])
         scale = np.array([np.std(np.diff(z[:, i])) for i in range(n)])
+        if not (scale > 0).all():
+            raise RuntimeError(f"{[x for x, v in zip(names, scale, strict=True) if not v > 0]} never change")
         sd = np.empty((k, n))
-        tight, other = (float(frame[c].iat[0]) if c in frame.columns else v for c, v in (("own", own), ("cross", cross)))
+        told = {c: float(frame[c].iat[0]) if c in frame.columns else v for c, v in (PRIOR | (prior or {})).items()}
         for j in range(n):
             for lag in range(1, lags + 1):
                 row = slice((lag - 1) * n, lag * n)
-                sd[row, j] = tight / lag * np.where(np.arange(n) == j, 1, other * scale[j] / scale)
-            sd[n * lags, j] = 10 * scale[j]
+                sd[row, j] = told["own"] / lag ** told["decay"] * np.where(np.arange(n) == j, 1, told["cross"] * scale[j] / scale)
+            sd[n * lags, j] = told["const"] * scale[j]
             sd[n * lags + 1 :, j] = regressor_sd * scale[j] / np.maximum(outside.std(axis=0), 1e-12)
         inside = np.concatenate([np.ones((n * lags + 1, n), bool), enters])
         b = np.zeros((k, n))
         for j in range(n):
             b[inside[:, j], j] = np.linalg.lstsq(x[:, inside[:, j]], y[:, j], rcond=None)[0]
-        a, h, phi = np.eye(n), np.tile(np.log(np.var(y - x @ b, axis=0) + 1e-12), (t, 1)), np.full(n, 0.05)
-        o, po = np.ones((t, n)), np.full(n, 1 / (4 * periods))
+        a, h, phi = np.eye(n), np.tile(np.log(np.var(y - x @ b, axis=0) + 1e-12), (t, 1)), np.full(n, told["phi"] / periods)
+        rare, strength = 1 / (told["outlier_years"] * periods), told["outlier_strength"] * periods
+        o, po = np.ones((t, n)), np.full(n, rare)
         variables = [*[(v, lag) for lag in range(1, lags + 1) for v in names], ("const", 0), *[(v, 0) for v in added]]
         kept = Kept()
         for it in range(draws + burn):
@@ -352,23 +359,22 @@ def gibbs(
             e = y - x @ b
             for i in range(1, n):
                 w = 1 / (o[:, i] ** 2 * np.exp(h[:, i]))
-                prec = (e[:, :i] * w[:, None]).T @ e[:, :i] + np.diag(0.1 * (scale[:i] / scale[i]) ** 2)
+                prec = (e[:, :i] * w[:, None]).T @ e[:, :i] + np.diag((scale[:i] / scale[i]) ** 2 / told["impact_var"])
                 low = np.linalg.cholesky(prec)
                 centre = np.linalg.solve(low.T, np.linalg.solve(low, -(e[:, :i] * w[:, None]).T @ e[:, i]))
                 a[i, :i] = centre + np.linalg.solve(low.T, rng.standard_normal(i))
             u = e @ a.T
             for i in range(n):
-                h[:, i] = log_volatility(rng, u[:, i] / o[:, i], h[:, i], phi[i])
-                phi[i] = (0.05 * 4 + np.sum(np.diff(h[:, i]) ** 2)) / rng.chisquare(6 + t - 1)
+                h[:, i] = log_volatility(rng, u[:, i] / o[:, i], h[:, i], phi[i], told["h0_var"])
+                phi[i] = (told["phi"] / periods * told["phi_df"] + np.sum(np.diff(h[:, i]) ** 2)) / rng.chisquare(told["phi_df"] + 2 + t - 1)
                 grid = np.concatenate(([1.0], OUTLIER_SCALES))
-                prior = np.concatenate(([1 - po[i]], np.full(len(OUTLIER_SCALES), po[i] / len(OUTLIER_SCALES))))
+                chance = np.concatenate(([1 - po[i]], np.full(len(OUTLIER_SCALES), po[i] / len(OUTLIER_SCALES))))
                 r = u[:, i] / np.exp(h[:, i] / 2)
-                prob = prior / grid * np.exp(-0.5 * (r[:, None] / grid) ** 2)
+                prob = chance / grid * np.exp(-0.5 * (r[:, None] / grid) ** 2)
                 pick = (prob.cumsum(1) < rng.random(t)[:, None] * prob.sum(1, keepdims=True)).sum(1)
                 o[:, i] = grid[np.minimum(pick, len(grid) - 1)]
                 hits = int((o[:, i] > 1).sum())
-                strength = 10 * periods
-                po[i] = rng.beta(strength / (4 * periods) + hits, strength * (1 - 1 / (4 * periods)) + t - hits)
+                po[i] = rng.beta(strength * rare + hits, strength * (1 - rare) + t - hits)
             if it >= burn:
                 kept.add("b", [(names[j], v, lag) for r, (v, lag) in enumerate(variables) for j in range(n) if inside[r, j]], b[inside])
                 kept.add("a", [(names[i], names[j], 0) for i in range(n) for j in range(i)], a[np.tril_indices(n, -1)])
@@ -387,9 +393,17 @@ def gibbs(
                         kept.add("adjustment", [(x, "change", 0) for x in names], drawn.change_error.max(axis=0))
         return kept.frame({c: frame[c].iat[0] for c in keys})
 
+    def tried(frame: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return chain(frame, extra)
+        except (RuntimeError, np.linalg.LinAlgError) as error:
+            if not failures:
+                raise
+            return pd.DataFrame({**{c: [frame[c].iat[0]] for c in keys}, "draw": [0], "kind": ["error"], "equation": [""], "variable": [str(error)], "lag": [0], "b": [0.0]})
+
     if regressors is None:
-        return dealt(panel, keys).groupBy(*keys).applyInPandas(lambda frame: chain(frame, pd.DataFrame()), schema)
-    return dealt(panel, keys).groupBy(*keys).cogroup(dealt(regressors, keys).groupBy(*keys)).applyInPandas(chain, schema)
+        return dealt(panel, keys).groupBy(*keys).applyInPandas(lambda frame: tried(frame, pd.DataFrame()), schema)
+    return dealt(panel, keys).groupBy(*keys).cogroup(dealt(regressors, keys).groupBy(*keys)).applyInPandas(tried, schema)
 
 
 def completed(panel: DataFrame, posterior: DataFrame, keys: Keys) -> DataFrame:
@@ -485,7 +499,7 @@ def simulate(posterior: DataFrame, tail: DataFrame, keys: Keys, horizon: int, se
         return pd.DataFrame(out, columns=[*keys, "draw", "h", "series", "value"])
 
     # The tail, the conditions and the regressors are a few rows of each of the keys.
-    draws = posterior.select(*keys, "draw").distinct()
+    draws = posterior.filter("kind = 'phi'").select(*keys, "draw").distinct()
 
     def given(df: DataFrame, role: str) -> DataFrame:
         own = df if "draw" in df.columns else draws.join(df, list(keys))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
+from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -137,9 +140,134 @@ def prior_search(panel: DataFrame, keys: Keys, grid: DataFrame, origins: DataFra
     by = [*keys, "case"]
     seen = panel.join(cases, list(keys)).filter(F.col("date") <= F.col("origin"))
     fitted = M.gibbs(seen.select(*by, "series", "date", "value", "own", "cross"), by, lags, draws, burn, seed)
-    paths = M.simulate(fitted, M.tail_of(seen, by, lags), by, horizon, seed)
+    # Dates that lack a value have none of their own; the last whole ones lead on.
+    whole = seen.filter("value is not null").withColumn("n", F.count("*").over(Window.partitionBy(*by, "date"))).withColumn("all", F.max("n").over(Window.partitionBy(*by))).filter("n = all")
+    paths = M.simulate(fitted, M.tail_of(whole, by, lags), by, horizon, seed)
     ahead = panel.join(cases, list(keys)).filter(F.col("date") > F.col("origin"))
     ahead = ahead.withColumn("h", F.row_number().over(Window.partitionBy(*by, "series").orderBy("date"))).select(*by, "series", "h", F.col("value").alias("outcome"))
     scored = crps(paths.join(ahead, [*by, "series", "h"]), [*by, "series", "h"]).join(cases.select(*by, "own", "cross"), by)
     mean = scored.groupBy(*keys, "own", "cross").agg(F.avg("crps").alias("crps"), F.count("*").alias("n"))
     return mean.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("crps", "own", "cross")))
+
+
+class Stage(NamedTuple):
+    """How much a stage of a search spends on a candidate: draws and sweeps before them, origins and months between them; and how many
+    candidates of a model come from the stage before."""
+
+    name: str
+    draws: int
+    burn: int
+    origins: int
+    step: int = 1
+    shortlist: int = 3
+
+
+class Found(NamedTuple):
+    ranking: DataFrame  # keys..., parameters, place, and the last stage's figures
+    fits: int  # models that had to be fitted: those without scores
+
+
+PARAMETERS = tuple(M.PRIOR)
+
+
+def signature(keys: Keys, stage: Stage, lags: int, horizon: int, seed: int) -> Column:
+    """What tells a fit from others: model, prior, origin, effort and seed. Numbers are written at nine places."""
+    prior = [F.concat(F.lit(f"{p}="), F.format_string("%.9f", F.col(p))) for p in PARAMETERS]
+    return F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("origin").cast("string"), *prior, F.lit(f"{stage.draws}/{stage.burn}/{lags}/{horizon}/{seed}")), 256)
+
+
+def origins_of(panel: DataFrame, keys: Keys, stage: Stage, horizon: int, least: int) -> DataFrame:
+    """keys..., origin: dates, ``step`` apart, from the last one after which the horizon is known back; ``least`` dates are before each."""
+    w = Window.partitionBy(*keys)
+    dates = panel.select(*keys, "date").distinct().withColumns({"back": F.row_number().over(w.orderBy(F.desc("date"))) - 1 - horizon, "before": F.row_number().over(w.orderBy("date"))})
+    on = (F.col("back") >= 0) & (F.col("back") % stage.step == 0) & (F.col("back") < stage.step * stage.origins) & (F.col("before") > least)
+    return dates.filter(on).select(*keys, F.col("date").alias("origin"))
+
+
+def scored_fits(panel: DataFrame, keys: Keys, todo: DataFrame, stage: Stage, lags: int, horizon: int, seed: int, target: str | None) -> DataFrame:
+    """A row for each fit, series and month ahead, or for a fit that failed: signature, keys..., parameters, origin, stage, h, series, crps,
+    error, sd, problem. Every fit is a group of its own, on the data up to its origin."""
+    by = [*keys, "signature"]
+    seen = panel.join(todo, list(keys)).filter(F.col("date") <= F.col("origin"))
+    fitted = M.gibbs(seen.select(*by, "series", "date", "value", *PARAMETERS), by, lags, stage.draws, stage.burn, seed, failures=True).persist()
+    known = seen.filter("value is not null").select(*by, "series", "date", "value")
+    drawn = fitted.filter("kind = 'missing'").select(*by, "draw", F.col("equation").alias("series"), F.to_date("variable").alias("date"), F.col("b").alias("value"))
+    ends = M.tail_of(fitted.filter("kind = 'phi'").select(*by, "draw").distinct().join(known, by).select(*by, "draw", "series", "date", "value").unionByName(drawn), [*by, "draw"], lags)
+    paths = M.simulate(fitted, ends, by, horizon, seed)
+    paths = paths if target is None else paths.filter(F.col("series") == target)
+    ahead = panel.join(todo.select(*by, "origin"), list(keys)).withColumn("h", F.months_between("date", "origin").cast("int")).filter((F.col("h") > 0) & (F.col("h") <= horizon) & F.col("value").isNotNull())
+    both = paths.join(ahead.select(*by, "series", "h", F.col("value").alias("outcome")), [*by, "series", "h"])
+    points = both.groupBy(*by, "series", "h").agg((F.avg("value") - F.first("outcome")).alias("error"), F.stddev_samp("value").alias("sd"))
+    scores = crps(both, [*by, "series", "h"]).join(points, [*by, "series", "h"]).select(*by, "series", "h", "crps", "error", "sd", F.lit(None).cast("string").alias("problem"))
+    blank = {"series": "string", "h": "int", "crps": "double", "error": "double", "sd": "double"}
+    failed = fitted.filter("kind = 'error'").select(*by, *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], F.col("variable").alias("problem"))
+    return scores.unionByName(failed).join(todo, by).withColumn("stage", F.lit(stage.name))
+
+
+def ranked(scores: DataFrame, keys: Keys, base: dict[str, float]) -> DataFrame:
+    """keys..., parameters, crps, rmse, mae, sd, scores, origins, failures, is_base, crps_vs_base, rmse_vs_base, place: candidates in the order of
+    their mean CRPS; those that never succeeded come last."""
+    by = [*keys, *PARAMETERS]
+    ok = F.col("problem").isNull()
+    sums = scores.groupBy(*by).agg(
+        F.avg("crps").alias("crps"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg(F.abs("error")).alias("mae"), F.avg("sd").alias("sd"), F.count("crps").alias("scores"),
+        F.count_distinct(F.when(ok, F.col("origin"))).alias("origins"), F.count_distinct(F.when(~ok, F.col("origin"))).alias("failures"),
+    )
+    is_base = F.lit(True)
+    for p in PARAMETERS:
+        is_base = is_base & (F.abs(F.col(p) - base[p]) < 1e-9)
+    whole = Window.partitionBy(*keys)
+    of_base = lambda c: F.max(F.when(F.col("is_base"), F.col(c))).over(whole)
+    made = sums.withColumn("is_base", is_base).withColumns({f"{c}_vs_base": 100 * (F.col(c) / of_base(c) - 1) for c in ("crps", "rmse")})
+    return made.withColumn("place", F.row_number().over(whole.orderBy(F.col("crps").asc_nulls_last(), "rmse", "failures", *PARAMETERS)))
+
+
+def block_search(panel: DataFrame, keys: Keys, blocks: dict[str, dict[str, Sequence[float]]], stages: Sequence[Stage], root: str, lags: int, horizon: int, seed: int, target: str | None = None, base: dict[str, float] | None = None, least: int = 24) -> Found:
+    """Search each model's prior a block of parameters at a time, then score its best candidates again with more effort.
+
+    The first stage goes through ``blocks`` in turn: all values of a block, the other parameters at the best so far. Each later stage
+    takes the best candidates of the one before, and the base. All scores are rows of the table ``root``/scores, so what has been
+    scored, in this run or one before, is not fitted again, and a search that was broken off goes on where it was.
+    """
+    spark = panel.sparkSession
+    path, own_path, base = f"{root}/scores", f"{root}/run-{uuid4().hex}", M.PRIOR | (base or {})
+    kinds = dict(panel.dtypes)
+    schema = ", ".join(["signature string", *[f"{k} {kinds[k]}" for k in keys], *[f"{p} double" for p in PARAMETERS], "origin date, series string, h int, crps double, error double, sd double, problem string, stage string"])
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    fits = 0
+
+    def scores() -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+    def run(candidates: DataFrame, stage: Stage, step: str) -> DataFrame:
+        """The ranking of ``candidates`` (keys..., parameters), of which those are fitted that have no scores."""
+        nonlocal fits
+        cases = candidates.join(origins_of(panel, keys, stage, horizon, least), list(keys)).withColumn("signature", signature(keys, stage, lags, horizon, seed))
+        cases.write.mode("overwrite").parquet(f"{own_path}/cases-{step}")
+        cases = spark.read.parquet(f"{own_path}/cases-{step}")
+        todo = cases.join(scores().select("signature").distinct(), "signature", "left_anti")
+        if n := todo.count():
+            fits += n
+            scored_fits(panel, keys, todo, stage, lags, horizon, seed, target).select(columns).write.mode("append").parquet(path)
+        # A row for each model, candidate, origin, series and month.
+        out = ranked(scores().join(cases.select("signature").distinct(), "signature", "left_semi"), keys, base)
+        out.write.mode("overwrite").parquet(f"{own_path}/ranking-{step}")
+        return spark.read.parquet(f"{own_path}/ranking-{step}")
+
+    own = panel.select(*keys).distinct().select(*keys, *[F.lit(float(base[p])).alias(p) for p in PARAMETERS])
+    best, seen = own, None
+    for name, grid in blocks.items():
+        # The values of one block, a design of the caller's.
+        values = [dict(zip(grid, v, strict=True)) for v in product(*grid.values())]
+        each = F.explode(F.array(*[F.struct(*[F.lit(float(v[p])).alias(p) for p in grid]) for v in values])).alias("v")
+        tried = best.select(*keys, *PARAMETERS, each).select(*keys, *[F.col(f"v.{p}").alias(p) if p in grid else F.col(p) for p in PARAMETERS])
+        ranking = run(tried.unionByName(best).unionByName(own).distinct(), stages[0], f"{stages[0].name}-{name}")
+        best = ranking.filter("place = 1").select(*keys, *PARAMETERS)
+        seen = ranking if seen is None else seen.unionByName(ranking)
+    for stage in stages[1:]:
+        once = seen.groupBy(*keys, *PARAMETERS).agg(F.min("crps").alias("crps"))
+        w = Window.partitionBy(*keys).orderBy(F.col("crps").asc_nulls_last(), *PARAMETERS)
+        short = once.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= stage.shortlist).select(*keys, *PARAMETERS)
+        ranking = seen = run(short.unionByName(own).distinct(), stage, stage.name)
+    return Found(ranking, fits)

@@ -12,6 +12,7 @@ from anchorline.operators import structural as T
 from anchorline.plans import posteriors as P
 from anchorline.plans import proxies as X
 from anchorline.plans.queries import DLOG, IRF, MP, dlog, model_panel, query, r, responses
+from anchorline.session import workspace
 
 KEYS = ["model_id"]
 _CO = "co AS (SELECT e.series AS equation, v.variable, v.lag, (length(e.series) * 3 + length(v.variable) * 5 + v.lag * 7) % 11 / 100.0 - 0.05 AS b FROM (SELECT DISTINCT series FROM mp) e, (SELECT DISTINCT variable, lag FROM dx) v)"
@@ -95,3 +96,12 @@ def replicated_statistics(s, d):
     panel, draws = X.line_changes(s, d), P.structural(s, d)
     whole = T.panels_of(draws, panel, KEYS).filter("draw = 0").drop("draw")
     return M.replicated_statistics(M.replicated(draws, whole, KEYS, 5), panel, KEYS)
+
+
+@query()
+def prior_blocks(s, d):
+    """Each model's prior, searched by blocks and confirmed with more effort: the last stage's candidates in order."""
+    blocks = {"minnesota": {"own": (0.1, 0.4)}, "outliers": {"outlier_years": (2.0, 8.0)}}
+    stages = (G.Stage("screen", 12, 8, 1), G.Stage("confirm", 20, 10, 1, 3, 1))
+    found = G.block_search(X.line_changes(s, d), KEYS, blocks, stages, workspace(s, "prior-search"), 1, 3, 5)
+    return found.ranking.select("model_id", "own", "outlier_years", "crps", "rmse", "mae", "scores", "origins", "failures", "is_base", "crps_vs_base", "place")
