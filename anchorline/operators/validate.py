@@ -41,6 +41,25 @@ def schema_problems(df: DataFrame, schema: StructType) -> list[str]:
     return out or ["columns are in another order"]
 
 
+def part_signatures(df: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """parts..., rows, signature of every part of a table: sums of two halves of its rows' SHA-256, so order does not matter and repeats count."""
+    half = lambda at: F.sum(F.conv(F.substring("sha", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    hashed = df.select(*parts, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("sha"))
+    return hashed.groupBy(*parts).agg(F.count("*").alias("rows"), F.concat_ws(":", half(1), half(16)).alias("signature"))
+
+
+def integrity_violations(baseline: DataFrame, found: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """parts..., problem of what departs from a persisted baseline of part_signatures(): missing, unexpected or changed."""
+    a, b = (df.select(*parts, F.col("signature").alias(name)) for df, name in ((baseline, "held"), (found, "now")))
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("held").isNull(), "unexpected").when(F.col("held") != F.col("now"), "changed")
+    return a.join(b, list(parts), "full").withColumn("problem", problem).filter("problem is not null").select(*parts, "problem")
+
+
+def backfilled(baseline: DataFrame, found: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """The baseline with signatures of the parts that it lacks; what it has stays, changed or not."""
+    return baseline.unionByName(found.join(baseline.select(*parts), list(parts), "left_anti"))
+
+
 def require_none(violations: DataFrame, message: str) -> None:
     if not violations.isEmpty():
         raise ValueError(f"{message}: {violations.limit(5).collect()}")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,52 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
+def change(spark: SparkSession, root: str, make: Callable[[DataFrame | None], DataFrame], keys: Sequence[str] = (), attempts: int = 20, wait: float = 0.5) -> int:
+    """The next version of a table, made from the newest by ``make`` (of None for the first); its number.
+
+    Writers do not wait for each other while they work: each writes its rows to a folder of its own, then claims the next number. Of two
+    that began from one version one gets it; the other makes its change again, from what that one has left. ValueError is raised,
+    and nothing committed, if a key of ``keys`` would have two promoted rows; TimeoutError if others win each time, or a claimed version
+    does not appear.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for _ in range(attempts):
+        seen = latest_version(spark, root)
+        new = make(None if seen is None else spark.read.parquet(f"{root}/version={seen}"))
+        staged, number = f"{root}/_staged-{uuid4().hex}", (seen or 0) + 1
+        new.write.mode("error").parquet(staged)
+        if keys:
+            held = spark.read.parquet(staged).groupBy(*keys).agg(F.sum("promoted").alias("n")).filter("n > 1")
+            if not held.isEmpty():
+                refused = [tuple(r) for r in held.select(*keys).limit(5).collect()]
+                fs.delete(path(staged), True)
+                raise ValueError(f"more than one promoted row: {refused}")
+        # Creating a file that must not be there is the one step that cannot be shared.
+        if claimed(fs, path(f"{root}/_claims/{number}")):
+            fs.rename(path(staged), path(f"{root}/version={number}"))
+            return number
+        fs.delete(path(staged), True)
+        for _ in range(120):
+            if (latest_version(spark, root) or 0) >= number:
+                break
+            time.sleep(wait)
+        else:
+            raise TimeoutError(f"version {number} of {root} was claimed and has not appeared")
+    raise TimeoutError(f"other writers won {attempts} times at {root}")
+
+
+def claimed(fs, at) -> bool:  # noqa: ANN001
+    """True if the file was not there and now is; where files cannot be made so, FileSystem.create() refuses."""
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as error:
+        if not fs.exists(at):
+            raise error
+        return False
+    return True
+
+
 def portable(path: Column, root: str) -> Column:
     """A path below ``root`` as one relative to it; other paths stay."""
     return F.when(F.startswith(path, F.lit(f"{root}/")), F.substring(path, len(root) + 2, 1 << 30)).otherwise(path)
