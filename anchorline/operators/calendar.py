@@ -93,6 +93,20 @@ def complete_month_mean(df: DataFrame, keys: Keys) -> DataFrame:
     return monthly.withColumn("expected", mondays(F.col("date"))).filter("n = expected")
 
 
+def stitched_months(history: DataFrame, paths: DataFrame, keys: Keys) -> DataFrame:
+    """keys..., draw, date, value: monthly means of each draw's weeks, observed ones before its path's first week and its own from there on;
+    months that lack a Monday have none. ValueError names weeks inside that neither has: none is filled."""
+    first = paths.groupBy(*keys).agg(F.min("date").alias("first"))
+    past = history.filter("value is not null").join(first, list(keys)).filter(F.col("date") < F.col("first")).select(*keys, "date", "value")
+    w = Window.partitionBy(*keys).orderBy("date")
+    weeks = past.select(*keys, "date").unionByName(paths.filter("value is not null").select(*keys, "date")).distinct().withColumn("before", F.lag("date").over(w))
+    gaps = weeks.filter(F.datediff("date", "before") > 7).select(*keys, "before", "date").limit(5).collect()
+    if gaps:
+        raise ValueError(f"weeks lack values between {[(str(r['before']), str(r['date'])) for r in gaps]}")
+    whole = past.join(paths.select(*keys, "draw").distinct(), list(keys)).select(*keys, "draw", "date", "value").unionByName(paths.select(*keys, "draw", "date", "value"))
+    return complete_month_mean(whole, [*keys, "draw"]).select(*keys, "draw", "date", "value")
+
+
 def period_coverage(df: DataFrame, keys: Keys, unit: str = "month", trailing: int = 24, least: float = 0.8) -> DataFrame:
     """The last period's observations against the median of the ``trailing`` periods before it."""
     counts = df.filter("value is not null").groupBy(*keys, F.trunc("date", unit).alias("period")).agg(F.count("*").alias("n"))

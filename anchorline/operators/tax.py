@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorline.operators.index import a_year_before
@@ -46,6 +46,18 @@ def condition_path(last: DataFrame, keys: Sequence[str], horizon: int, start: in
     return path.select(*keys, "h", F.when(F.col("h").between(start, end), level).alias("value"))
 
 
+def yearly_growth_path(history: DataFrame, keys: Sequence[str], rates: DataFrame) -> DataFrame:
+    """keys..., h, value: the levels after ``history`` (keys..., date, value) whose growth over twelve months is the vector ``rates``
+    (keys..., h, rate in per cent; null is no condition). Beyond a year they grow from the path itself, and are null after a gap in it."""
+    last = history.filter("value is not null").groupBy(*keys).agg(F.max("date").alias("end"))
+    month = rates.join(last, list(keys)).withColumn("year", F.ceil(F.col("h") / 12).cast("int"))
+    base = month.withColumn("date", F.to_date(F.add_months("end", F.col("h") - 12 * F.col("year")))).join(history.select(*keys, "date", "value"), [*keys, "date"], "left")
+    w = Window.partitionBy(*keys, F.col("h") % 12).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.exp(F.sum(F.log1p(F.col("rate") / 100)).over(w))
+    whole = F.count("rate").over(w) == F.count("h").over(w)
+    return base.select(*keys, "h", F.when(whole, F.col("value") * grown).alias("value"))
+
+
 def layer_shares(pre: Column, vat: Column, excise: Column) -> list[Column]:
     """Shares of the price with tax: before tax, excise, VAT (the rest); all of it unsplit where they can't be told."""
     gross = with_tax(pre, vat, excise)

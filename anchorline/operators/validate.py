@@ -41,6 +41,16 @@ def schema_problems(df: DataFrame, schema: StructType) -> list[str]:
     return out or ["columns are in another order"]
 
 
+def record_problems(df: DataFrame, column: str, allowed: Sequence[str], needs: dict[str, str]) -> DataFrame:
+    """problem, rows: record types that a contract does not know, and rows of a type that lack the column it ``needs``."""
+    kind = F.col(column)
+    unknown = df.filter(kind.isNull() | ~kind.isin(*allowed)).groupBy(F.concat(F.lit("record type "), F.coalesce(kind, F.lit("null"))).alias("problem")).agg(F.count("*").alias("rows"))
+    lacking = F.lit(None).cast("string")
+    for name, wanted in needs.items():
+        lacking = F.when((kind == name) & F.col(wanted).isNull(), f"{name} without {wanted}").otherwise(lacking)
+    return unknown.unionByName(df.select(lacking.alias("problem")).filter("problem is not null").groupBy("problem").agg(F.count("*").alias("rows")))
+
+
 def part_signatures(df: DataFrame, parts: Sequence[str]) -> DataFrame:
     """parts..., rows, signature of every part of a table: sums of two halves of its rows' SHA-256, so order does not matter and repeats count."""
     half = lambda at: F.sum(F.conv(F.substring("sha", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")

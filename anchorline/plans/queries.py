@@ -657,9 +657,9 @@ def promotion_conflicts(s, d):
     return R.promotion_conflicts(X.runs(s, d), ["model_id", "vintage"])
 
 
-@query(f"WITH {X.RUNS} SELECT f.model_id, f.vintage, f.run_id, f.name, runs.created FROM (SELECT p_brand AS model_id, p_type AS vintage, 'r' || p_partkey AS run_id, p_name AS name FROM part WHERE p_size > 5) f JOIN runs ON runs.run_id = f.run_id AND runs.model_id = f.model_id AND runs.vintage = f.vintage WHERE promoted = 1")
+@query(f"WITH {X.RUNS} SELECT f.model_id, f.vintage, f.run_id, f.name, runs.created FROM (SELECT p_brand AS model_id, p_type AS vintage, 'r' || p_partkey AS run_id, p_name AS name FROM part) f JOIN runs ON runs.run_id = f.run_id AND runs.model_id = f.model_id AND runs.vintage = f.vintage WHERE promoted = 1")
 def promoted_join(s, d):
-    part = X.table(s, d, "part").filter("p_size > 5")
+    part = X.table(s, d, "part")
     return R.promoted_forecasts(X.runs(s, d), part.select(F.col("p_brand").alias("model_id"), F.col("p_type").alias("vintage"), F.concat(F.lit("r"), "p_partkey").alias("run_id"), F.col("p_name").alias("name")))
 
 
@@ -811,13 +811,13 @@ def fevd_shares(s, d):
     return M.variance_shares(responses(s, d), ["draw"])
 
 
-@query(f"WITH {X.WEIGHTS}, {IRF}, b AS (SELECT series, date, value, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS h FROM idx WHERE date >= DATE '2000-01-01'), c AS (SELECT draw, response AS series, h, sum(value) OVER (PARTITION BY draw, response ORDER BY h) / 100 AS cumulative FROM irf WHERE shock = 'ASIA'), w AS (SELECT series, w FROM wts WHERE year = 2000) SELECT draw, date, {r('100 * (sum(w * value * exp(cumulative)) / sum(w * value) - 1)')} AS effect FROM b JOIN c ON c.series = b.series AND c.h = b.h JOIN w ON w.series = b.series GROUP BY 1, 2")
+@query(f"WITH {X.WEIGHTS}, {IRF}, b AS (SELECT series, date, value, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS h FROM idx), c AS (SELECT draw, response AS series, h, sum(value) OVER (PARTITION BY draw, response ORDER BY h) / 100 AS cumulative FROM irf WHERE shock = 'ASIA'), w AS (SELECT series, avg(w) AS w FROM wts GROUP BY 1) SELECT draw, date, {r('100 * (sum(w * value * exp(cumulative)) / sum(w * value) - 1)')} AS effect FROM b JOIN c ON c.series = b.series AND c.h = b.h JOIN w ON w.series = b.series GROUP BY 1, 2")
 def nonlinear_response(s, d):
     from pyspark.sql import Window
 
-    base = X.index(s, d).filter("date >= '2000-01-01'").withColumn("h", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
+    base = X.index(s, d).withColumn("h", F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1)
     irf = M.cumulative(responses(s, d), ["draw"]).filter("shock = 'ASIA'").select("draw", F.col("response").alias("series"), "h", (F.col("cumulative") / 100).alias("cumulative"))
-    return M.nonlinear_response(base, irf, ["draw"], X.weights(s, d).filter("year = 2000").select("series", "w"))
+    return M.nonlinear_response(base, irf, ["draw"], X.weights(s, d).groupBy("series").agg(F.avg("w").alias("w")))
 
 
 @query(f"WITH {X.INDEX}, {DLOG}, {IRF}, e AS (SELECT series AS shock, date, value, (year(date) - 1995) * 12 + month(date) AS t FROM dl), p AS (SELECT draw, response, e.shock, e.t + h AS t, e.value * irf.value AS c FROM e JOIN irf ON irf.shock = e.shock ), s AS (SELECT draw, response, shock, t, sum(c) AS contribution FROM p GROUP BY ALL) SELECT s.draw, response, s.shock, s.t, d.date, {r('contribution')} AS contribution, 0.0 AS amplified FROM s JOIN (SELECT DISTINCT t, date FROM e) d ON d.t = s.t")

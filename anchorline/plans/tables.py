@@ -42,14 +42,14 @@ def forecast_summary(s, d):
 def legs(s, d):
     """A baseline, a scenario that is higher by draw thousandths, and their draw-wise effect, as fans."""
     base = X.cube(s, d)
-    scenario = base.withColumn("value", F.col("value") * (1 + F.col("draw") / 1000.0)).filter("date >= '1996-01-01'")
+    scenario = base.withColumn("value", F.col("value") * (1 + F.col("draw") / 1000.0))
     return A.fan(base, SERIES), A.fan(scenario, SERIES), A.paired_fan(base, scenario, SERIES)
 
 
 _E = "x AS (SELECT series, date, value, value * (1 + draw / 1000.0) AS other FROM cube), "
 
 
-@query(f"WITH {X.CUBE}, {_E} b AS (SELECT series, date, {r('avg(value)', 2)} AS baseline_mean, {r('quantile_cont(value, 0.5)', 2)} AS baseline_q50 FROM x GROUP BY 1, 2), e AS (SELECT series, date, {r('avg(other)', 2)} AS scenario_mean, {r('quantile_cont(other, 0.5)', 2)} AS scenario_q50, {r('avg(other - value)', 2)} AS effect_mean, {r('quantile_cont(other - value, 0.5)', 2)} AS effect_q50 FROM x WHERE date >= DATE '1996-01-01' GROUP BY 1, 2) SELECT b.*, scenario_mean, scenario_q50, effect_mean, effect_q50 FROM b LEFT JOIN e ON e.series = b.series AND e.date = b.date", digits=2)
+@query(f"WITH {X.CUBE}, {_E} b AS (SELECT series, date, {r('avg(value)', 2)} AS baseline_mean, {r('quantile_cont(value, 0.5)', 2)} AS baseline_q50 FROM x GROUP BY 1, 2), e AS (SELECT series, date, {r('avg(other)', 2)} AS scenario_mean, {r('quantile_cont(other, 0.5)', 2)} AS scenario_q50, {r('avg(other - value)', 2)} AS effect_mean, {r('quantile_cont(other - value, 0.5)', 2)} AS effect_q50 FROM x GROUP BY 1, 2) SELECT b.*, scenario_mean, scenario_q50, effect_mean, effect_q50 FROM b LEFT JOIN e ON e.series = b.series AND e.date = b.date", digits=2)
 def effect_table(s, d):
     return Q.effect_table(*legs(s, d), ["series"])
 
@@ -66,13 +66,13 @@ def nowcast_missing_only(s, d):
     return Q.nowcast_table(fans(s, d), seen, ["series"], missing_only=True)
 
 
-@query(f"WITH {X.CUBE} SELECT series, date, {r('avg(value)', 2)} AS baseline, {r('avg(value * (1 + draw / 1000.0))', 2)} AS scenario FROM cube WHERE date >= DATE '1996-01-01' GROUP BY 1, 2", digits=2)
+@query(f"WITH {X.CUBE} SELECT series, date, {r('avg(value)', 2)} AS baseline, {r('avg(value * (1 + draw / 1000.0))', 2)} AS scenario FROM cube GROUP BY 1, 2", digits=2)
 def merged_nowcasts(s, d):
     base, scenario, _ = legs(s, d)
     return Q.merged_nowcasts(base.withColumnRenamed("mean", "value"), scenario.withColumnRenamed("mean", "value"), ["series"])
 
 
-@query(f"WITH {X.CUBE}, e AS (SELECT series, date, quantile_cont(value * (1 + draw / 1000.0) - value, 0.5) AS q FROM cube WHERE date >= DATE '1996-01-01' GROUP BY 1, 2) SELECT series, {r('min_by(q, date)', 2)} AS first, {r('max_by(q, date)', 2)} AS last, {r('max(q)', 2)} AS peak, max_by(date, q) AS peak_date FROM e GROUP BY 1", digits=2)
+@query(f"WITH {X.CUBE}, e AS (SELECT series, date, quantile_cont(value * (1 + draw / 1000.0) - value, 0.5) AS q FROM cube GROUP BY 1, 2) SELECT series, {r('min_by(q, date)', 2)} AS first, {r('max_by(q, date)', 2)} AS last, {r('max(q)', 2)} AS peak, max_by(date, q) AS peak_date FROM e GROUP BY 1", digits=2)
 def scenario_kpis(s, d):
     return Q.kpis(legs(s, d)[2], ["series"])
 
@@ -240,11 +240,6 @@ def display_rows(s, d):
     return Q.as_display(X.index(s, d), DISPLAY, record_type="history")
 
 
-@query(f"WITH {X.CUBE} SELECT count(*) AS rows, 0::BIGINT AS alone, 0.0 AS gap, true AS same FROM cube")
-def replay_gap(s, d):
-    return N.replay_gap(X.cube(s, d), X.cube(s, d), ["series"])
-
-
 @query(f"WITH {X.RUNS}, a AS (SELECT model_id, 'a' AS part, vintage FROM runs WHERE promoted = 1 UNION SELECT model_id, 'b', vintage FROM runs WHERE created > 40) SELECT model_id, count(DISTINCT vintage) AS vintages, count(DISTINCT part) AS parts FROM a GROUP BY 1 HAVING count(DISTINCT vintage) > 1")
 def mixed_vintages(s, d):
     runs = X.runs(s, d)
@@ -312,14 +307,6 @@ def start_contract(s, d):
     return V.start_contract(X.index(s, d), expected, ["series"])
 
 
-@query("SELECT unnest(['missing c double', 'unexpected d', 'b is string, not double']) AS problem")
-def schema_contract(s, d):
-    from anchorline.schemas import struct
-
-    held = s.range(1).select(F.lit("x").alias("a"), F.lit("y").alias("b"), F.lit(1).alias("d"))
-    return s.createDataFrame([(p,) for p in V.schema_problems(held, struct("a string, b double, c double"))], "problem string")
-
-
 @query(f"WITH {X.RUNS} SELECT model_id, vintage, run_id, created + CASE WHEN created > 40 THEN 100 ELSE 0 END AS created, promoted FROM runs WHERE model_id <> 'Brand#11'")
 def scenario_upsert(s, d):
     runs = X.runs(s, d)
