@@ -123,6 +123,43 @@ def projection_errors(s, d):
     return told.groupBy("model_id", "series").agg(F.max(of("error")).alias("largest"), F.percentile(of("error"), 0.99).alias("p99"), F.max(of("adjustment")).alias("adjustment"), F.mode("at", True).alias("at"))
 
 
+HD = f"(SELECT model_id, series, count(*) AS months FROM (SELECT m.model_id, m.series, unnest(generate_series(start + INTERVAL {P.LAGS} MONTH, hi, INTERVAL 1 MONTH)) AS date FROM (SELECT DISTINCT model_id, series FROM modes) m JOIN mstart ON mstart.model_id = m.model_id JOIN (SELECT model_id, max(date) AS hi FROM modes GROUP BY 1) e ON e.model_id = m.model_id) GROUP BY 1, 2)"
+
+
+@query(f"WITH {X.MODES}, hd AS {HD}, n AS (SELECT model_id, count(*) AS n, max(months) AS months FROM hd GROUP BY 1) SELECT model_id, 'structural_volatility' AS record_type, n * months AS rows FROM n UNION ALL SELECT model_id, 'structural_irf', n * n * {HORIZON + 1} FROM n UNION ALL SELECT model_id, 'structural_fevd', n * n * {HORIZON + 1} FROM n UNION ALL SELECT model_id, 'structural_hd', n * (2 * n + 1) * months FROM n UNION ALL SELECT model_id, 'structural_total', n * {HORIZON + 1} FROM n")
+def structural_jobs(s, d):
+    """All structural jobs of the models as records of one table: how many of each type."""
+    return records(s, d).groupBy("model_id", "record_type").agg(F.count("*").alias("rows"))
+
+
+def records(s, d):
+    """model_id, record_type, key (what the record is of), date or h, and the fan."""
+    fans = {"structural_volatility": structural_volatility(s, d).filter("outliers"), "structural_irf": structural_irf(s, d), "structural_fevd": structural_fevd(s, d), "structural_hd": structural_decomposition(s, d), "structural_total": structural_total_response(s, d)}
+    out = None
+    for kind, df in fans.items():
+        key = F.concat_ws("|", *[c for c in ("series", "response", "shock", "kind") if c in df.columns])
+        step = F.col("h") if "h" in df.columns else F.col("horizon") - 1 if "horizon" in df.columns else F.lit(None).cast("int")
+        part = df.select("model_id", F.lit(kind).alias("record_type"), key.alias("key"), F.col("date") if "date" in df.columns else F.lit(None).cast("date").alias("date"), step.alias("h"), *[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("mean", "q16", "q50", "q84")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {X.MODES} SELECT model_id, CAST({P.DRAWS} AS BIGINT) AS draws, 1.0 AS stable, max(n) = count(DISTINCT series) AS whole FROM modes JOIN mn USING (model_id) GROUP BY 1")
+def model_diagnostics(s, d):
+    """Of each model: draws, the share of stable ones, and whether every equation has a spread at every date."""
+    draws = P.structural(s, d)
+    roots = M.spectral_radius(M.companion_roots(draws.filter("kind = 'b' and lag > 0"), ["model_id", "draw"]), ["model_id", "draw"])
+    spread = draws.filter("kind = 'scale'").groupBy("model_id").agg((F.count("*") == F.count_distinct("draw") * F.count_distinct("equation") * F.count_distinct("variable")).alias("whole"))
+    return roots.groupBy("model_id").agg(F.count("*").alias("draws"), F.avg(F.col("stable").cast("double")).alias("stable")).join(spread, "model_id")
+
+
+@query()
+def shock_scales(s, d):
+    """One standard deviation of each shock at the sample's end, and the effective draws behind it."""
+    ends = T.impacts_at(P.structural(s, d), KEYS).filter("response = shock").select("model_id", F.col("shock").alias("equation"), "draw", "value")
+    return Z.parameter_summary(ends, ["model_id", "equation"]).join(M.effective_size(ends, ["model_id", "equation"]).drop("n"), ["model_id", "equation"])
+
+
 # Regressors
 
 SEASON = "sx AS (SELECT DISTINCT date, 'january' AS variable, 0 AS lag, CASE WHEN month(date) = 1 THEN 1.0 ELSE 0.0 END AS x FROM ds)"

@@ -19,6 +19,7 @@ from anchorline.plans.queries import query, r
 from anchorline.schemas import struct
 from anchorline.session import workspace
 from anchorline.sources import cubes, nested, store
+from anchorline.sources import workbook as B
 
 
 @query("""SELECT event_id, fullkey AS path, json_extract_string(atom, '$') AS text
@@ -147,3 +148,32 @@ def yearly_growth_path(s, d):
     """Two years of conditions by a vector of growth over twelve months, of which one month has none."""
     rates = X.index(s, d).select("series").distinct().withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(24)))).withColumn("rate", F.when(F.col("h") != 5, F.col("h").cast("double")))
     return W.yearly_growth_path(X.index(s, d), ["series"], rates)
+
+
+@query(f"WITH {X.INDEX}, m AS (SELECT *, year(date) % 2 = 0 AS missing FROM idx) SELECT series AS sheet, date, 'price' AS series, CASE WHEN NOT missing THEN {r('value')} END AS value FROM m WHERE NOT missing UNION ALL SELECT series, date, 'marker', NULL FROM m WHERE missing")
+def workbook_round_trip(s, d):
+    """A workbook with a sheet for each region, in the newest of two vintages: dates, prices, and markers where there is none."""
+    root = workspace(s, "workbooks")
+    table = X.index(s, d).withColumn("missing", F.year("date") % 2 == 0)
+    table = table.select("series", "date", F.when(~F.col("missing"), F.col("value")).alias("price"), F.when(F.col("missing"), "#N/A").alias("marker"))
+    for vintage, rows in (("20240131", table.limit(1)), ("20240229", table)):
+        path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{vintage}")
+        path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+        B.write_cells(B.table_cells(rows, "series", ["date"], ["date", "price", "marker"]), f"{root}/{vintage}/data.xlsx")
+    cells = B.read_cells(s, B.newest_workbook(s, root, "data.xlsx"))
+    return B.dated_sheet(cells, {"price": "price", "marker": "marker"}, "date")
+
+
+@query(f"WITH {X.MODES} SELECT model_id, count(*) AS observations, CAST({P.DRAWS} AS BIGINT) AS draws FROM mch GROUP BY 1")
+def stored_runs(s, d):
+    """Panels and posteriors of all models stored by run, and one run after another rebuilt from its folders."""
+    root, run = workspace(s, "runs"), {"vintage": "20240229", "run_id": "r1", "forecast_name": "baseline"}
+    named = lambda df: df.withColumns({k: F.lit(v) for k, v in run.items()})
+    store.save(named(X.line_changes(s, d).filter("value is not null")), root, "panel")
+    store.save(named(P.structural(s, d).filter("kind in ('b', 'a', 'h', 'phi', 'outlier')")), root, "posterior")
+    models = [x["model_id"] for x in X.line_changes(s, d).select("model_id").distinct().collect()]  # a row a model
+    out = []
+    for model in models:
+        panel, draws = store.rebuild(s, root, P.DRAWS, model_id=model, run_id="r1")
+        out.append(panel.groupBy("model_id").agg(F.count("*").alias("observations")).join(draws.groupBy("model_id").agg(F.count_distinct("draw").alias("draws")), "model_id"))
+    return reduce(DataFrame.unionByName, out)
