@@ -296,26 +296,40 @@ def test_urls(spark):
     assert judged == {1: "block", 2: "allow"}
 
 
-def test_url_model_on_held_out_urls():
-    table = url_filter.labelled_urls()
-    held = [(url, label) for url, label in table if not url_filter.in_training(url)]
-    assert 0.15 < len(held) / len(table) < 0.25
-    model = url_filter.shipped_model()
-    found = np.array([model.score(*url_filter.split_url(url)) >= 0.5 for url, _ in held])
-    label = np.array([label for _, label in held], bool)
-    assert (found & label).sum() / found.sum() >= 0.9
-    assert (found & label).sum() / label.sum() >= 0.9
-
-
-def test_url_scores_one_by_one(spark):
-    urls = [url for url, _ in url_filter.labelled_urls(40)] + ["", "x://", None]
+def test_url_model_on_unseen_words_and_families():
+    table = url_filter.labelled_table()
+    held = [r for r in table if url_filter.held_out(r)]
+    seen = {r.word for r in table if not url_filter.held_out(r)}, {r.family for r in table if not url_filter.held_out(r)}
+    by_word, by_family = [r for r in held if r.word not in seen[0] and r.family in seen[1]], [r for r in held if r.family not in seen[1]]
+    assert len(by_word) > 1500 and len(by_family) > 1000 and len({r.word for r in by_word if r.label}) > 10
+    for rows in (by_word, by_family):
+        found = url_filter.shipped_model().scores(*zip(*[url_filter.split_url(r.url) for r in rows], strict=True)) >= 0.5
+        label = np.array([r.label for r in rows], bool)
+        assert (found & label).sum() / found.sum() >= 0.9
+        assert (found & label).sum() / label.sum() >= 0.7
+
+
+def plain_url_buckets(host, path):
+    top, odd, out = 2**64, int(url_filter._ODD), set()
+    for kind, t in ((0, f"^{host}$"), (1, f"^{path}$")):
+        for n in (3, 4, 5):
+            for j in range(len(t) - n + 1):
+                h = ((ord(t[j]) + 1) * odd + kind) % top
+                for c in t[j + 1 : j + n]:
+                    h = (h + ord(c) + 1) * odd % top
+                out.add(((h ^ (h >> 29)) * odd % top) >> (64 - url_filter.BITS))
+    return out
+
+
+def test_url_scores_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SLICE_CHARS", 300)
+    urls = [r.url for r in url_filter.labelled_table(40)] + ["", "x://", None, "https://ü.de/\U0001f600", "https://a.com/" + "long/" * 20_000]
+    urls += urls[:3]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"score": F.lit("x"), "rule": F.lit("x"), "verdict": F.lit("x")})
     got = {r["page_id"]: r["score"] for r in url_filter.judge_urls(pages).collect()}
     weights, bias = url_filter.shipped_model()
     for i, url in enumerate(urls):
-        host, path = url_filter.split_url(url or "")
-        grams = {f"{kind}{t[j : j + n]}" for kind, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4, 5) for j in range(len(t) - n + 1)}
-        at = {zlib.crc32(g.encode()) % url_filter.BUCKETS for g in grams}
+        at = plain_url_buckets(*url_filter.split_url(url or ""))
         z = bias + sum(float(weights[k]) for k in at) / max(1, len(at)) ** 0.5
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
