@@ -56,10 +56,18 @@ def test_pattern_graph(spark):
 
 
 def test_secrets_are_found_in_their_contexts_alone(spark):
-    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(pii_rows(), DOCS)).collect()}
-    assert all(spans[200 + k] == "secret:16:56" for k in range(10, 30))
-    assert spans[300] == "secret:16:32" and spans[301] == "" and spans[302] == ""
-    assert spans[100].startswith("email:19:")
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(pii_rows(), DOCS)).collect()}
+    assert all(got[200 + k]["secrets"] == "secret:16:56" and got[200 + k]["spans"] == "" for k in range(10, 30))
+    assert got[300]["secrets"] == "secret:16:32" and got[301]["secrets"] == "" and got[302]["secrets"] == ""
+    # Addresses that no base pattern finds are added to the kind that their context tells.
+    assert all(got[100 + k]["spans"].startswith("email:19:") and got[100 + k]["n_email"] == 0 for k in range(5))
+
+
+def test_phones_and_cards_that_the_patterns_miss(spark):
+    rows = [(k, f"for a table call me on +49 30 {k:07d}1 before noon") for k in range(30)] + [(100 + k, f"for a table call me on 030/{k:07d} before noon") for k in range(6)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k]["n_phone"] == 1 for k in range(30))
+    assert all(got[100 + k]["spans"] == "phone:23:34" and got[100 + k]["n_phone"] == 0 for k in range(6))
 
 
 def test_toxicity_scores_one_by_one(spark):
