@@ -273,7 +273,7 @@ def regressor_matrix(extra: pd.DataFrame, dates: pd.Index, names: list[str]) ->
 
 
 def gibbs(
-    panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, prior: dict[str, float] | None = None, periods: int = 12, levels: bool = False, scales: bool = False, regressors: DataFrame | None = None, regressor_sd: float = 10.0, failures: bool = False
+    panel: DataFrame, keys: Keys, lags: int, draws: int, burn: int, seed: int, own: float | None = None, cross: float | None = None, prior: dict[str, float] | None = None, periods: int = 12, levels: bool = False, scales: bool = False, regressors: DataFrame | None = None, regressor_sd: float = 10.0, failures: bool = False
 ) -> DataFrame:
     """keys..., draw, kind, equation, variable, lag, b: posterior draws of a VAR with volatility that moves and outliers.
 
@@ -282,7 +282,7 @@ def gibbs(
     and ``adjustment`` the largest error of a draw's levels and changes before that, at their date. RuntimeError is raised if a level's is
     above LEVEL_GATE. ``regressors`` (keys..., date, variable, x, and equation, null for all) add to the mean of their equations; their
     coefficients have lag 0, mean 0 and ``regressor_sd`` times the series' spread over the regressor's own as deviation. ``prior`` replaces
-    values of PRIOR, and columns of ``panel`` by those names replace them for their model; ``periods`` are those of a year.
+    values of PRIOR (as do ``own`` and ``cross`` theirs), and columns of ``panel`` by those names replace them for their model; ``periods`` are those of a year.
 
     With ``scales`` kind ``scale`` has each date's standard deviation of a shock, outliers included, and ``width`` the outliers' part.
     A chain is one sequence of draws, so each model and chain (``keys``) is a task of its own, seeded by the seed and the
@@ -292,6 +292,7 @@ def gibbs(
     """
     kinds = dict(panel.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int, kind string, equation string, variable string, lag int, b double"])
+    given = PRIOR | {k: v for k, v in (("own", own), ("cross", cross)) if v is not None} | (prior or {})
 
     def chain(frame: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="date", columns="series", values="value").sort_index()
@@ -310,7 +311,7 @@ def gibbs(
         if not (scale > 0).all():
             raise RuntimeError(f"{[x for x, v in zip(names, scale, strict=True) if not v > 0]} never change")
         sd = np.empty((k, n))
-        told = {c: float(frame[c].iat[0]) if c in frame.columns else v for c, v in (PRIOR | (prior or {})).items()}
+        told = {c: float(frame[c].iat[0]) if c in frame.columns else v for c, v in given.items()}
         for j in range(n):
             for lag in range(1, lags + 1):
                 row = slice((lag - 1) * n, lag * n)

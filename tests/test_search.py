@@ -43,7 +43,7 @@ def test_a_block_equals_all_candidates_scored_by_hand(spark, panel, tmp_path):
     for r in cases.filter("model_id = 'm'").collect():
         seen = panel.filter(F.col("date") <= F.lit(r["origin"])).filter("model_id = 'm'").withColumn("signature", F.lit(r["signature"]))
         by = ["model_id", "signature"]
-        draws = M.gibbs(seen.select(*by, "series", "date", "value"), by, 1, 16, 8, 3, {p: r[p] for p in M.PRIOR})
+        draws = M.gibbs(seen.select(*by, "series", "date", "value"), by, 1, 16, 8, 3, prior={p: r[p] for p in M.PRIOR})
         paths = M.simulate(draws, M.tail_of(seen, by, 1), by, 2, 3).toPandas()
         outcome = panel.filter("model_id = 'm'").toPandas()
         for (s, h), mine in paths.groupby(["series", "h"]):

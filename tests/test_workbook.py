@@ -4,7 +4,6 @@ import datetime as dt
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from anchorline.sources import workbook as W
 
