@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,13 +258,14 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a double column toxicity from 0 to 1; null and empty texts have the score of no feature."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Of Arrow arrays: a worker that has no need of pandas is some 50 MB smaller, for as long as it lives.
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         wanted = model.wanted()
         for texts in parts:
-            z = np.array([model.logit(t, wanted) for t in texts.fillna("")], float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            z = np.array([model.logit(t or "", wanted) for t in texts.to_pylist()], float)
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return texts_of(docs).withColumn("toxicity", score(F.col("text")))
 
